@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WRAPPED = r"<(https?://[^|>\s]+)(?:\|[^>]*)?>"
@@ -63,35 +63,35 @@ def _is_google(host: Column) -> Column:
     return host.isin("docs.google.com", "drive.google.com")
 
 
-def drive_file_id(url: Column, host: Column) -> Column:
-    """File id of a document link; null for folders, published pages and everything else."""
-    path = F.regexp_replace(path_of(url), r"/+", "/")
-    path = F.regexp_replace(path, r"^/a/[^/]+/(?=.)", "/")
-    direct = F.regexp_extract(path, r"^/(?:document|spreadsheets|presentation|file)/(?:u/[^/]+/)?d/([A-Za-z0-9_-]+)(?:/|$)", 1)
-    published = path.rlike(r"^/(?:document|spreadsheets|presentation|file)/(?:u/[^/]+/)?d/e(?:/|$)")
-    by_query = query_param(url, "id")
-    opened = (host == "drive.google.com") & path.rlike(r"^/(?:open|uc)(?:/|$)") & by_query.rlike(r"^[A-Za-z0-9_-]+$")
-    return F.when(opened, by_query).when(~published & (direct != ""), direct)
-
-
-def classify(url: Column) -> Column:
-    """``struct(kind, key, url, host)`` of a document link; null for any other URL."""
-    clean = F.trim(url)
-    bare = F.regexp_replace(clean, r"#.*$", "")
-    bare = F.when(path_of(bare) == "", F.regexp_replace(bare, r"^([^?]*)", "$1/")).otherwise(bare)
-    host = host_of(clean)
-    file_id = drive_file_id(bare, host)
-    lower_host = F.concat(F.regexp_extract(bare, r"^([A-Za-z]+://(?:[^/?#@]*@)?)", 1), host,
-                          F.regexp_extract(bare, r"^[A-Za-z]+://(?:[^/?#@]*@)?[^/?#:]+(.*)$", 1))
-    google = F.struct(
-        F.lit("google.doc").alias("kind"), F.concat(F.lit("google:"), file_id).alias("key"),
-        lower_host.alias("url"), host.alias("host"),
-    )
-    microsoft = F.struct(
-        F.lit("microsoft.file").alias("kind"), F.concat(F.lit("ms:"), F.sha2(F.encode(lower_host, "UTF-8"), 256)).alias("key"),
-        lower_host.alias("url"), host.alias("host"),
-    )
-    return F.when(_is_google(host) & file_id.isNotNull(), google).when(is_microsoft_host(host), microsoft)
+def is_document_host(url: Column) -> Column:
+    host = host_of(url)
+    return _is_google(host) | is_microsoft_host(host)
+
+
+def with_document_link(df: DataFrame, url: str) -> DataFrame:
+    """Adds ``link_kind, link_key, link_url, link_host`` of a document link; all null for any other URL.
+
+    A drive file is keyed by its id (folders and published pages have none), a shared file by the hash of its URL.
+    Each step is its own column, so that no step is evaluated twice.
+    """
+    kinds = r"^/(?:document|spreadsheets|presentation|file)/(?:u/[^/]+/)?d/"
+    u = df.withColumn("_bare", F.regexp_replace(F.trim(url), r"#.*$", "")).withColumn("link_host", host_of(F.col("_bare")))
+    u = u.withColumns({
+        "_tail": F.regexp_extract("_bare", r"^[A-Za-z]+://(?:[^/?#@]*@)?[^/?#:]+(.*)$", 1),
+        "_path": F.regexp_replace(F.regexp_replace(path_of(F.col("_bare")), r"/+", "/"), r"^/a/[^/]+/(?=.)", "/"),
+        "_query_id": query_param(F.col("_bare"), "id"),
+    })
+    direct = F.when(~F.col("_path").rlike(kinds + "e(?:/|$)"), F.nullif(F.regexp_extract("_path", kinds + r"([A-Za-z0-9_-]+)(?:/|$)", 1), F.lit("")))
+    opened = (F.col("link_host") == "drive.google.com") & F.col("_path").rlike(r"^/(?:open|uc)(?:/|$)") & F.col("_query_id").rlike(r"^[A-Za-z0-9_-]+$")
+    u = u.withColumn("_id", F.when(_is_google(F.col("link_host")), F.coalesce(F.when(opened, F.col("_query_id")), direct)))
+    u = u.withColumn("link_kind", F.when(F.col("_id").isNotNull(), "google.doc").when(is_microsoft_host(F.col("link_host")), "microsoft.file"))
+    tail = F.when(F.col("_tail").rlike(r"^[/:]"), F.col("_tail")).otherwise(F.concat(F.lit("/"), "_tail"))
+    u = u.withColumn("link_url", F.when(F.col("link_kind").isNotNull(), F.concat(
+        F.regexp_extract("_bare", r"^([A-Za-z]+://(?:[^/?#@]*@)?)", 1), "link_host", tail)))
+    key = F.when(F.col("link_kind") == "google.doc", F.concat(F.lit("google:"), "_id")).when(
+        F.col("link_kind") == "microsoft.file", F.concat(F.lit("ms:"), F.sha2(F.encode("link_url", "UTF-8"), 256)))
+    host = F.when(F.col("link_kind").isNotNull(), F.col("link_host"))
+    return u.withColumn("link_key", key).withColumn("link_host", host).drop("_bare", "_tail", "_path", "_query_id", "_id")
 
 
 def canonical(url: Column) -> Column:

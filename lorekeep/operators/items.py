@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from lorekeep.functions import jsonx, text as X
 from lorekeep.functions.times import activity_at, item_at, local_date, safe_date
-from lorekeep.operators.skew import top_n
+from lorekeep.operators.skew import cut, top_n
 from lorekeep.schemas import CLOSURE_KINDS, CONFIDENCE_RANK, DEFAULTS, ITEM_KINDS, ITEM_PROMPTS, Settings
 
 # What may follow a meeting name, and the stamp in front of a rendered message.
@@ -302,35 +302,37 @@ def in_range(since: datetime | None, until: datetime | None) -> Column:
 # -- candidate closers ----------------------------------------------------------------------------------------
 
 
-def _group_keys(items: DataFrame) -> DataFrame:
+def _groups(items: DataFrame) -> DataFrame:
     """One row per item and group it belongs to: its scope, and every person on it."""
     people = F.filter(F.concat(F.col("actors"), F.array("owner", "requester")), lambda p: p.isNotNull())
-    spelled = items.select("id", F.explode(F.array_distinct(people)).alias("ref"))
+    facts = ["side", "id", "entry_id", "at", "txt"]
+    spelled = items.select(*facts, F.explode(F.array_distinct(people)).alias("ref"))
     names = spelled.select("ref").distinct().select("ref", X.name_norm(F.col("ref")).alias("n")).where(F.col("n") != "")
-    by_person = spelled.join(names, "ref").select("id", F.concat(F.lit("p:"), "n").alias("grp")).distinct()
-    return items.select("id", F.concat(F.lit("s:"), "scope_key").alias("grp")).unionByName(by_person)
+    by_person = spelled.join(names, "ref").select(*facts, F.concat(F.lit("p:"), "n").alias("grp")).distinct()
+    return items.select(*facts, F.concat(F.lit("s:"), "scope_key").alias("grp")).unionByName(by_person)
 
 
 def _similar_texts(left: DataFrame, right: DataFrame, texts: DataFrame, minimum: float) -> DataFrame:
     """Pairs of distinct texts that meet in a group and reach the similarity: ``(grp, slot, lt, rt, similarity)``.
 
     Prefix filter: with grams in one global order, rarest first, two sets of similarity >= m share a gram among the
-    first ``n - ceil(m n) + 1`` of each. Only pairs with such a gram and compatible sizes are compared.
+    first ``n - ceil(m n) + 1`` of each. Only pairs with such a gram and compatible sizes are compared, once per pair
+    of texts however many groups they meet in.
     """
-    gram_rows = texts.select("tid", F.explode("grams").alias("g"))
+    gram_rows = texts.select("txt", F.explode("grams").alias("g"))
     df = gram_rows.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ordered = gram_rows.join(df, "g").groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
+    ordered = gram_rows.join(df, "g").groupBy("txt").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
     n = F.size("o")
     keep = n - F.ceil(F.lit(minimum) * n - 1e-9).cast("int") + 1
-    prefix = ordered.select("tid", n.alias("n"), F.explode(F.transform(F.slice("o", F.lit(1), keep), lambda x: x["g"])).alias("g"))
-    lp = left.join(prefix.withColumnRenamed("tid", "lt"), "lt").withColumnRenamed("n", "ln")
-    rp = right.join(prefix.withColumnRenamed("tid", "rt"), "rt").withColumnRenamed("n", "rn")
+    prefix = ordered.select("txt", n.alias("n"), F.explode(F.transform(F.slice("o", F.lit(1), keep), lambda x: x["g"])).alias("g"))
+    lp = left.join(prefix.withColumnsRenamed({"txt": "lt", "n": "ln"}), "lt")
+    rp = right.join(prefix.withColumnsRenamed({"txt": "rt", "n": "rn"}), "rt")
     sizes = (F.col("rn") >= F.col("ln") * minimum - 1e-9) & (F.col("ln") >= F.col("rn") * minimum - 1e-9)
     met = lp.join(rp, ["grp", "slot", "g"]).where(sizes).select("grp", "slot", "lt", "rt").distinct()
-    # The similarity depends on the texts alone, so it is computed once per pair of texts.
+    met = cut(met, "met-texts")
+    lg = texts.select(F.col("txt").alias("lt"), F.col("grams").alias("lg"))
+    rg = texts.select(F.col("txt").alias("rt"), F.col("grams").alias("rg"))
     pairs = met.select("lt", "rt").distinct()
-    lg = texts.select(F.col("tid").alias("lt"), F.col("grams").alias("lg"))
-    rg = texts.select(F.col("tid").alias("rt"), F.col("grams").alias("rg"))
     sim = pairs.join(lg, "lt").join(rg, "rt").select("lt", "rt", X.jaccard(F.col("lg"), F.col("rg")).alias("similarity"))
     return met.join(sim.where(F.col("similarity") >= minimum), ["lt", "rt"])
 
@@ -340,18 +342,19 @@ def _earliest(pool: DataFrame, keys: Sequence[str], keep: int) -> DataFrame:
 
     The first ``keep`` rows of an entry, and the first ``keep`` + 1 entries: a fixed number of rows per key.
     """
-    order = [F.col("pt"), F.col("pid")]
-    per_entry = top_n(pool, [*keys, "pe"], order, keep)
-    entry_first = per_entry.groupBy(*keys, "pe").agg(F.min(F.struct("pt", "pid")).alias("first"))
-    entries = top_n(entry_first, keys, [F.col("first")], keep + 1).drop("first")
-    return per_entry.join(entries, [*keys, "pe"], "left_semi")
+    mine = W.partitionBy(*keys, "pe")
+    first = F.min(F.struct("pt", "pid")).over(mine)
+    rows = pool.withColumn("_n", F.row_number().over(mine.orderBy("pt", "pid"))).where(F.col("_n") <= keep)
+    rows = rows.withColumn("_f", first)
+    by_entry = F.dense_rank().over(W.partitionBy(*keys).orderBy("_f"))
+    return rows.withColumn("_e", by_entry).where(F.col("_e") <= keep + 1).drop("_n", "_f", "_e")
 
 
 def candidates(
     targets: DataFrame, pool: DataFrame, window_days: int = DEFAULTS.candidate_days,
     minimum: float = DEFAULTS.candidate_min_similarity, keep: int = 3,
 ) -> DataFrame:
-    """Up to ``keep`` later items that may close each target: ``(target_id, candidate_id, similarity, same_scope, shared_person)``.
+    """Up to ``keep`` later items that may close each target: ``(target_id, candidate_id, rank, similarity, same_scope, shared_person)``.
 
     ``targets`` are open actions and questions with a time, ``pool`` the closing kinds. A candidate is from another entry,
     in the same scope or with a shared person, and at most the window later. Ties go to the earlier item, then the lower id.
@@ -361,60 +364,55 @@ def candidates(
     unit holds a fixed number of its earliest rows. So the rows per target and text do not grow with the group.
     """
     window_secs = window_days * 86_400
-    t = targets.select("id", "entry_id", "text", "scope_key", "actors", "owner", "requester", F.unix_timestamp("occurred_at").alias("at"))
-    p = pool.where(F.col("occurred_at").isNotNull()).select(
-        "id", "entry_id", "text", "scope_key", "actors", "owner", "requester", F.unix_timestamp("occurred_at").alias("at")
+    cols = ["id", "entry_id", "text", "scope_key", "actors", "owner", "requester"]
+    at = F.unix_timestamp("occurred_at").alias("at")
+    sides = targets.select(F.lit(0).alias("side"), *cols, at).unionByName(pool.select(F.lit(1).alias("side"), *cols, at))
+    sides = cut(sides.where(F.col("at").isNotNull()).withColumn("txt", F.xxhash64("text")), "closer-items")
+    texts = sides.select("txt", "text").dropDuplicates(["txt"]).select("txt", X.match_norm(F.col("text")).alias("norm"))
+    texts = cut(texts.where(F.col("norm") != "").select("txt", X.grams(F.col("norm")).alias("grams")), "closer-texts")
+    groups = cut(_groups(sides), "closer-groups")
+    slot = F.floor(F.col("at") / window_secs)
+    tg = groups.where(F.col("side") == 0).select(
+        "grp", slot.alias("slot"), F.col("txt").alias("lt"), F.col("id").alias("tid"), F.col("entry_id").alias("te"), F.col("at").alias("tt")
     )
-    spelled = t.select("text").unionByName(p.select("text")).distinct()
-    texts = spelled.select(F.xxhash64("text").alias("tid"), X.match_norm(F.col("text")).alias("norm"))
-    texts = texts.where(F.col("norm") != "").select("tid", X.grams(F.col("norm")).alias("grams"))
-    tg = t.join(_group_keys(t), "id").select(
-        "grp", F.floor(F.col("at") / window_secs).alias("slot"), F.xxhash64("text").alias("lt"),
-        F.col("id").alias("tid"), F.col("entry_id").alias("te"), F.col("at").alias("tt"),
-    )
-    pg = p.join(_group_keys(p), "id").select(
-        "grp", F.xxhash64("text").alias("rt"), F.col("id").alias("pid"), F.col("entry_id").alias("pe"), F.col("at").alias("pt")
+    pg = groups.where(F.col("side") == 1).select(
+        "grp", F.col("txt").alias("rt"), F.col("id").alias("pid"), F.col("entry_id").alias("pe"), F.col("at").alias("pt")
     )
     own = F.floor(F.col("pt") / window_secs)
     slots = F.explode(F.array(own, own - 1)).alias("slot")
-    sim = _similar_texts(
-        tg.select("grp", "slot", "lt").distinct(), pg.select("grp", "rt", slots).distinct(), texts, minimum
-    )
-    # Targets with the texts they resemble, and the pool at three resolutions.
-    want = tg.join(sim, ["grp", "slot", "lt"]).select("grp", "slot", "rt", "tid", "te", "tt", "similarity")
+    sim = _similar_texts(tg.select("grp", "slot", "lt").distinct(), pg.select("grp", "rt", slots).distinct(), texts, minimum)
+    day, hour = F.floor(F.col("pt") / 86_400), F.floor(F.col("pt") / 3_600)
     seconds = _earliest(pg, ["grp", "rt", "pt"], keep)
-    hourly = _earliest(seconds.withColumn("h", F.floor(F.col("pt") / 3600)), ["grp", "rt", "h"], keep)
-    daily = _earliest(hourly.withColumn("d", F.floor(F.col("pt") / 86400)), ["grp", "rt", "d"], keep)
-    tday, thour = F.floor(F.col("tt") / 86400), F.floor(F.col("tt") / 3600)
-    in_window = (F.col("pe") != F.col("te")) & (F.col("pt") > F.col("tt")) & (F.col("pt") - F.col("tt") <= window_secs)
-    cols = ["tid", "te", "tt", "pid", "pe", "pt", "similarity", "grp"]
-    later_days = daily.select("grp", "rt", "pid", "pe", "pt", "d", slots)
-    a = want.join(later_days, ["grp", "slot", "rt"]).where((F.col("d") > tday) & in_window).select(*cols)
-    b = want.withColumn("d", tday).join(hourly.withColumn("d", F.floor(F.col("pt") / 86400)), ["grp", "rt", "d"])
-    b = b.where((F.col("h") > thour) & in_window).select(*cols)
-    c = want.withColumn("h", thour).join(seconds.withColumn("h", F.floor(F.col("pt") / 3600)), ["grp", "rt", "h"])
-    c = c.where(in_window).select(*cols)
+    hourly = _earliest(seconds.withColumn("h", hour), ["grp", "rt", "h"], keep)
+    daily = _earliest(hourly.withColumn("d", day), ["grp", "rt", "d"], keep)
+    facts = ["grp", "rt", "pid", "pe", "pt"]
+    units = (
+        seconds.select(*facts, F.lit("s").alias("level"), hour.alias("unit"))
+        .unionByName(hourly.select(*facts, F.lit("h").alias("level"), day.alias("unit")))
+        .unionByName(daily.select(*facts, F.lit("d").alias("level"), F.explode(F.array(own, own - 1)).alias("unit")))
+    )
+    tday, thour = F.floor(F.col("tt") / 86_400), F.floor(F.col("tt") / 3_600)
+    probes = F.array(
+        F.struct(F.lit("s").alias("level"), thour.alias("unit")), F.struct(F.lit("h").alias("level"), tday.alias("unit")),
+        F.struct(F.lit("d").alias("level"), F.col("slot").alias("unit")),
+    )
+    want = tg.join(sim, ["grp", "slot", "lt"]).select("grp", "rt", "tid", "te", "tt", "similarity", F.explode(probes).alias("u"))
+    want = want.select("grp", "rt", "tid", "te", "tt", "similarity", "u.level", "u.unit")
+    later = (
+        F.when(F.col("level") == "d", day > tday).when(F.col("level") == "h", hour > thour).otherwise(F.col("pt") > F.col("tt"))
+    )
+    found = want.join(units, ["grp", "rt", "level", "unit"]).where(
+        later & (F.col("pe") != F.col("te")) & (F.col("pt") - F.col("tt") <= window_secs)
+    )
     order = [F.col("similarity").desc(), F.col("pt"), F.col("pid")]
-    # Each group keeps its own best first, so that a pair met through several groups counts once.
-    best = top_n(a.unionByName(b).unionByName(c), ["tid", "grp"], order, keep)
-    best = best.select("tid", "pid", "pt", "similarity").distinct()
-    best = top_n(best, ["tid"], order, keep, rank="rank")
-    facts = ["id", "scope_key", "actors", "owner", "requester"]
-    lt = best.select("tid").distinct().join(t.select(*facts).withColumnRenamed("id", "tid"), "tid")
-    l = _people(lt, "tid").select("tid", F.col("scope_key").alias("_ts"), F.col("people").alias("_tp"))
-    rp = best.select("pid").distinct().join(p.select(*facts).withColumnRenamed("id", "pid"), "pid")
-    r = _people(rp, "pid").select("pid", F.col("scope_key").alias("_ps"), F.col("people").alias("_pp"))
-    return best.join(l, "tid").join(r, "pid").select(
-        F.col("tid").alias("target_id"), F.col("pid").alias("candidate_id"), "rank", "similarity",
-        (F.col("_ts") == F.col("_ps")).alias("same_scope"), F.arrays_overlap("_tp", "_pp").alias("shared_person"),
+    # Each group keeps its own best first; a pair that is best overall is among the best of every group it meets in.
+    best = top_n(found.select("tid", "grp", "pid", "pt", "similarity"), ["tid", "grp"], order, keep)
+    best = best.groupBy("tid", "pid").agg(
+        F.min("pt").alias("pt"), F.max("similarity").alias("similarity"),
+        F.max(F.col("grp").startswith("s:")).alias("same_scope"), F.max(F.col("grp").startswith("p:")).alias("shared_person"),
     )
-
-
-def _people(df: DataFrame, key: str) -> DataFrame:
-    refs = F.filter(F.concat(F.col("actors"), F.array("owner", "requester")), lambda p: p.isNotNull())
-    named = df.select(key, F.explode(refs).alias("ref")).select(key, X.name_norm(F.col("ref")).alias("n")).where(F.col("n") != "")
-    return df.join(named.groupBy(key).agg(F.collect_set("n").alias("people")), key, "left").withColumn(
-        "people", F.coalesce("people", F.array().cast("array<string>"))
+    return top_n(best, ["tid"], order, keep, rank="rank").select(
+        F.col("tid").alias("target_id"), F.col("pid").alias("candidate_id"), "rank", "similarity", "same_scope", "shared_person"
     )
 
 

@@ -205,7 +205,7 @@ SELECT 'acct' || (page_id % 6) AS account_id, page_id // 2 AS entry_id, page_id
 cte(
     "ledger",
     r"""
-SELECT event_id AS id, date_trunc('second', ts) AS at, user_id AS entry_id, event_type AS model, 'p' || (event_id % 3) AS provider,
+SELECT event_id AS id, date_trunc('second', ts) AS used_at, user_id AS entry_id, event_type AS model, 'p' || (event_id % 3) AS provider,
   100 + CAST(json_extract_string(props, '$.k') AS BIGINT) AS input_tokens, 10 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 AS output_tokens,
   1 + event_id % 3 AS calls, CASE WHEN event_id % 10 <> 0 THEN value END AS cost_usd FROM events""",
 )

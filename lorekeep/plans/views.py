@@ -391,3 +391,31 @@ class Views:
             F.when(c % 6 != 0, F.concat(F.lit("acct"), s(c % 25))).alias("account_id"),
             c.alias("entry_id"), F.concat(F.lit("found "), s(k)).alias("message"),
         )
+
+    @cached_property
+    def links(self) -> DataFrame:
+        """A link table: one row per line item's supplier and part, in every state."""
+        li = self.table("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min("l_shipdate").alias("seen"), F.min("l_orderkey").alias("k"))
+        k, p = F.col("k"), F.col("l_partkey")
+        status = (
+            F.when(k % 7 <= 2, "pending").when(k % 7 == 3, "unavailable").when(k % 7 == 4, "ingested")
+            .when(k % 7 == 5, "abandoned").otherwise("not_applicable")
+        )
+        return li.select(
+            F.concat(F.lit("src"), s(F.col("l_suppkey") % 20)).alias("account_id"),
+            F.concat(F.lit("key"), s(F.col("l_suppkey")), F.lit("-"), s(p)).alias("link_key"),
+            F.when(p % 3 == 0, "microsoft.file").otherwise("google.doc").alias("source_kind"),
+            F.concat(F.lit("https://h"), s(p % 5), F.lit(".example.org/"), s(p)).alias("url"),
+            F.concat(F.lit("h"), s(p % 5), F.lit(".example.org")).alias("host"),
+            F.floor(k / 3).cast("long").alias("first_entry_id"), F.col("seen").alias("first_seen_at"), status.alias("status"),
+            F.when(k % 7 == 4, k).alias("entry_id"), (k % 6).cast("int").alias("attempts"),
+            F.when(k % 4 != 0, F.timestamp_add("DAY", (k % 40).cast("int"), F.col("seen"))).alias("next_attempt_at"),
+            F.when(k % 7 == 3, "no access").alias("last_error"),
+        )
+
+    @cached_property
+    def link_outcomes(self) -> DataFrame:
+        """One outcome for every link, from its key length and tries."""
+        n = F.length("link_key") + F.col("attempts")
+        o = F.when(n % 5 == 0, "ingested").when(n % 5 == 1, "duplicate").when(n % 5 == 2, "not_applicable").when(n % 5 == 3, "unavailable").otherwise("waiting")
+        return self.links.select("account_id", "link_key", o.alias("outcome"), F.lit(7).cast("long").alias("outcome_entry"), F.concat(F.lit("e"), s(n)).alias("error"))
