@@ -41,8 +41,11 @@ def message_urls(text: Column, block_links: Column, attachments: Column) -> Colu
 
 def host_of(url: Column) -> Column:
     """Lower-case host of an http(s) URL, without credentials and port."""
-    h = F.regexp_extract(url, r"^\s*[Hh][Tt][Tt][Pp][Ss]?://(?:[^/?#@]*@)?([^/?#:]+)", 1)
-    return F.nullif(F.lower(h), F.lit(""))
+    return F.nullif(_raw_host(url), F.lit(""))
+
+
+def _raw_host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^\s*[Hh][Tt][Tt][Pp][Ss]?://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
 def path_of(url: Column) -> Column:
@@ -56,7 +59,7 @@ def query_param(url: Column, name: str) -> Column:
 
 
 def is_microsoft_host(host: Column) -> Column:
-    return host.endswith(".sharepoint.com") | host.isin("onedrive.live.com", "1drv.ms")
+    return host.rlike(r"\.sharepoint\.com$|^onedrive\.live\.com$|^1drv\.ms$")
 
 
 def _is_google(host: Column) -> Column:
@@ -64,34 +67,39 @@ def _is_google(host: Column) -> Column:
 
 
 def is_document_host(url: Column) -> Column:
-    host = host_of(url)
-    return _is_google(host) | is_microsoft_host(host)
+    return _raw_host(url).rlike(r"^(?:docs|drive)\.google\.com$|\.sharepoint\.com$|^onedrive\.live\.com$|^1drv\.ms$")
+
+
+# The forms of a drive file link, over host and path (published pages excluded), or host, path and query.
+_FILE = r"^(?:docs|drive)\.google\.com/(?:document|spreadsheets|presentation|file)/(?:u/[^/]+/)?d/(?!e(?:/|$))([A-Za-z0-9_-]+)(?:/|$)"
+_OPENED = r"^drive\.google\.com/(?:open|uc)(?:/[^?]*)?\?(?:[^#]*&)?id=([A-Za-z0-9_-]+)(?:&|$)"
+_PARTS = r"(?is)^\s*(https?)://(?:[^/?#@]*@)?([^/?#:]+)((?::\d+)?)([^?#]*)(\??[^#]*).*$"
 
 
 def with_document_link(df: DataFrame, url: str) -> DataFrame:
-    """Adds ``link_kind, link_key, link_url, link_host`` of a document link; all null for any other URL.
+    """Rows whose URL is a document link, with ``link_kind, link_key, link_url, link_host`` added.
 
     A drive file is keyed by its id (folders and published pages have none), a shared file by the hash of its URL.
-    Each step is its own column, so that no step is evaluated twice.
+    The URL is taken apart once, into an array.
     """
-    kinds = r"^/(?:document|spreadsheets|presentation|file)/(?:u/[^/]+/)?d/"
-    u = df.withColumn("_bare", F.regexp_replace(F.trim(url), r"#.*$", "")).withColumn("link_host", host_of(F.col("_bare")))
-    u = u.withColumns({
-        "_tail": F.regexp_extract("_bare", r"^[A-Za-z]+://(?:[^/?#@]*@)?[^/?#:]+(.*)$", 1),
-        "_path": F.regexp_replace(F.regexp_replace(path_of(F.col("_bare")), r"/+", "/"), r"^/a/[^/]+/(?=.)", "/"),
-        "_query_id": query_param(F.col("_bare"), "id"),
-    })
-    direct = F.when(~F.col("_path").rlike(kinds + "e(?:/|$)"), F.nullif(F.regexp_extract("_path", kinds + r"([A-Za-z0-9_-]+)(?:/|$)", 1), F.lit("")))
-    opened = (F.col("link_host") == "drive.google.com") & F.col("_path").rlike(r"^/(?:open|uc)(?:/|$)") & F.col("_query_id").rlike(r"^[A-Za-z0-9_-]+$")
-    u = u.withColumn("_id", F.when(_is_google(F.col("link_host")), F.coalesce(F.when(opened, F.col("_query_id")), direct)))
-    u = u.withColumn("link_kind", F.when(F.col("_id").isNotNull(), "google.doc").when(is_microsoft_host(F.col("link_host")), "microsoft.file"))
-    tail = F.when(F.col("_tail").rlike(r"^[/:]"), F.col("_tail")).otherwise(F.concat(F.lit("/"), "_tail"))
-    u = u.withColumn("link_url", F.when(F.col("link_kind").isNotNull(), F.concat(
-        F.regexp_extract("_bare", r"^([A-Za-z]+://(?:[^/?#@]*@)?)", 1), "link_host", tail)))
-    key = F.when(F.col("link_kind") == "google.doc", F.concat(F.lit("google:"), "_id")).when(
-        F.col("link_kind") == "microsoft.file", F.concat(F.lit("ms:"), F.sha2(F.encode("link_url", "UTF-8"), 256)))
-    host = F.when(F.col("link_kind").isNotNull(), F.col("link_host"))
-    return u.withColumn("link_key", key).withColumn("link_host", host).drop("_bare", "_tail", "_path", "_query_id", "_id")
+    sep = "\u0001"
+    parts = F.split(F.regexp_replace(F.trim(url), _PARTS, sep.join(f"${i}" for i in range(1, 6))), sep)
+    u = df.where(is_document_host(F.col(url))).withColumn("_p", parts)
+    host = F.lower(F.get("_p", F.lit(1)))
+    path = F.regexp_replace(F.regexp_replace(F.get("_p", F.lit(3)), r"/+", "/"), r"^/a/[^/]+/(?=.)", "/")
+    u = u.withColumn("link_host", host).withColumn("_path", path)
+    u = u.withColumn("_id", F.concat(
+        F.regexp_extract(F.concat("link_host", "_path"), _FILE, 1),
+        F.regexp_extract(F.concat("link_host", "_path", F.get("_p", F.lit(4))), _OPENED, 1),
+    ))
+    raw = F.get("_p", F.lit(3))
+    clean = F.concat(F.lower(F.get("_p", F.lit(0))), F.lit("://"), "link_host", F.get("_p", F.lit(2)),
+                     F.when(raw == "", F.lit("/")).otherwise(raw), F.get("_p", F.lit(4)))
+    kind = F.when(F.col("_id") != "", "google.doc").when(is_microsoft_host(F.col("link_host")), "microsoft.file")
+    u = u.withColumn("link_kind", kind).withColumn("link_url", clean)
+    key = F.when(F.col("link_kind") == "google.doc", F.concat(F.lit("google:"), "_id")).otherwise(
+        F.concat(F.lit("ms:"), F.sha2(F.encode("link_url", "UTF-8"), 256)))
+    return u.withColumn("link_key", key).where(F.col("link_kind").isNotNull()).drop("_p", "_path", "_id")
 
 
 def canonical(url: Column) -> Column:

@@ -18,7 +18,7 @@ from lorekeep.schemas import LINK_BACKOFF_DAYS
 def discover(messages: DataFrame) -> DataFrame:
     """Document links of messages ``(account_id, entry_id, message_id, ts, urls)``, with their position in the message."""
     rows = messages.select("account_id", "entry_id", "message_id", "ts", F.posexplode("urls").alias("pos", "u"))
-    linked = U.with_document_link(rows, "u").where(F.col("link_kind").isNotNull())
+    linked = U.with_document_link(rows, "u")
     return linked.select(
         "account_id", "entry_id", "message_id", "ts", "pos", F.col("link_kind").alias("source_kind"), "link_key",
         F.col("link_url").alias("url"), F.col("link_host").alias("host"),
