@@ -380,7 +380,13 @@ def candidates(
     )
     own = F.floor(F.col("pt") / window_secs)
     slots = F.explode(F.array(own, own - 1)).alias("slot")
-    sim = _similar_texts(tg.select("grp", "slot", "lt").distinct(), pg.select("grp", "rt", slots).distinct(), texts, minimum)
+    # Only groups and windows that have both a target and a closer are looked at any further.
+    places = tg.select("grp", "slot").distinct()
+    right = pg.select("grp", "rt", slots).join(places, ["grp", "slot"], "left_semi").distinct()
+    left = tg.select("grp", "slot", "lt").join(right.select("grp", "slot"), ["grp", "slot"], "left_semi").distinct()
+    sim = cut(_similar_texts(left, right, texts, minimum), "similar-texts")
+    near = sim.select("grp", "rt").distinct()
+    pg = pg.join(near, ["grp", "rt"], "left_semi")
     day, hour = F.floor(F.col("pt") / 86_400), F.floor(F.col("pt") / 3_600)
     seconds = _earliest(pg, ["grp", "rt", "pt"], keep)
     hourly = _earliest(seconds.withColumn("h", hour), ["grp", "rt", "h"], keep)

@@ -57,18 +57,18 @@ def documents(sections: DataFrame, entries: DataFrame) -> DataFrame:
 def postings(docs: DataFrame) -> DataFrame:
     """``(gram, section_id, title_tf, text_tf)``.
 
-    Grams are counted inside the row's own array first: a gram leaves its document once, however often it occurs.
+    Documents are spread by section first, which moves the text once. Grams are then made and counted inside the task:
+    the grouping by section and gram needs no further shuffle. Title and text are one string with a gap of two marks, and
+    the position of a gram tells its column.
     """
-    def counted(col: str) -> DataFrame:
-        return docs.select("section_id", F.explode(X.windows(F.lower(col), 3)).alias("gram")).groupBy("section_id", "gram").agg(
-            F.count(F.lit(1)).alias("tf")
-        )
-
-    title = counted("title").select("gram", "section_id", F.col("tf").alias("title_tf"), F.lit(0).alias("text_tf"))
-    text = counted("text").select("gram", "section_id", F.lit(0).alias("title_tf"), F.col("tf").alias("text_tf"))
-    return title.unionByName(text).groupBy("gram", "section_id").agg(
-        F.sum("title_tf").alias("title_tf"), F.sum("text_tf").alias("text_tf")
-    )
+    gap = "\u0001\u0001"
+    n = F.length("title")
+    both = docs.select("section_id", n.alias("n"), F.lower(F.concat("title", F.lit(gap), "text")).alias("t"))
+    rows = both.repartition("section_id").select("section_id", "n", F.posexplode(X.windows(F.col("t"), 3)).alias("pos", "gram"))
+    in_title, in_text = F.col("pos") < F.col("n") - 2, F.col("pos") >= F.col("n") + 2
+    return rows.where(in_title | in_text).groupBy("section_id", "gram").agg(
+        F.count_if(in_title).alias("title_tf"), F.count_if(in_text).alias("text_tf")
+    ).select("gram", "section_id", "title_tf", "text_tf")
 
 
 def doc_lengths(docs: DataFrame) -> DataFrame:
@@ -145,30 +145,31 @@ def candidates(index: DataFrame, terms: Sequence[str]) -> DataFrame:
     return hit.where(F.col("n") == len(wanted)).select("section_id")
 
 
-def score(docs: DataFrame, hits: DataFrame, terms: Sequence[str], lengths: DataFrame | None = None,
-          term_sections: DataFrame | None = None) -> DataFrame:
+def collection(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """One row: number of sections, their average length, and how many hold each term. One pass over ``docs``."""
+    size = F.greatest(F.length("title") - 2, F.lit(0)) + F.greatest(F.length("text") - 2, F.lit(0))
+    held = [F.count_if(holds(t)).alias(f"df{i}") for i, t in enumerate(terms)]
+    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(size).alias("avg"), *held)
+
+
+def score(docs: DataFrame, hits: DataFrame, terms: Sequence[str]) -> DataFrame:
     """BM25 of every hit, larger is better. Collection numbers come from all of ``docs``, not from the hits.
 
-    ``term_sections(term_no, df)`` overrides the number of sections per term where an index already knows it.
+    They are one row of fixed size, read before the hits are scored.
     """
-    lens = doc_lengths(docs) if lengths is None else lengths
-    facts = [F.count(F.lit(1)).alias("_n"), F.avg("len").alias("_avg")]
-    totals = lens.agg(*facts)
-    df = docs.agg(*[F.count_if(holds(t)).alias(f"_df{i}") for i, t in enumerate(terms)]) if term_sections is None else term_sections
-    n, avg = totals.select("_n").scalar(), totals.select("_avg").scalar()
+    c = {k: F.lit(v) for k, v in collection(docs, terms).first().asDict().items()}
     size = F.greatest(F.length("title") - 2, F.lit(0)) + F.greatest(F.length("text") - 2, F.lit(0))
     total = F.lit(0.0)
     for i, t in enumerate(terms):
-        d = df.select(f"_df{i}").scalar()
-        raw = F.ln((n - d + 0.5) / (d + 0.5))
+        raw = F.ln((c["n"] - c[f"df{i}"] + 0.5) / (c[f"df{i}"] + 0.5))
         idf = F.when(raw <= 0, MIN_IDF).otherwise(raw)
         low = t.lower()
         f = TITLE_WEIGHT * X.occurrences(F.lower("title"), low) + TEXT_WEIGHT * X.occurrences(F.lower("text"), low)
-        total = total + idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * size / avg))
+        total = total + idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * size / c["avg"]))
     return hits.withColumn("score", total)
 
 
-def search(docs: DataFrame, q: SearchQuery, index: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
+def search(docs: DataFrame, q: SearchQuery, index: DataFrame | None = None) -> DataFrame:
     """Hits ``(entry_id, section_id, kind, score, snippet)``: every term must occur in the text or the title.
 
     With ``index`` the sections to verify come from the postings; without it the rows are scanned once. The answer is the
@@ -184,7 +185,7 @@ def search(docs: DataFrame, q: SearchQuery, index: DataFrame | None = None, leng
     hits = rows.where(match)
     terms = [*long, *short]
     if long:
-        hits = score(docs, hits, long, lengths)
+        hits = score(docs, hits, long)
         order = [F.col("score").desc(), F.col("entry_id"), F.col("position")]
     else:
         hits = hits.withColumn("score", F.lit(0.0))
@@ -246,4 +247,4 @@ class TrigramBackend:
         self._replace(entry_ids, self._docs().join(entry_ids.select("entry_id"), "entry_id", "left_anti"))
 
     def search(self, q: SearchQuery) -> DataFrame:
-        return search(self._docs(), q, self.store.read("postings"), self.store.read("lengths"))
+        return search(self._docs(), q, self.store.read("postings"))

@@ -100,9 +100,10 @@ def pack_parts(
 ) -> DataFrame:
     """Ordered pieces joined into ``(keys, part_no, n_pieces, text)``; part 0 is the whole text of a usual group.
 
-    A part closes once ``max_chars`` characters came before it, so a group of any size is spread over rows.
+    The pieces are written out once, because their sizes are summed before they are joined. A part closes once ``max_chars`` characters came before it, so a group of any size is spread over rows.
     """
-    run = prefix_sum(df, keys, [bucket], [F.col(c) for c in order], F.length(text) + len(sep), "_chars")
+    df = cut(df.select(*keys, *order, text, bucket.alias("_bucket")), "pieces")
+    run = prefix_sum(df, keys, [F.col("_bucket")], [F.col(c) for c in order], F.length(text) + len(sep), "_chars")
     parts = run.withColumn(
         "part_no", F.floor((F.col("_chars") - F.length(text) - len(sep)) / F.lit(max_chars)).cast("long")
     )

@@ -12,9 +12,6 @@ from lorekeep.session import work_dir
 from lorekeep.sources.io import SnapshotStore
 from lorekeep.streaming import jobs as J
 
-# Schema of the ledger made from events.
-_K = F.get_json_object
-
 
 def _events(v):
     return J.read_table(J.stateful(v.spark), v.dir, "events.parquet")
@@ -45,7 +42,7 @@ def dedupe(v):
 def weekly(v):
     """Running ledger totals per Monday week."""
     i = F.col("event_id")
-    k = _K("props", "$.k").cast("long")
+    k = F.get_json_object("props", "$.k").cast("long")
     ledger = _events(v).select(
         F.col("ts").alias("at"), F.when(i % 10 != 0, F.col("value")).alias("cost_usd"), (F.lit(1) + i % 3).alias("calls"),
         (F.lit(100) + k).alias("input_tokens"), (F.lit(10) + k % 7).alias("output_tokens"))
@@ -67,7 +64,7 @@ def high_water(v):
 
 @query(
     "r9_stream_forgotten",
-    "SELECT user_id, epoch_ms(max(ts)) AS last_millis FROM events GROUP BY 1 HAVING epoch_ms(max(ts)) + 86400000 < (SELECT epoch_ms(max(ts)) - 3600000 FROM events)",
+    "SELECT user_id, epoch_us(max(ts)) // 1000 AS last_millis FROM events GROUP BY 1 HAVING epoch_us(max(ts)) // 1000 + 86400000 < (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events)",
 )
 def forgotten(v):
     """Scopes without activity for a day are reported once and dropped from the state."""
