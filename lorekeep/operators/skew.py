@@ -82,6 +82,12 @@ def prefix_sum(
     return out.withColumn(name, F.col(name) + offset).drop("_v", *names, *added)
 
 
+def newest_first(at: str, id_col: str) -> tuple[list[Column], list[Column]]:
+    """Buckets and order of 'newest first, then highest id' for times of second precision: day, second, block of ids."""
+    buckets = [-F.unix_date(F.to_date(at)), -F.unix_timestamp(at), -F.floor(F.col(id_col) / 65_536)]
+    return buckets, [F.col(at).desc(), F.col(id_col).desc()]
+
+
 def global_prefix_sum(
     df: DataFrame, buckets: Sequence[Column], order: Sequence[Column], value: Column, name: str
 ) -> DataFrame:
@@ -92,7 +98,7 @@ def global_prefix_sum(
 def pack_parts(
     df: DataFrame,
     keys: Sequence[str],
-    bucket: Column,
+    buckets: Sequence[Column],
     order: Sequence[str],
     text: str,
     max_chars: int,
@@ -102,8 +108,9 @@ def pack_parts(
 
     The pieces are written out once, because their sizes are summed before they are joined. A part closes once ``max_chars`` characters came before it, so a group of any size is spread over rows.
     """
-    df = cut(df.select(*keys, *order, text, bucket.alias("_bucket")), "pieces")
-    run = prefix_sum(df, keys, [F.col("_bucket")], [F.col(c) for c in order], F.length(text) + len(sep), "_chars")
+    names = [f"_p{i}" for i in range(len(buckets))]
+    df = cut(df.select(*keys, *order, text, *[b.alias(n) for b, n in zip(buckets, names)]), "pieces")
+    run = prefix_sum(df, keys, [F.col(n) for n in names], [F.col(c) for c in order], F.length(text) + len(sep), "_chars")
     parts = run.withColumn(
         "part_no", F.floor((F.col("_chars") - F.length(text) - len(sep)) / F.lit(max_chars)).cast("long")
     )

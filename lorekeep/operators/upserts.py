@@ -109,7 +109,7 @@ def raw_hashes(raw: DataFrame, list_limit: int = 10_000) -> DataFrame:
 
 def assemble_segments(raw: DataFrame, max_chars: int = 4_000_000) -> DataFrame:
     """``(entry_id, role, part_no, n_pieces, text)``: segments joined by line breaks in order, huge ones in parts."""
-    return pack_parts(raw, ["entry_id", "role"], F.floor(F.col("seq") / 1000), ["seq"], "payload", max_chars)
+    return pack_parts(raw, ["entry_id", "role"], [F.floor(F.col("seq") / 1000)], ["seq"], "payload", max_chars)
 
 
 def contiguity(raw: DataFrame) -> DataFrame:

@@ -176,10 +176,10 @@ def asked(v):
     return _ask(v, I.ItemQuery(who="asked_by_me"), I.alias_union(v.accounts)).where("shown").select("id", "requester")
 
 
-@query("p9_owned_by", "SELECT id, owner FROM full_items WHERE conf_rank >= 1 AND owner = 'Customer 42'", ("full_items",))
+@query("p9_owned_by", "SELECT id, owner FROM full_items WHERE conf_rank >= 1 AND owner = 'Customer 7'", ("full_items",))
 def owned(v):
     """Items owned by a name, written in any spelling."""
-    return _ask(v, I.ItemQuery(who="owner", owner="42, CUSTOMER")).where("shown").select("id", "owner")
+    return _ask(v, I.ItemQuery(who="owner", owner="7, CUSTOMER")).where("shown").select("id", "owner")
 
 
 @query(

@@ -12,6 +12,7 @@ from lorekeep.functions import text as X
 from lorekeep.functions.times import entry_date, iso
 from lorekeep.operators import ledger as B
 from lorekeep.operators import policy as Y
+from lorekeep.operators.skew import cut, newest_first
 from lorekeep.plans import query
 from lorekeep.plans.ctes import body_hash, cte, iso as SI, le64
 from lorekeep.schemas import Settings
@@ -132,7 +133,7 @@ def costs(v):
 )
 def prefix(v):
     """Newest first, admitted while the running cost fits."""
-    u = B.admission(_units(v), [-F.unix_date(F.to_date("date"))], [F.col("date").desc(), F.col("entry_id").desc()], 0.35)
+    u = B.admission(cut(_units(v).select("entry_id", "date", "cost"), "units"), *newest_first("date", "entry_id"), 0.35)
     return u.select("entry_id", "admitted")
 
 
@@ -145,7 +146,7 @@ SELECT entry_id, CASE WHEN large THEN 'too_large' WHEN run <= 0.011 + 1e-9 AND r
 )
 def gate(v):
     """Units over the cap are passed over; the first other misfit stops the rest."""
-    u = B.budget_gate(_units(v), [-F.unix_date(F.to_date("date"))], [F.col("date").desc(), F.col("entry_id").desc()], [(0.012, 0.001), (10.0, 1.0)])
+    u = B.budget_gate(cut(_units(v).select("entry_id", "date", "cost"), "units"), *newest_first("date", "entry_id"), [(0.012, 0.001), (10.0, 1.0)])
     return u.select("entry_id", "gate")
 
 

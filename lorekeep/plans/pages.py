@@ -10,7 +10,8 @@ from lorekeep.plans import query
 from lorekeep.sources import pages as G
 
 _LETTERS = r"regexp_replace({}, '[^\p{{L}}]', '', 'g')"
-_ARTICLE = r"replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', '', 'g'), '&amp;', '&')"
+_ENTITIES = "replace(replace(replace(replace(replace({}, '&quot;', chr(34)), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_ARTICLE = _ENTITIES.format(r"regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', '', 'g')")
 
 
 @query(
@@ -33,7 +34,9 @@ def scored(v):
 
 @query(
     "x6_page_lengths",
-    r"""SELECT page_id, length(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)>.*?</(script|style)>', '', 'g'), '(?s)<(head|nav|footer)>.*?</(head|nav|footer)>|<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '&amp;', '&'), '\s', '', 'g')) AS chars FROM pages""",
+    "SELECT page_id, length(regexp_replace(" + _ENTITIES.format(
+        r"regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)>.*?</(script|style)>', '', 'g'), '(?s)<(head|nav|footer)>.*?</(head|nav|footer)>|<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')"
+    ) + r", '\s', '', 'g')) AS chars FROM pages",
 )
 def lengths(v):
     """Visible characters per page."""

@@ -97,16 +97,17 @@ def short(v):
 
 @query(
     "t1_postings",
-    """SELECT gram, section_id, CAST(sum(title_tf) AS BIGINT) AS title_tf, CAST(sum(text_tf) AS BIGINT) AS text_tf FROM (
+    """SELECT gram, count(DISTINCT section_id) AS sections, CAST(sum(title_tf) AS BIGINT) AS title_tf, CAST(sum(text_tf) AS BIGINT) AS text_tf FROM (
   SELECT substr(lower(title), i, 3) AS gram, section_id, 1 AS title_tf, 0 AS text_tf FROM (SELECT *, unnest(range(1, length(title) - 1)) AS i FROM docs)
   UNION ALL SELECT list_reduce([a, b, c], lambda x, y: x || y), section_id, 0, 1 FROM (
     SELECT section_id, unnest(l) AS a, unnest(list_concat(l[2:], [NULL])) AS b, unnest(list_concat(l[3:], [NULL, NULL])) AS c
-    FROM (SELECT section_id, string_split(lower(text), '') AS l FROM docs)) WHERE c IS NOT NULL) GROUP BY 1, 2""",
+    FROM (SELECT section_id, string_split(lower(text), '') AS l FROM docs)) WHERE c IS NOT NULL) GROUP BY 1""",
     ("docs",),
 )
 def postings(v):
-    """The whole inverted index with frequencies per column."""
-    return S.postings(_docs(v))
+    """The whole inverted index, summed up per gram: sections that hold it and its frequency per column."""
+    p = S.postings(_docs(v)).groupBy("gram")
+    return p.agg(F.count(F.lit(1)).alias("sections"), F.sum("title_tf").alias("title_tf"), F.sum("text_tf").alias("text_tf"))
 
 
 @query("t1_document_lengths", "SELECT section_id, entry_id, len FROM docs", ("docs",))

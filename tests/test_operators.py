@@ -133,7 +133,7 @@ def test_prefix_sum_equals_window_on_a_hot_key(spark):
 
 def test_parts_hold_everything(spark):
     df = spark.range(5000).select(F.lit("hot").alias("k"), "id", F.concat(F.lit("line "), F.col("id").cast("string")).alias("x"))
-    parts = pack_parts(df, ["k"], F.floor(F.col("id") / 100), ["id"], "x", 2000).orderBy("part_no").collect()
+    parts = pack_parts(df, ["k"], [F.floor(F.col("id") / 1000), F.floor(F.col("id") / 100)], ["id"], "x", 2000).orderBy("part_no").collect()
     assert len(parts) > 10
     assert "\n".join(p["text"] for p in parts) == "\n".join(f"line {i}" for i in range(5000))
 
