@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from lorekeep.functions import jsonx, text as X
-from lorekeep.functions.times import activity_at, entry_date, iso, parse_date
+from lorekeep.functions.times import activity_at, entry_date, iso, parse_date, parse_when
 from lorekeep.operators import entries as E
 from lorekeep.plans import query
 from lorekeep.plans.ctes import iso as SI
@@ -335,3 +335,34 @@ def json_results(v):
 def truncated(v):
     """At most 120 characters with an ellipsis."""
     return v.table("documents").select("doc_id", X.truncate_chars(F.col("text"), 120).alias("short"))
+
+
+@query(
+    "c33_relative_times",
+    """SELECT 'days' AS age, count(*) AS events FROM events WHERE ts >= TIMESTAMP '2024-01-25 12:00:00' UNION ALL SELECT 'weeks', count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-18 12:00:00'
+UNION ALL SELECT 'today', count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-31 15:00:00' - INTERVAL 2 DAY UNION ALL SELECT 'date', count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-20'""",
+)
+def relative_times(v):
+    """Events since an age, a local midnight or a date."""
+    now = datetime(2024, 2, 1, 12, tzinfo=UTC)
+    since = {"days": parse_when("7d", now), "weeks": parse_when("2w", now), "today": parse_when("today", now, "Asia/Tokyo") - timedelta(days=2), "date": parse_when("2024-01-20", now)}
+    marks = F.array(*[F.when(F.col("ts") >= F.lit(at), k) for k, at in since.items()])
+    ages = v.events.select(F.explode(F.array_compact(marks)).alias("age"))
+    return ages.groupBy("age").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query(
+    "s6_raw_sink",
+    f"""SELECT r.account_id, source_kind, CAST(year({_DATE}) AS INT) AS year, CAST(month({_DATE}) AS INT) AS month, count(*) AS segments FROM raw_objects r JOIN entries e ON e.id = r.entry_id GROUP BY 1, 2, 3, 4""",
+    ("raw_objects", "entries"),
+)
+def raw_sink(v):
+    """Raw segments written by account, kind, year and month, and read back."""
+    from lorekeep.session import work_dir
+    from lorekeep.sources.io import write_raw
+
+    e = v.entries.select(F.col("id").alias("entry_id"), "source_kind", "source_created_at", "ingested_at")
+    path = work_dir(v.spark, "raw")
+    write_raw(v.raw_objects.join(e, "entry_id"), path)
+    back = v.spark.read.parquet(path)
+    return back.groupBy("account_id", "source_kind", "year", "month").agg(F.count(F.lit(1)).alias("segments"))

@@ -393,3 +393,15 @@ def names(v):
         F.when(F.col("o_orderkey") % 2 == 0, F.upper(raw)).otherwise(F.lower(raw)).alias("name"), F.col("o_orderkey").alias("seen"),
     )
     return I.frequent_names(people)
+
+
+@query(
+    "c5_whole_emails",
+    "SELECT c_custkey, c_custkey % 4 IN (0, 3) AS hit FROM customer",
+)
+def whole_emails(v):
+    """An address counts only as a whole."""
+    c = F.col("c_custkey")
+    mail = F.concat(F.lit("u"), c.cast("string"), F.lit("@x.org"))
+    text = F.when(c % 4 == 0, F.concat(F.lit("Ann <"), mail, F.lit(">"))).when(c % 4 == 1, F.concat(F.lit("a"), mail)).when(c % 4 == 2, F.concat(mail, F.lit(".uk"))).otherwise(F.concat(mail, F.lit(".")))
+    return v.table("customer").select("c_custkey", X.contains_email(text, mail).alias("hit"))

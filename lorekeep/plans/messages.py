@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorekeep.functions import urls as U
+from lorekeep.functions import text as X
 from lorekeep.functions.times import iso
+from lorekeep.operators import items as I
 from lorekeep.operators import meetings as G
 from lorekeep.operators import messages as M
 from lorekeep.plans import query
@@ -314,3 +315,60 @@ def meetings(v):
     names = lambda c: F.array_join(F.transform(c, lambda p: p["name"]), ",")
     return m.select("source_id", "meeting_title", "recurring", names("participants").alias("participants"), names("absentees").alias("absentees"),
                     "transcript_url", "transcript", iso(F.col("created")).alias("created"))
+
+
+def _bodies(v):
+    """Rendered conversations by their number."""
+    text = M.conversation_text(M.conversation_lines(_spoken(v), "UTC"))
+    n = F.split_part("source_id", F.lit(":"), F.lit(2)).cast("long")
+    return text.select(n.alias("entry_id"), F.col("text").alias("body"), F.lit("2024-01-01").cast("timestamp").alias("source_created_at"))
+
+
+@query(
+    "w10_message_blocks",
+    """SELECT CAST(split_part(source_id, ':', 2) AS BIGINT) AS entry_id, row_number() OVER (PARTITION BY source_id ORDER BY msg_at) AS block, strftime(msg_at, '%H:%M') AS hm, ' ' || who || ': ' || trim(text) AS text FROM spoken""",
+    ("spoken",),
+)
+def message_blocks(v):
+    """Rendered conversations cut back into messages at their stamps."""
+    return I.message_blocks(_bodies(v)).select("entry_id", "block", "hm", "text")
+
+
+_N = r"trim(regexp_replace(regexp_replace(lower({}), '[*_`~]', '', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(
+    "w11_occurred_times",
+    f"""WITH b AS (SELECT source_id, turn, msg_at, x.multi, {_N.format("' ' || who || ': ' || trim(text)")} AS n, {_N.format("substr(text, 1, 40)")} AS q FROM spoken JOIN (SELECT source_id, min(CAST(msg_at AS DATE)) <> max(CAST(msg_at AS DATE)) AS multi FROM spoken GROUP BY 1) x USING (source_id))
+SELECT CAST(split_part(a.source_id, ':', 2) AS BIGINT) AS entry_id, CAST(a.turn AS INT) AS ordinal, CASE WHEN any_value(a.multi) THEN strftime(min(c.msg_at), '%Y-%m-%dT%H:%M:00Z') ELSE '2024-01-01' || strftime(min(c.msg_at), 'T%H:%M:00Z') END AS occurred_at
+FROM b a JOIN b c ON c.source_id = a.source_id AND contains(c.n, a.q) GROUP BY 1, 2""",
+    ("spoken",),
+)
+def occurred_times(v):
+    """Time of the first message that holds a quote; without dates in the stamps the entry's day counts."""
+    q = _messages(v).select(
+        F.split_part("source_id", F.lit(":"), F.lit(2)).cast("long").alias("entry_id"), F.split_part("ts", F.lit("."), F.lit(2)).cast("int").alias("ordinal"),
+        X.match_norm(F.substring("text", 1, 40)).alias("quote_norm"))
+    return I.occurred_times(q, _bodies(v), "UTC").select("entry_id", "ordinal", iso(F.col("at")).alias("occurred_at"))
+
+
+@query(
+    "c18_block_text",
+    """SELECT conv_id, turn, 'Turn ' || turn || ' @' || coalesce(nullif(trim(real_name), ''), nullif(trim(display_name), ''), nullif(trim(name), ''), 'U0') || chr(10) || length(text) || ' chars' || chr(10) || '- one (http://x)' || chr(10) || '> T / @here' AS body
+FROM conversations LEFT JOIN directory d ON d.user_id = 'U0'""",
+    ("directory",),
+)
+def block_text(v):
+    """Text of layout blocks, rich text, lists and attachments; a repeated fragment counts once."""
+    turn = F.col("turn").cast("string")
+    sec = F.concat(F.lit('{"type":"section","text":{"text":"Turn '), turn, F.lit(' <@U0>"}}'))
+    rich = F.concat(
+        F.lit('{"type":"rich_text","elements":[{"type":"rich_text_section","elements":[{"type":"text","text":"'), F.length("text").cast("string"),
+        F.lit(' chars"}]},{"type":"rich_text_list","elements":[{"elements":[{"type":"link","url":"http://x","text":"one"}]}]}]}'))
+    blocks = F.concat(F.lit("["), F.concat_ws(",", sec, rich, sec), F.lit("]"))
+    line = F.to_json(F.struct(
+        F.concat((F.col("turn") + 1).cast("string"), F.lit(".0")).alias("ts"), F.lit(" ").alias("text"), blocks.alias("blocks"),
+        F.array(F.struct(F.lit("T").alias("title"), F.lit("<!here>").alias("text"))).alias("attachments")))
+    seg = v.table("conversations").select(F.col("conv_id").cast("string").alias("source_id"), F.lit(0).alias("seq"), F.col("turn").alias("line_no"), line.alias("line"))
+    m = M.render_bodies(M.parse_messages(seg), M.directory_labels(v.directory))
+    return m.select(F.col("source_id").cast("long").alias("conv_id"), (F.split_part("ts", F.lit("."), F.lit(1)).cast("long") - 1).alias("turn"), "body")

@@ -154,3 +154,14 @@ def best(v):
     n = X.occurrences(F.lower("text"), "en")
     ranked = _docs(v).select("entry_id", "section_id", "position", n.cast("long").alias("n"))
     return top_n(ranked, ["entry_id"], [F.col("n").desc(), F.col("position")], 1).select("entry_id", "section_id", "n")
+
+
+@query("e4_search_backend", _bm25(["ation", "pour"], "true", 20), ("docs",))
+def backend(v):
+    """The search backend over a published index."""
+    from lorekeep.session import work_dir
+    from lorekeep.sources.io import SnapshotStore
+
+    b = S.TrigramBackend(SnapshotStore(v.spark, work_dir(v.spark, "index")), lambda: (v.sections, v.entries))
+    b.rebuild()
+    return _rows(b.search(S.SearchQuery(["ation", "pour"], limit=20)))

@@ -436,3 +436,30 @@ def reextract(v):
     out = run(present, v.raw_objects, NORMALIZERS)
     return out.groupBy("entry_id").agg(
         F.max(F.when(F.col("kind") == "overview", F.col("text"))).alias("overview"), F.sum(F.when(F.col("kind") == "details", F.length("text"))).alias("n"))
+
+
+@query(
+    "m5_summary_commit",
+    f"""SELECT e.id, CASE WHEN d THEN 'done' ELSE summary_status END AS summary_status, CASE WHEN d THEN 0 ELSE summary_attempts END AS summary_attempts,
+  CASE WHEN d THEN 'overview:sum ' || e.id ELSE (SELECT string_agg(kind || ':' || text, '|' ORDER BY position) FROM sections s WHERE s.entry_id = e.id AND s.origin = 'generated') END AS generated,
+  CASE WHEN d THEN 1 ELSE 0 END AS items, CASE WHEN d THEN 'm-new' ELSE (SELECT model FROM summaries s WHERE s.entry_id = e.id) END AS model, CASE WHEN d THEN 0.5::DOUBLE END AS spent
+FROM (SELECT *, summary_status IN ('pending', 'failed') AS d FROM entries) e""",
+    ("entries", "sections", "summaries"),
+)
+def summary_commit(v):
+    """M5: sections, items, summary, status and ledger row of finished summaries change together."""
+    e = v.entries.withColumn("updated_at", F.lit(None).cast("timestamp"))
+    items = v.spark.createDataFrame([], "entry_id long, ordinal int, kind string, text string")
+    ledger = v.spark.createDataFrame([], "entry_id long, at timestamp, model string, cost_usd double, outcome string")
+    done = e.where(F.col("summary_status").isin("pending", "failed")).select(
+        F.col("id").alias("entry_id"),
+        F.array(F.struct(F.lit("overview").alias("kind"), F.concat(F.lit("sum "), F.col("id").cast("string")).alias("text"))).alias("drafts"),
+        F.array(F.struct(F.lit("decision").alias("kind"), F.lit("x").alias("text"))).alias("items"), F.lit("llm_api").alias("generator_kind"), F.lit("p").alias("provider"),
+        F.lit("m-new").alias("model"), F.lit("default").alias("profile"), F.lit("document-summary/v4").alias("prompt_version"), F.lit("b2:x").alias("input_hash"), F.lit(0.5).alias("cost_usd"))
+    t = M.commit_summaries({"entries": e, "sections": v.sections.drop("id"), "items": items, "summaries": v.summaries, "ledger": ledger}, done, NOW)
+    gen = t["sections"].where(F.col("origin") == "generated").groupBy(F.col("entry_id").alias("id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "kind", "text"))), lambda s: F.concat_ws(":", s["kind"], s["text"])), "|").alias("generated"))
+    n = t["items"].groupBy(F.col("entry_id").alias("id")).agg(F.count(F.lit(1)).alias("items"))
+    spent = t["ledger"].groupBy(F.col("entry_id").alias("id")).agg(F.sum("cost_usd").alias("spent"))
+    out = t["entries"].join(gen, "id", "left").join(n, "id", "left").join(spent, "id", "left").join(t["summaries"].select(F.col("entry_id").alias("id"), "model"), "id", "left")
+    return out.select("id", "summary_status", "summary_attempts", "generated", F.coalesce("items", F.lit(0)).alias("items"), "model", "spent")
