@@ -23,7 +23,7 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 def nfkc(c: Column) -> Column:
     """NFKC. Only texts that can change reach Python; the rest stay in the JVM as nulls of the batch."""
-    needs = c.rlike(_NEEDS_NFKC)
+    needs = needs_nfkc(c)
     return F.when(needs, _nfkc(F.when(needs, c))).otherwise(c)
 
 
@@ -33,9 +33,19 @@ def match_norm(c: Column) -> Column:
     return F.trim(F.regexp_replace(plain, _SPACE, " "))
 
 
+def needs_nfkc(c: Column) -> Column:
+    """Whether NFKC can change a text at all."""
+    return c.rlike(_NEEDS_NFKC)
+
+
+def plain_name(c: Column) -> Column:
+    """``name_norm`` of a text that NFKC leaves alone; usable inside array functions."""
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{IsAlphabetic}\p{N}@]+", " "))
+
+
 def name_norm(c: Column) -> Column:
     """Person name for comparison: NFKC, lower case, everything but letters, digits and ``@`` becomes one space."""
-    return F.trim(F.regexp_replace(F.lower(nfkc(c)), r"[^\p{IsAlphabetic}\p{N}@]+", " "))
+    return plain_name(nfkc(c))
 
 
 def windows(c: Column, n: int) -> Column:

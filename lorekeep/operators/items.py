@@ -303,13 +303,23 @@ def in_range(since: datetime | None, until: datetime | None) -> Column:
 
 
 def _groups(items: DataFrame) -> DataFrame:
-    """One row per item and group it belongs to: its scope, and every person on it."""
-    people = F.filter(F.concat(F.col("actors"), F.array("owner", "requester")), lambda p: p.isNotNull())
+    """One row per item and group it belongs to: its scope, and every person on it.
+
+    Names that NFKC cannot change are normalized in place; only items with other ones go through Python and a join.
+    """
     facts = ["side", "id", "entry_id", "at", "txt"]
-    spelled = items.select(*facts, F.explode(F.array_distinct(people)).alias("ref"))
-    names = spelled.select("ref").distinct().select("ref", X.name_norm(F.col("ref")).alias("n")).where(F.col("n") != "")
-    by_person = spelled.join(names, "ref").select(*facts, F.concat(F.lit("p:"), "n").alias("grp")).distinct()
-    return items.select(*facts, F.concat(F.lit("s:"), "scope_key").alias("grp")).unionByName(by_person)
+    people = F.filter(F.concat(F.col("actors"), F.array("owner", "requester")), lambda p: p.isNotNull())
+    rows = items.select(*facts, "scope_key", F.array_distinct(people).alias("refs"))
+    odd = F.exists("refs", lambda p: X.needs_nfkc(p))
+    names = F.array_distinct(F.transform("refs", lambda p: X.plain_name(p)))
+    keys = F.transform(F.filter(names, lambda n: n != ""), lambda n: F.concat(F.lit("p:"), n))
+    scope = F.array(F.concat(F.lit("s:"), "scope_key"))
+    plain = rows.where(~odd).select(*facts, F.explode(F.concat(scope, keys)).alias("grp"))
+    special = rows.where(odd)
+    spelled = special.select(*facts, F.explode("refs").alias("ref"))
+    named = spelled.select("ref").distinct().select("ref", X.name_norm(F.col("ref")).alias("n")).where(F.col("n") != "")
+    by_person = spelled.join(named, "ref").select(*facts, F.concat(F.lit("p:"), "n").alias("grp")).distinct()
+    return plain.unionByName(special.select(*facts, scope[0].alias("grp"))).unionByName(by_person)
 
 
 def _similar_texts(left: DataFrame, right: DataFrame, texts: DataFrame, minimum: float) -> DataFrame:

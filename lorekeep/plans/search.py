@@ -118,7 +118,7 @@ def lengths(v):
 
 @query(
     "t7_index_consistency",
-    """SELECT count(*) FILTER (WHERE NOT stale) + count(*) FILTER (WHERE stale) AS index_rows, count(*) AS section_rows, 0 AS missing, 0 AS orphaned
+    """SELECT count(*) FILTER (WHERE NOT stale) + count(*) FILTER (WHERE stale) AS index_rows, count(*) AS section_rows, 0::BIGINT AS missing, 0::BIGINT AS orphaned
 FROM (SELECT section_id, false AS stale FROM docs)""",
     ("docs",),
 )

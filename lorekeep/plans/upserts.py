@@ -442,7 +442,7 @@ def reextract(v):
     "m5_summary_commit",
     f"""SELECT e.id, CASE WHEN d THEN 'done' ELSE summary_status END AS summary_status, CASE WHEN d THEN 0 ELSE summary_attempts END AS summary_attempts,
   CASE WHEN d THEN 'overview:sum ' || e.id ELSE (SELECT string_agg(kind || ':' || text, '|' ORDER BY position) FROM sections s WHERE s.entry_id = e.id AND s.origin = 'generated') END AS generated,
-  CASE WHEN d THEN 1 ELSE 0 END AS items, CASE WHEN d THEN 'm-new' ELSE (SELECT model FROM summaries s WHERE s.entry_id = e.id) END AS model, CASE WHEN d THEN 0.5::DOUBLE END AS spent
+  CASE WHEN d THEN 1::BIGINT ELSE 0::BIGINT END AS items, CASE WHEN d THEN 'm-new' ELSE (SELECT model FROM summaries s WHERE s.entry_id = e.id) END AS model, CASE WHEN d THEN 0.5::DOUBLE END AS spent
 FROM (SELECT *, summary_status IN ('pending', 'failed') AS d FROM entries) e""",
     ("entries", "sections", "summaries"),
 )
