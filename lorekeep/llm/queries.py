@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import exact_dedup
+from lorekeep.llm import exact_dedup, source_mix
 
 QUERIES = {
+    "op3_source_mix": source_mix.op3,
     "op10_exact_dedup": exact_dedup.op10,
 }
 ORACLES = {
