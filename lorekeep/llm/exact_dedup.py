@@ -24,6 +24,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
+#: Keys of one partition of the state. A partition is a store of its own with a fixed cost, for the life of the stream.
+KEYS_PER_STORE = 50_000
 #: Copies compared with one replica of the text that stays.
 COPIES_PER_REPLICA = 1000
 
@@ -42,7 +44,7 @@ def _keyed(rows: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
     )
 
 
-def keyed_state(spark: SparkSession, path: str, id_col="doc_id", text_col="text", digest=sha, files_per_batch: int | None = None, checkpoint: str | None = None) -> DataFrame:
+def keyed_state(spark: SparkSession, path: str, id_col="doc_id", text_col="text", digest=sha, files_per_batch: int | None = None, checkpoint: str | None = None, stores: int | None = None) -> DataFrame:
     """(digest, n, keep_id, keep_file, keep_row) after all files under ``path``; ``checkpoint`` resumes an earlier run."""
     place = checkpoint or work_dir(spark, "dedup-state")
     schema = spark.read.parquet(path).select(id_col, text_col).schema
@@ -52,9 +54,11 @@ def keyed_state(spark: SparkSession, path: str, id_col="doc_id", text_col="text"
     # As a pattern, because the stream takes a plain path for a folder and this may be one file.
     rows = _keyed(source.parquet(f"{path[:-1]}[{path[-1]}]"), id_col, text_col, digest).drop("text")
     state = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
-    before = {k: spark.conf.get(k, None) for k in STATE}
+    stores = stores or max(12, -(-spark.read.parquet(path).count() // KEYS_PER_STORE))
+    settings = STATE | {"spark.sql.streaming.internal.stateStore.partitions": str(stores)}
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
-        for k, v in STATE.items():
+        for k, v in settings.items():
             spark.conf.set(k, v)
         run = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", place).trigger(availableNow=True).start()
         run.awaitTermination()
