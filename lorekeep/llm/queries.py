@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import exact_dedup, source_mix
+from lorekeep.llm import exact_dedup, secret_links, source_mix
 
 QUERIES = {
     "op3_source_mix": source_mix.op3,
+    "op9_secret_links": secret_links.op9,
     "op10_exact_dedup": exact_dedup.op10,
 }
 ORACLES = {
