@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import exact_dedup, secret_links, source_mix
+from lorekeep.llm import exact_dedup, secret_links, source_mix, token_files
 
 QUERIES = {
+    "op2_token_files": token_files.op2,
     "op3_source_mix": source_mix.op3,
     "op9_secret_links": secret_links.op9,
     "op10_exact_dedup": exact_dedup.op10,
