@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import exact_dedup, secret_links, source_mix, token_files
+from lorekeep.llm import exact_dedup, piece_codec, secret_links, source_mix, token_files
 
 QUERIES = {
     "op2_token_files": token_files.op2,
     "op3_source_mix": source_mix.op3,
+    "op5_piece_codec": piece_codec.op5,
     "op9_secret_links": secret_links.op9,
     "op10_exact_dedup": exact_dedup.op10,
 }
