@@ -28,3 +28,16 @@ def held_out(doc_id: str | Column) -> Column:
 def fold(doc_id: str) -> Column:
     text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     return (F.crc32(text.cast("binary")) % 5).cast("int")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, y, fold) of at most ``rows`` labelled documents outside the held-out fifth, each text once.
+
+    The rows are the first by a hash of the id, so the sample does not depend on the layout of the tables. They are the
+    side that is broadcast: their number is the bound.
+    """
+    usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    chosen = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y")).withColumn("fold", fold("doc_id"))

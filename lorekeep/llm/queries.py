@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import exact_dedup, piece_codec, secret_links, source_mix, token_files
+from lorekeep.llm import exact_dedup, piece_codec, secret_links, source_mix, token_files, toxic_segments
 
 QUERIES = {
+    "op1_toxic_segments": toxic_segments.op1,
     "op2_token_files": token_files.op2,
     "op3_source_mix": source_mix.op3,
     "op5_piece_codec": piece_codec.op5,
