@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import exact_dedup, metric_join, piece_codec, quality_mil, secret_links, source_mix, token_files, toxic_segments
+from lorekeep.llm import exact_dedup, metric_join, piece_codec, quality_mil, secret_links, shingle_join, source_mix, token_files, toxic_segments
 
 QUERIES = {
     "op1_toxic_segments": toxic_segments.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_source_mix": source_mix.op3,
     "op5_piece_codec": piece_codec.op5,
     "op6_metric_join": metric_join.op6,
+    "op7_shingle_join": shingle_join.op7,
     "op8_quality_mil": quality_mil.op8,
     "op9_secret_links": secret_links.op9,
     "op10_exact_dedup": exact_dedup.op10,
