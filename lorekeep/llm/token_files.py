@@ -29,7 +29,10 @@ from lorekeep.session import work_dir
 SKIPPABLE, SEEK_TABLE, FOOTER, HAS_CHECKSUM = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 END_ID = 2
 #: Longest piece of a document in one frame, and words whose ids a worker remembers.
-FRAME_BYTES, REMEMBERED = 1 << 28, 500_000
+FRAME_BYTES, REMEMBERED = 1 << 28, 700_000
+#: Marks that the tokenizer parts from a letter before them.
+MARKS = b".,;:!?%#$&*()[]{}|-_+=/~^\""
+LETTER = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
 
 
@@ -59,19 +62,27 @@ class WordIds:
 
     def learn(self, words: set[bytes]) -> None:
         """Encodes words in one go, with a mark between them that no word holds."""
-        fresh = [w for w in words if w not in self.known]
-        if not fresh:
-            return
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {b"": b""}
+        known = self.known
+        fresh = [w for w in words if w not in known]
+        if len(known) + len(fresh) > REMEMBERED:
+            known = self.known = {b"": b""}
             fresh = list(words - {b""})
+        # A word with marks behind its last letter has the ids of both parts.
+        parts = {}
+        for w in fresh:
+            core = w.rstrip(MARKS)
+            if len(core) < len(w) and core and core[-1] in LETTER:
+                parts[w] = core, w[len(core) :]
+        fresh = list({p for w in fresh for p in parts.get(w, (w,))} - known.keys())
         for at in range(0, len(fresh), 20_000):
             some = fresh[at : at + 20_000]
             ids = self._ids(" \x01 ".join(w.decode() for w in some))
             cuts = np.flatnonzero(ids == self.mark[0])
             starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]])
             raw = ids.tobytes()
-            self.known.update(zip(some, (raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist()))))
+            known.update(zip(some, (raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist()))))
+        for w, (core, marks) in parts.items():
+            known[w] = known[core] + known[marks]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         split: list[list[bytes] | str] = []
