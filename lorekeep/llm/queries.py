@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import exact_dedup, metric_join, piece_codec, quality_mil, secret_links, shingle_join, source_mix, token_files, toxic_segments
+from lorekeep.llm import exact_dedup, metric_join, page_text, piece_codec, quality_mil, secret_links, shingle_join, source_mix, token_files, toxic_segments
 
 QUERIES = {
     "op1_toxic_segments": toxic_segments.op1,
     "op2_token_files": token_files.op2,
     "op3_source_mix": source_mix.op3,
+    "op4_page_text": page_text.op4,
     "op5_piece_codec": piece_codec.op5,
     "op6_metric_join": metric_join.op6,
     "op7_shingle_join": shingle_join.op7,
