@@ -9,7 +9,7 @@ logistic curve fitted on documents that gave no counts turns it into a score.
 
 The model learns from at most ``rows`` labelled documents and keeps at most ``terms`` words; every word of every text is
 scanned. Defined results: a null text counts as empty; texts without words get the score of no evidence; without
-labelled documents of both kinds every score is 0; repeated rows get equal scores; other columns play no part.
+labelled documents of both kinds every score is next to 0; repeated rows get equal scores; other columns play no part.
 """
 
 from __future__ import annotations
