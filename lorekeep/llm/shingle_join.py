@@ -32,7 +32,7 @@ from lorekeep.llm.common import arrow_batches, table
 from lorekeep.llm.components import Forest, components
 from lorekeep.operators.skew import cut
 
-FREQUENT = 50  # sets that hold a shingle
+FREQUENT = 24  # sets that hold a shingle
 CELLS = 1 << 22  # bits of the map of frequent shingles
 FEW = 24  # sets under one key that give their pairs
 COMBINED = 40  # longest prefix that is combined
@@ -185,7 +185,8 @@ def _cluster_links(clusters: DataFrame, full: DataFrame, bound: Bound) -> DataFr
     # Partners lie in the same or the next class of sizes.
     step = math.log(bound.den / bound.num) if bound.num < bound.den else 1e-9
     kind = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9)
-    sets = cut(clusters.join(full, "node").withColumn("kind", kind), "cluster-sets")
+    # Sets are dealt by their sizes alone; the shingles follow when it is settled where they are needed.
+    sets = cut(clusters.join(full.select("node", "n"), "node").withColumn("kind", kind), "cluster-sets")
     sizes = sets.groupBy("cluster", "kind").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens"))
     blocks = sizes.select("cluster", "kind", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).alias("blocks"))
     own = sets.join(blocks, ["cluster", "kind"]).withColumn("b1", F.pmod(F.xxhash64("node", "n"), F.col("blocks"))).withColumnRenamed("blocks", "own")
@@ -196,8 +197,8 @@ def _cluster_links(clusters: DataFrame, full: DataFrame, bound: Bound) -> DataFr
     ahead = (F.col("kind") < F.col("k2")) | ((F.col("kind") == F.col("k2")) & (F.col("b1") <= F.col("b2")))
     swap = lambda x, y: F.when(ahead, F.col(x)).otherwise(F.col(y))
     dealt = near.select(
-        "cluster", swap("kind", "k2").alias("p"), swap("b1", "b2").alias("q"), swap("k2", "kind").alias("r"), swap("b2", "b1").alias("s"), F.when(ahead, 0).otherwise(1).alias("side"), "node", "n", "tokens"
-    )
+        "cluster", swap("kind", "k2").alias("p"), swap("b1", "b2").alias("q"), swap("k2", "kind").alias("r"), swap("b2", "b1").alias("s"), F.when(ahead, 0).otherwise(1).alias("side"), "node", "n"
+    ).join(full, ["node", "n"])
 
     def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         alone = key[1:3] == key[3:5]
