@@ -1,7 +1,7 @@
 """Jaccard join of word shingles by token-combination prefixes (operator 7).
 
-Texts with equal shingle sets are one set. All shingles have one global order: rare ones of a fixed quarter (by hash)
-first, then that quarter's frequent ones, then the rest. Two sets within reach share their first two common shingles in
+Texts with equal shingle sets are one set. All shingles have one global order: those of a fixed quarter that one set
+alone holds, then the quarter's rare and its frequent ones, then all others; by hash within each. Two sets within reach share their first two common shingles in
 prefixes extended by one. If one of the two is rare, they meet under it alone; if both are frequent, under their
 combination. Long sets, whose prefix has too many combinations, meet under single shingles instead, as do all sets that
 can have a long partner. A key with few sets gives its pairs, which are then verified on the whole sets. Sets that meet
@@ -9,8 +9,8 @@ under a key with many are put into clusters, a cluster is cut into blocks of lik
 intersections and return a spanning forest instead of pairs: no link between different sets is lost, and no group of
 near copies is written out pair by pair.
 
-Which shingles are frequent is counted over all sets and reaches the tasks as a bit map of fixed size; a shingle that
-shares a bit with a frequent one counts as frequent, which changes the route and not the result.
+Which shingles are shared or frequent is counted over all sets and reaches the tasks as bit maps of fixed size; a shingle
+that has its bit in common with a frequent one counts as frequent, which changes the route and not the result.
 
 Defined results: shingles are 64-bit hashes of the words; a null text counts as empty; empty sets link with nothing;
 rows with a null id link with nothing and have a null component; rows with equal ids are one node with the links of
@@ -33,7 +33,7 @@ from lorekeep.llm.components import Forest, components
 from lorekeep.operators.skew import cut
 
 FREQUENT = 24  # sets that hold a shingle
-CELLS = 1 << 22  # bits of the map of frequent shingles
+CELLS = 1 << 25  # bits of the maps of shared and of frequent shingles
 FEW = 24  # sets under one key that give their pairs
 COMBINED = 40  # longest prefix that is combined
 BLOCK_SETS, BLOCK_TOKENS, COLUMNS = 1_000, 400_000, 4_096
@@ -119,24 +119,36 @@ def _full(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(task, "node long, n long, tokens array<long>")
 
 
-def _frequent(sets: DataFrame) -> bytes:
-    """A bit for each cell that holds a chosen shingle of more than ``FREQUENT`` sets."""
-    counts = sets.select(F.explode("picked").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT)
-    # At most CELLS rows, whatever the input.
-    cells = counts.select(F.shiftright("h", 2).bitwiseAND(CELLS - 1).cast("int").alias("cell")).distinct().toPandas().cell.to_numpy()
-    bits = np.zeros(CELLS, bool)
-    bits[cells] = True
-    return np.packbits(bits).tobytes()
+def _maps(sets: DataFrame) -> tuple[bytes, bytes]:
+    """Bits of the chosen shingles that more than one set, and more than ``FREQUENT`` sets hold."""
+    counts = sets.select(F.explode("picked").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    cell = F.shiftright("h", 2).bitwiseAND(CELLS - 1)
+    # At most a row for each cell, whatever the input; a block of cells becomes its bits in a task.
+    seen = counts.groupBy(cell.alias("cell")).agg((F.max("c") > FREQUENT).alias("often"))
+    width = min(CELLS, 1 << 15)
 
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros((2, width), bool)
+        at = (rows.cell % width).to_numpy()
+        bits[0, at], bits[1, at] = True, rows.often.to_numpy()
+        shared, often = np.packbits(bits, axis=1)
+        return pd.DataFrame({"block": [int(rows.cell.iloc[0]) // width], "shared": [shared.tobytes()], "often": [often.tobytes()]})
 
-def _index(sets: DataFrame, bound: Bound, frequent: bytes) -> DataFrame:
+    packed = seen.withColumn("block", (F.col("cell") / width).cast("int")).groupBy("block").applyInPandas(pack, "block int, shared binary, often binary")
+    out = np.zeros((2, CELLS // width, width // 8), np.uint8)
+    for r in packed.collect():
+        out[0, r.block], out[1, r.block] = np.frombuffer(r.shared, np.uint8), np.frombuffer(r.often, np.uint8)
+    return out[0].tobytes(), out[1].tobytes()
+
+
+def _index(sets: DataFrame, bound: Bound, maps: tuple[bytes, bytes]) -> DataFrame:
     """(key, node, n): the keys under which each set meets others."""
-    held = sets.sparkSession.sparkContext.broadcast(frequent)
+    held = sets.sparkSession.sparkContext.broadcast(maps)
     long_from = bound.long_from()
     may_meet_long = math.ceil(bound.num * long_from / bound.den)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(held.value, np.uint8)).astype(bool)
+        shared_bits, often_bits = (np.unpackbits(np.frombuffer(m, np.uint8)).astype(bool) for m in held.value)
         for batch in batches:
             keys: list[np.ndarray] = []
             picked, rest = batch.column("picked"), batch.column("rest")
@@ -144,10 +156,13 @@ def _index(sets: DataFrame, bound: Bound, frequent: bytes) -> DataFrame:
             for k in range(batch.num_rows):
                 n = int(sizes[k])
                 h = picked[k].values.to_numpy()
-                often = bits[(h >> 2) & (CELLS - 1)]
-                rare, usual = h[~often], np.concatenate([h[often], rest[k].values.to_numpy()])
-                one, two = bound.prefix(n, 1), bound.prefix(n, 2)
-                out = [_mixed(rare[:two].view(np.uint64))]
+                cell = (h >> 2) & (CELLS - 1)
+                shared, often = shared_bits[cell], often_bits[cell]
+                rare, usual = h[shared & ~often], np.concatenate([h[often], rest[k].values.to_numpy()])
+                # Shingles of this set alone come first and lead to no other set.
+                alone = len(h) - int(shared.sum())
+                one, two = bound.prefix(n, 1) - alone, bound.prefix(n, 2) - alone
+                out = [_mixed(rare[: max(two, 0)].view(np.uint64))]
                 usual2 = usual[: max(two - len(rare), 0)].view(np.uint64)
                 if n < long_from and len(usual2) > 1:
                     # Stored order is the global order, so both sets name a combination alike.
@@ -245,7 +260,7 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_
     kept = filled.join(first.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest"])
     reps = cut(kept, "shingle-distinct")
 
-    index = _index(reps, bound, _frequent(reps))
+    index = _index(reps, bound, _maps(reps))
     keys = index.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.min("node").alias("lead")).where("sets > 1")
     met = cut(index.join(keys, "key"), "shingle-keys")
     pairs = cut(_pairs(met.where(F.col("sets") <= FEW), bound), "shingle-pairs")
