@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from lorekeep.functions import jsonx, text as X
 from lorekeep.functions.times import activity_at, item_at, local_date, safe_date
-from lorekeep.operators.skew import cut, top_n
+from lorekeep.operators.skew import cut, prefix_sum, top_n
 from lorekeep.schemas import CLOSURE_KINDS, CONFIDENCE_RANK, DEFAULTS, ITEM_KINDS, ITEM_PROMPTS, Settings
 
 # What may follow a meeting name, and the stamp in front of a rendered message.
@@ -496,13 +496,13 @@ def message_blocks(bodies: DataFrame) -> DataFrame:
     lines = bodies.select("entry_id", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
     day, hm = F.regexp_extract("line", _STAMP, 1), F.regexp_extract("line", _STAMP, 2)
     stamped = F.col("line").rlike(_STAMP) & ((day == "") | safe_date(day).isNotNull())
-    w = W.partitionBy("entry_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cut = lines.select(
+    lines = prefix_sum(lines, ["entry_id"], [F.floor(F.col("line_no") / 1000)], [F.col("line_no")], stamped.cast("int"), "block")
+    pieces = lines.select(
         "entry_id", "line_no", F.when(stamped, F.nullif(day, F.lit(""))).alias("day"), F.when(stamped, hm).alias("hm"),
         F.when(stamped, F.regexp_replace("line", r"^(?:\d{4}-\d{2}-\d{2} )?\d{2}:\d{2}", "")).otherwise(F.col("line")).alias("part"),
-        F.sum(stamped.cast("int")).over(w).alias("block"),
+        "block",
     ).where(F.col("block") > 0)
-    return cut.groupBy("entry_id", "block").agg(
+    return pieces.groupBy("entry_id", "block").agg(
         F.max("day").cast("date").alias("day"), F.max("hm").alias("hm"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "part"))), lambda x: x["part"]), "\n").alias("text"),
     )

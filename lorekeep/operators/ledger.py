@@ -149,64 +149,59 @@ def admission(units: DataFrame, buckets: Sequence[Column], order: Sequence[Colum
 def budget_gate(units: DataFrame, buckets: Sequence[Column], order: Sequence[Column], limits: Sequence[tuple[float, float]]) -> DataFrame:
     """Adds ``gate``: too_large, go or stop. ``limits`` are ``(cap, spent)`` of the enabled periods, the week first.
 
-    A unit larger than a cap is passed over; the first other unit that does not fit, or meets an exhausted budget, stops
-    it and all later ones.
+    Period by period: a unit larger than the cap is passed over; one that does not fit, or meets an exhausted budget, is
+    stopped with all later ones.
     """
     if not limits:
         return units.withColumn("gate", F.lit("go"))
     large = F.col("cost") > min(c for c, _ in limits) + EPS
-    left = min(c - s for c, s in limits)
     part = units.withColumn("_c", F.when(large, 0.0).otherwise(F.col("cost")))
     run = global_prefix_sum(part, buckets, order, F.col("_c"), "_run")
-    fits = (F.col("_run") <= left + EPS) & (F.col("_run") - F.col("_c") < left - EPS)
-    return run.withColumn("gate", F.when(large, "too_large").when(fits, "go").otherwise("stop")).drop("_c", "_run")
+    gate = None
+    for cap, spent in limits:
+        # The first period with something to say decides.
+        before = F.col("_run") - F.col("_c")
+        rules = ((F.col("cost") > cap + EPS, "too_large"), ((before + F.col("cost") > cap - spent + EPS) | (before >= cap - spent - EPS), "stop"))
+        for rule, said in rules:
+            gate = F.when(rule, said) if gate is None else gate.when(rule, said)
+    return run.withColumn("gate", gate.otherwise("go")).drop("_c", "_run")
 
 
 # -- chunks and estimates -------------------------------------------------------------------------------------
 
 
-def _pieces(body: str, limit: int) -> Iterator[str]:
-    for para in body.split("\n\n"):
-        if len(para) <= limit:
-            yield para + "\n\n"
-            continue
-        for line in para.split("\n"):
-            if len(line) < limit:
-                yield line + "\n"
-            else:
-                step = max(limit - 1, 1)
-                for i in range(0, len(line), step):
-                    yield line[i : i + step] + "\n"
-        yield "\n"
+def _units(body: Column, limit: int) -> Column:
+    """What may not be cut further: paragraphs, lines of long paragraphs, stretches of long lines; each ends its own way."""
+    step = max(limit - 1, 1)
 
+    def stretches(line: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(line), F.lit(1)), F.lit(step))
+        return F.transform(starts, lambda at: F.concat(F.substring(line, at, F.lit(step)), F.lit("\n")))
 
-def pack_chunks(body: str, limit: int) -> list[str]:
-    """Paragraphs, then lines, then hard pieces, packed in order into chunks of at most ``limit`` characters."""
-    limit = max(limit, 1)
-    if len(body) <= limit:
-        return [body]
-    out, cur, size = [], [], 0
-    for piece in _pieces(body, limit):
-        if cur and size + len(piece) > limit:
-            out.append("".join(cur).rstrip())
-            cur, size = [], 0
-        cur.append(piece)
-        size += len(piece)
-    last = "".join(cur)
-    if last.strip():
-        out.append(last.rstrip())
-    return out
+    def lines(para: Column) -> Column:
+        parts = F.transform(F.split(para, "\n"), lambda x: F.when(F.length(x) < limit, F.array(F.concat(x, F.lit("\n")))).otherwise(stretches(x)))
+        return F.concat(F.flatten(parts), F.array(F.lit("\n")))
+
+    paragraphs = F.split(body, "\n\n")
+    return F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= limit, F.array(F.concat(p, F.lit("\n\n")))).otherwise(lines(p))))
 
 
 def chunks(body: Column, limit: int) -> Column:
-    """A body as an array of chunks. Only bodies over the limit reach Python."""
+    """A body as an array of chunks of at most ``limit`` characters; a body within the limit is one chunk as it is."""
+    limit = max(limit, 1)
+    none = F.array().cast("array<string>")
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: None if b is None else pack_chunks(b, limit))
+    def add(acc: Column, unit: Column) -> Column:
+        full = (acc["open"] != "") & (F.length(acc["open"]) + F.length(unit) > limit)
+        return F.struct(
+            F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), F.when(full, unit).otherwise(F.concat(acc["open"], unit)).alias("open")
+        )
 
-    long = F.length(body) > limit
-    return F.when(long, split(F.when(long, body))).otherwise(F.array(body))
+    packed = F.aggregate(_units(body, limit), F.struct(none.alias("done"), F.lit("").alias("open")), add, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
+    # White space at the end of a chunk goes, and a last chunk of nothing else.
+    ends = F.transform(packed, lambda c: F.regexp_replace(c, r"\s+$", ""))
+    kept = F.when(F.element_at(ends, -1) == "", F.slice(ends, 1, F.size(ends) - 1)).otherwise(ends)
+    return F.when(F.length(body) > limit, kept).otherwise(F.array(body))
 
 
 def unit_estimates(inputs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators.upserts import assemble_segments
 
-# A transform takes ``(entry_id, part_no, text, title, metadata)`` and returns ``(entry_id, part_no, kind, origin, text)``.
+# A transform takes ``(entry_id, text, title, metadata)`` and returns ``(entry_id, kind, origin, text)``.
 Normalizer = Callable[[DataFrame], DataFrame]
 
 
@@ -19,8 +19,7 @@ def plain(docs: DataFrame) -> DataFrame:
         F.struct(F.lit("overview").alias("kind"), F.lit("generated").alias("origin"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("text")),
         F.struct(F.lit("details").alias("kind"), F.lit("extracted").alias("origin"), F.col("text")),
     )
-    out = docs.select("entry_id", "part_no", F.explode(rows).alias("s")).select("entry_id", "part_no", "s.*")
-    return out.where((F.col("part_no") == 0) | (F.col("kind") == "details"))
+    return docs.select("entry_id", F.explode(rows).alias("s")).select("entry_id", "s.*")
 
 
 NORMALIZERS: dict[str, Normalizer] = {k: plain for k in ("slack.thread", "slack.day", "google.meet", "google.doc", "microsoft.file", "web.page", "local.file")}
@@ -39,7 +38,7 @@ def normalize(docs: DataFrame, registry: Mapping[str, Normalizer]) -> DataFrame:
 
 
 def reextract(entries: DataFrame, raw: DataFrame, registry: Mapping[str, Normalizer]) -> DataFrame:
-    """Sections recomputed from raw segments for the given entries. An oversized entry has its details in parts."""
+    """Sections recomputed from raw segments for the given entries."""
     ids = entries.select(F.col("id").alias("entry_id"), "source_kind", "title", "metadata")
     text = assemble_segments(raw.join(ids.select("entry_id"), "entry_id", "left_semi")).where(F.col("role") == "primary")
-    return normalize(text.select("entry_id", "part_no", "text").join(ids, "entry_id"), registry)
+    return normalize(text.select("entry_id", "text").join(ids, "entry_id"), registry)

@@ -62,8 +62,9 @@ def postings(docs: DataFrame) -> DataFrame:
     the position of a gram tells its column.
     """
     gap = "\u0001\u0001"
-    n = F.length("title")
-    both = docs.select("section_id", n.alias("n"), F.lower(F.concat("title", F.lit(gap), "text")).alias("t"))
+    # Lower case first: a letter may get longer by it.
+    low = F.lower("title")
+    both = docs.select("section_id", F.length(low).alias("n"), F.concat(low, F.lit(gap), F.lower("text")).alias("t"))
     rows = both.repartition("section_id").select("section_id", "n", F.posexplode(X.windows(F.col("t"), 3)).alias("pos", "gram"))
     in_title, in_text = F.col("pos") < F.col("n") - 2, F.col("pos") >= F.col("n") + 2
     return rows.where(in_title | in_text).groupBy("section_id", "gram").agg(
@@ -125,8 +126,8 @@ def filters(q: SearchQuery) -> Column:
 
 def holds(term: str) -> Column:
     """The term occurs in the text or the title, ignoring case. No wildcards, so nothing needs escaping."""
-    t = term.lower()
-    return F.contains(F.lower("text"), F.lit(t)) | F.contains(F.lower("title"), F.lit(t))
+    t = F.lower(F.lit(term))
+    return F.contains(F.lower("text"), t) | F.contains(F.lower("title"), t)
 
 
 def candidates(index: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -134,7 +135,9 @@ def candidates(index: DataFrame, terms: Sequence[str]) -> DataFrame:
 
     A gram occurs at most once per section in the postings, so the number of rows per section is the number of grams.
     """
-    wanted = sorted({t.lower()[i : i + 3] for t in terms for i in range(len(t) - 2)})
+    # By the same function as the postings: languages differ in their lower case.
+    low = index.sparkSession.range(1).select(*[F.lower(F.lit(t)).alias(f"t{i}") for i, t in enumerate(terms)]).first()
+    wanted = sorted({t[i : i + 3] for t in low for i in range(len(t) - 2)})
     cond = F.col("gram").isin(*wanted)
     if "bucket" in index.columns:
         probe = index.sparkSession.range(1).select(

@@ -4,7 +4,7 @@
   ``row_number() <= n``, so a hot key never reaches one task whole.
 * ``prefix_sum`` splits a running total over nested buckets of the order: only the bucket totals of a group
   are ordered together, never its rows.
-* ``pack_parts`` joins ordered pieces of text into numbered parts of bounded size instead of one list per key.
+* ``joined_text`` makes the one value that a text is; what works on lines or messages takes the rows instead.
 """
 
 from __future__ import annotations
@@ -95,27 +95,9 @@ def global_prefix_sum(
     return prefix_sum(df.withColumn("_g", F.lit(0)), ["_g"], buckets, order, value, name).drop("_g")
 
 
-def pack_parts(
-    df: DataFrame,
-    keys: Sequence[str],
-    buckets: Sequence[Column],
-    order: Sequence[str],
-    text: str,
-    max_chars: int,
-    sep: str = "\n",
-) -> DataFrame:
-    """Ordered pieces joined into ``(keys, part_no, n_pieces, text)``; part 0 is the whole text of a usual group.
-
-    The pieces are written out once, because their sizes are summed before they are joined. A part closes once ``max_chars`` characters came before it, so a group of any size is spread over rows.
-    """
-    names = [f"_p{i}" for i in range(len(buckets))]
-    df = cut(df.select(*keys, *order, text, *[b.alias(n) for b, n in zip(buckets, names)]), "pieces")
-    run = prefix_sum(df, keys, [F.col(n) for n in names], [F.col(c) for c in order], F.length(text) + len(sep), "_chars")
-    parts = run.withColumn(
-        "part_no", F.floor((F.col("_chars") - F.length(text) - len(sep)) / F.lit(max_chars)).cast("long")
-    )
-    pieces = F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
-    return parts.groupBy(*keys, "part_no").agg(
-        F.count(F.lit(1)).alias("n_pieces"),
-        F.array_join(F.transform(pieces, lambda p: p["_text"]), sep).alias("text"),
+def joined_text(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, sep: str = "\n") -> DataFrame:
+    """Ordered pieces joined into one text per key: ``(keys, n_pieces, text)``. A text is one value and so one task's."""
+    pieces = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_pieces"), F.array_join(F.transform(pieces, lambda p: p["_text"]), sep).alias("text")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions import jsonx, text as X
-from lorekeep.operators.skew import first_by, pack_parts, prefix_sum
+from lorekeep.operators.skew import first_by, joined_text, prefix_sum
 from lorekeep.schemas import ORIGIN_RANK, SECTION_POSITION
 
 KEY = ["account_id", "source_kind", "source_id"]
@@ -91,25 +91,19 @@ def write_raw(current: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFram
     return kept.unionByName(added), stale
 
 
-def raw_hashes(raw: DataFrame, list_limit: int = 10_000) -> DataFrame:
+def raw_hashes(raw: DataFrame) -> DataFrame:
     """``(entry_id, raw_hash)``: hash over the segment hashes in role and number order.
 
-    The hash is one chain per entry. Usual entries are hashed from a small list; an entry with more segments than the
-    limit is streamed in order through one Python task with constant memory, its rows sorted (and spilled) by Spark.
+    The hash is one chain per entry: its rows are sorted (and spilled) by Spark and pass one task in constant memory.
     """
     from lorekeep.sources.streams import chain_hashes
 
-    n = raw.groupBy("entry_id").agg(F.count(F.lit(1)).alias("_n"))
-    small = raw.join(n.where(F.col("_n") <= list_limit), "entry_id", "left_semi")
-    hashes = F.transform(F.array_sort(F.collect_list(F.struct("role", "seq", "sha256"))), lambda x: x["sha256"])
-    out = small.groupBy("entry_id").agg(X.hash_of_hashes(hashes).alias("raw_hash"))
-    big = raw.join(n.where(F.col("_n") > list_limit), "entry_id", "left_semi")
-    return out.unionByName(chain_hashes(big))
+    return chain_hashes(raw)
 
 
-def assemble_segments(raw: DataFrame, max_chars: int = 4_000_000) -> DataFrame:
-    """``(entry_id, role, part_no, n_pieces, text)``: segments joined by line breaks in order, huge ones in parts."""
-    return pack_parts(raw, ["entry_id", "role"], [F.floor(F.col("seq") / 1000)], ["seq"], "payload", max_chars)
+def assemble_segments(raw: DataFrame) -> DataFrame:
+    """``(entry_id, role, n_pieces, text)``: segments joined by line breaks in order."""
+    return joined_text(raw, ["entry_id", "role"], ["seq"], "payload")
 
 
 def contiguity(raw: DataFrame) -> DataFrame:

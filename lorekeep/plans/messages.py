@@ -79,7 +79,7 @@ def lines(v):
 
 @query(
     "c15_conversation_text",
-    "SELECT source_id, CAST(0 AS BIGINT) AS part_no, count(*) AS n_pieces, string_agg(line, chr(10) ORDER BY msg_at) AS text FROM lines GROUP BY 1",
+    "SELECT source_id, count(*) AS n_pieces, string_agg(line, chr(10) ORDER BY msg_at) AS text FROM lines GROUP BY 1",
     ("lines",),
 )
 def text(v):

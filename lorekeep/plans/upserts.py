@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lorekeep.functions import jsonx, text as X
 from lorekeep.functions.times import iso
@@ -28,7 +29,7 @@ def incoming(v):
     """Every document again: a new title, some dates and URLs missing."""
     i = F.col("id")
     return v.entries.select(
-        "account_id", "source_kind", "source_id", F.when(i % 4 != 3, "source_url").alias("source_url"), "id",
+        "account_id", "source_kind", "source_id", F.when(i % 4 != 3, F.concat("source_url", F.lit("?v=2"))).alias("source_url"), "id",
         F.when(i % 9 != 0, F.concat(F.lit("T "), "title")).alias("title"), F.when(i % 2 == 1, F.col("source_created_at")).alias("source_created_at"),
         days("2024-06-01", i % 20).alias("source_updated_at"), F.when(i % 3 == 0, F.lit('{"v":2}')).alias("metadata"), F.lit("ingest").alias("origin"),
     )
@@ -36,8 +37,8 @@ def incoming(v):
 
 @query(
     "m1_entry_upsert",
-    f"""SELECT source_id, CASE WHEN id % 2 = 0 THEN id ELSE (SELECT max(id) FROM entries WHERE id % 2 = 0) END AS at_least_id, coalesce(CASE WHEN id % 9 <> 0 THEN 'T ' || title END, CASE WHEN id % 2 = 0 THEN title ELSE source_id END) AS title,
-  coalesce(CASE WHEN id % 4 <> 3 THEN 'source_url' END, CASE WHEN id % 2 = 0 THEN source_url END) AS source_url, {SI('source_created_at')} AS source_created_at,
+    f"""SELECT source_id, CASE WHEN id % 2 = 0 THEN id END AS kept_id, id % 2 = 1 AS above_all, 1 AS same_id, coalesce(CASE WHEN id % 9 <> 0 THEN 'T ' || title END, CASE WHEN id % 2 = 0 THEN title ELSE source_id END) AS title,
+  coalesce(CASE WHEN id % 4 <> 3 THEN source_url || '?v=2' END, CASE WHEN id % 2 = 0 THEN source_url END) AS source_url, {SI('source_created_at')} AS source_created_at,
   {SI("TIMESTAMP '2024-06-01' + to_days(CAST(id % 20 AS INT))")} AS source_updated_at, CASE WHEN id % 3 = 0 THEN '{{"v":2}}' WHEN id % 2 = 0 THEN metadata ELSE '{{}}' END AS metadata,
   CASE WHEN id % 2 = 0 THEN 'sync' ELSE 'ingest' END AS origin, {_NOW} AS updated_at, CASE WHEN id % 2 = 0 THEN raw_status ELSE 'missing' END AS raw_status FROM entries""",
     ("entries",),
@@ -45,11 +46,11 @@ def incoming(v):
 def upsert(v):
     """M1: known keys are refreshed, new ones get ids after the highest; dates and URL only fill in."""
     cur = stored(v)
-    inc = incoming(v).drop("id").withColumn("source_url", F.when(F.col("source_url").isNotNull(), "source_url"))
     top = cur.agg(F.max("id")).scalar()
-    n = M.upsert_entries(cur, inc, NOW)
+    n = M.upsert_entries(cur, incoming(v).drop("id"), NOW)
+    new = F.col("id") > top
     return n.select(
-        "source_id", F.least("id", top).alias("at_least_id"), "title", "source_url", iso(F.col("source_created_at")).alias("source_created_at"),
+        "source_id", F.when(~new, F.col("id")).alias("kept_id"), new.alias("above_all"), F.count(F.lit(1)).over(W.partitionBy("id")).cast("int").alias("same_id"), "title", "source_url", iso(F.col("source_created_at")).alias("source_created_at"),
         iso(F.col("source_updated_at")).alias("source_updated_at"), "metadata", "origin", iso(F.col("updated_at")).alias("updated_at"), "raw_status",
     )
 
@@ -98,10 +99,10 @@ def stale(v):
 )
 def raw_hashes(v):
     """Length-prefixed hash over ordered segment hashes."""
-    return M.raw_hashes(v.raw_objects, list_limit=50)
+    return M.raw_hashes(v.raw_objects)
 
 
-@query("s5_assembled_segments", "SELECT doc_id AS entry_id, CAST(0 AS BIGINT) AS part_no, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_pieces, text FROM documents")
+@query("s5_assembled_segments", "SELECT doc_id AS entry_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_pieces, text FROM documents")
 def assembled(v):
     """Segments of an entry joined in order."""
     return M.assemble_segments(v.raw_objects).drop("role")

@@ -1,5 +1,6 @@
 """Operators on literal rows: edge cases, order independence, skew, brute force."""
 
+import hashlib
 import random
 from datetime import UTC, date, datetime, timedelta
 
@@ -17,7 +18,7 @@ from lorekeep.operators import links as L
 from lorekeep.operators import messages as M
 from lorekeep.operators import search as S
 from lorekeep.operators import upserts as P
-from lorekeep.operators.skew import pack_parts, prefix_sum, top_n
+from lorekeep.operators.skew import joined_text, prefix_sum, top_n
 
 
 def one(spark, expr, **cols):
@@ -131,11 +132,31 @@ def test_prefix_sum_equals_window_on_a_hot_key(spark):
     assert {r["id"]: r["run"] for r in got.collect()} == want
 
 
-def test_parts_hold_everything(spark):
-    df = spark.range(5000).select(F.lit("hot").alias("k"), "id", F.concat(F.lit("line "), F.col("id").cast("string")).alias("x"))
-    parts = pack_parts(df, ["k"], [F.floor(F.col("id") / 1000), F.floor(F.col("id") / 100)], ["id"], "x", 2000).orderBy("part_no").collect()
-    assert len(parts) > 10
-    assert "\n".join(p["text"] for p in parts) == "\n".join(f"line {i}" for i in range(5000))
+def test_joined_text_is_one_row_in_order(spark):
+    df = spark.range(5000).select(F.lit("hot").alias("k"), "id", F.concat(F.lit("line "), F.col("id").cast("string")).alias("x")).repartition(7)
+    (row,) = joined_text(df, ["k"], ["id"], "x").collect()
+    assert row["n_pieces"] == 5000 and row["text"] == "\n".join(f"line {i}" for i in range(5000))
+
+
+def test_blocks_of_a_long_conversation(spark):
+    # Several stretches of lines, with a second line in some messages.
+    lines = [f"{h:02d}:{m:02d} a: {h} {m}" + ("\nmore" if m % 7 == 0 else "") for h in range(24) for m in range(60)]
+    got = I.message_blocks(spark.createDataFrame([(1, "head\n" + "\n".join(lines))], "entry_id long, body string")).orderBy("block").collect()
+    assert [f"{r['hm']}{r['text']}" for r in got] == lines
+
+
+def test_lines_that_are_no_message_are_reported(spark):
+    rows = [("c", 0, 0, '{"ts": "1.5", "text": "a"}'), ("c", 0, 1, "no json"), ("c", 0, 2, '{"text": "no stamp"}'), ("c", 0, 3, " ")]
+    seg = spark.createDataFrame(rows, "source_id string, seq int, line_no int, line string")
+    assert M.parse_messages(seg).count() == 1
+    assert sorted(r["line_no"] for r in M.unreadable(seg).collect()) == [1, 2]
+
+
+def test_titles_whose_lower_case_is_longer(spark):
+    docs = spark.createDataFrame([(1, 1, "İİab", "xyz")], "section_id long, entry_id long, title string, text string")
+    got = {r["gram"]: (r["title_tf"], r["text_tf"]) for r in S.postings(docs).collect()}
+    low = "İİab".lower()
+    assert got == {low[i : i + 3]: (1 + (low[i : i + 3] == low[:3] and low[:3] == low[2:5]), 0) for i in range(len(low) - 2)} | {"xyz": (0, 1)}
 
 
 def test_top_n_limits_before_the_shuffle(spark):
@@ -297,13 +318,29 @@ def test_empty_ledger_spends_nothing(spark):
     assert tuple(B.spend_total(e).first()) == (0.0, 0, 0, 0, 0, None)
 
 
-def test_chunks_lose_nothing():
+def test_chunks_lose_nothing(spark):
     rnd = random.Random(3)
-    for _ in range(50):
-        body = "".join(rnd.choice(["word ", "\n", "\n\n", "x" * 30, "日本"]) for _ in range(rnd.randrange(1, 200)))
-        got = B.pack_chunks(body, 40)
-        assert all(len(c) <= 40 for c in got) or got == [body]
-        assert "".join("".join(got).split()) == "".join(body.split())
+    bodies = ["".join(rnd.choice(["word ", "\n", "\n\n", "x" * 30, "日本"]) for _ in range(rnd.randrange(1, 200))) for _ in range(50)] + ["", "short", "y" * 100]
+    for r in spark.createDataFrame([(b,) for b in bodies], "b string").select("b", B.chunks(F.col("b"), 40).alias("c")).collect():
+        assert all(len(c) <= 40 for c in r["c"]) or r["c"] == [r["b"]]
+        assert "".join("".join(r["c"]).split()) == "".join(r["b"].split())
+        assert len(r["b"]) > 40 or r["c"] == [r["b"]]
+        # No two neighbours would fit into one chunk, had they been packed together.
+        assert all(len(a) + len(b) > 30 for a, b in zip(r["c"], r["c"][1:]))
+
+
+def test_chunk_boundaries(spark):
+    body = "aaaa\n\nbbbb\n\n" + "c" * 8 + "\ndd\n\ne"
+    row = spark.createDataFrame([(body,)], "b string").select(B.chunks(F.col("b"), 12).alias("c")).first()
+    assert row["c"] == ["aaaa\n\nbbbb", "c" * 8 + "\ndd", "e"]
+
+
+def test_an_exhausted_week_stops_before_the_month_is_asked(spark):
+    units = spark.createDataFrame([(1, 4.0), (2, 50.0), (3, 1.0)], "id long, cost double")
+    gate = lambda limits: [r["gate"] for r in B.budget_gate(units, [F.floor(F.col("id") / 10)], [F.col("id")], limits).orderBy("id").collect()]
+    assert gate([(60.0, 56.0), (20.0, 0.0)]) == ["go", "stop", "stop"]
+    assert gate([(40.0, 36.0), (20.0, 0.0)]) == ["go", "too_large", "stop"]
+    assert gate([(60.0, 0.0), (20.0, 0.0)]) == ["go", "too_large", "go"]
 
 
 @pytest.mark.parametrize("n, days", [(1, 1), (2, 3), (3, 7), (4, 14), (5, 30), (9, 30)])
@@ -382,9 +419,13 @@ def test_section_precedence(spark):
     assert got == {"overview": ("user", "U"), "details": ("generated", "b")}
 
 
-def test_hash_paths_agree(spark):
+def test_raw_hash_is_one_chain(spark):
     raw = spark.range(60).select((F.col("id") % 4).alias("entry_id"), F.lit("primary").alias("role"), F.floor(F.col("id") / 4).alias("seq"), F.sha2(F.col("id").cast("string"), 256).alias("sha256"))
-    assert sorted(P.raw_hashes(raw, list_limit=100).collect()) == sorted(P.raw_hashes(raw, list_limit=1).collect())
+    want = {}
+    for e in range(4):
+        parts = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(e, 60, 4)]
+        want[e] = hashlib.sha256(b"".join((64).to_bytes(8, "little") + p.encode() for p in parts)).hexdigest()
+    assert {r["entry_id"]: r["raw_hash"] for r in P.raw_hashes(raw).collect()} == want
 
 
 def test_duplicates_of_a_large_group(spark):
