@@ -4,10 +4,10 @@ Texts with equal shingle sets are one set. All shingles have one global order: t
 alone holds, then the quarter's rare and its frequent ones, then all others; by hash within each. Two sets within reach share their first two common shingles in
 prefixes extended by one. If one of the two is rare, they meet under it alone; if both are frequent, under their
 combination. Long sets, whose prefix has too many combinations, meet under single shingles instead, as do all sets that
-can have a long partner. A key with few sets gives its pairs, which are then verified on the whole sets. Sets that meet
-under a key with many are put into clusters, a cluster is cut into blocks of like size, and pairs of blocks count exact
-intersections and return a spanning forest instead of pairs: no link between different sets is lost, and no group of
-near copies is written out pair by pair.
+can have a long partner. A key with few sets gives its pairs, of which those stay whose quarters leave the bound in reach. These
+and the sets that meet under a key with many form clusters, a large cluster is cut into blocks of like size, and pairs of
+blocks verify exact intersections of whole sets and return a spanning forest instead of pairs: no link between different
+sets is lost, and no group of near copies is written out pair by pair.
 
 Which shingles are shared or frequent is counted over all sets and reaches the tasks as bit maps of fixed size; a shingle
 that has its bit in common with a frequent one counts as frequent, which changes the route and not the result.
@@ -88,6 +88,10 @@ def _chosen(h: np.ndarray) -> np.ndarray:
     return (h & 3) == 0
 
 
+def _cell(h: np.ndarray, cells: int) -> np.ndarray:
+    return (h >> 2) & (cells - 1)
+
+
 def _sets(docs: DataFrame, width: int, bound: Bound) -> DataFrame:
     """(doc_id, n, digest, picked, rest): the chosen quarter of each set, and what the prefix needs beyond it."""
 
@@ -110,35 +114,54 @@ def _sets(docs: DataFrame, width: int, bound: Bound) -> DataFrame:
     return docs.mapInArrow(task, "doc_id long, n long, digest binary, picked array<long>, rest array<long>")
 
 
-def _full(docs: DataFrame, width: int) -> DataFrame:
+def _full(docs: DataFrame, width: int, wanted: bytes) -> DataFrame:
+    """(node, n, tokens) of the documents whose bit is set, and of few others; their texts stay where they are."""
+    held = docs.sparkSession.sparkContext.broadcast(wanted)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(held.value, np.uint8)).astype(bool)
         for batch in batches:
+            batch = batch.filter(pa.array(bits[_cell(_mixed(batch.column(0).to_numpy().view(np.uint64)).view(np.int64), len(bits))], pa.bool_()))
             sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "n", "tokens"])
 
     return docs.mapInArrow(task, "node long, n long, tokens array<long>")
 
 
+def _bits(cells: DataFrame, *flags: str) -> list[bytes]:
+    """A bit map for each of ``flags`` from (cell, flags...), at most a row for each cell; made of blocks that tasks pack."""
+    width = min(CELLS, 1 << 15)
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros((len(flags), width), bool)
+        bits[:, (rows.cell % width).to_numpy()] = rows[list(flags)].to_numpy(bool).T
+        return pd.DataFrame({"block": [int(rows.cell.iloc[0]) // width], "bits": [np.packbits(bits, axis=1).tobytes()]})
+
+    packed = cells.withColumn("block", (F.col("cell") / width).cast("int")).groupBy("block").applyInPandas(pack, "block int, bits binary")
+    out = np.zeros((CELLS // width, len(flags), width // 8), np.uint8)
+    for r in packed.collect():
+        out[r.block] = np.frombuffer(r.bits, np.uint8).reshape(len(flags), -1)
+    return [out[:, k].tobytes() for k in range(len(flags))]
+
+
 def _maps(sets: DataFrame) -> tuple[bytes, bytes]:
     """Bits of the chosen shingles that more than one set, and more than ``FREQUENT`` sets hold."""
     counts = sets.select(F.explode("picked").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     cell = F.shiftright("h", 2).bitwiseAND(CELLS - 1)
-    # At most a row for each cell, whatever the input; a block of cells becomes its bits in a task.
-    seen = counts.groupBy(cell.alias("cell")).agg((F.max("c") > FREQUENT).alias("often"))
-    width = min(CELLS, 1 << 15)
+    shared, often = _bits(counts.groupBy(cell.alias("cell")).agg(F.lit(True).alias("shared"), (F.max("c") > FREQUENT).alias("often")), "shared", "often")
+    return shared, often
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros((2, width), bool)
-        at = (rows.cell % width).to_numpy()
-        bits[0, at], bits[1, at] = True, rows.often.to_numpy()
-        shared, often = np.packbits(bits, axis=1)
-        return pd.DataFrame({"block": [int(rows.cell.iloc[0]) // width], "shared": [shared.tobytes()], "often": [often.tobytes()]})
-
-    packed = seen.withColumn("block", (F.col("cell") / width).cast("int")).groupBy("block").applyInPandas(pack, "block int, shared binary, often binary")
-    out = np.zeros((2, CELLS // width, width // 8), np.uint8)
-    for r in packed.collect():
-        out[0, r.block], out[1, r.block] = np.frombuffer(r.shared, np.uint8), np.frombuffer(r.often, np.uint8)
-    return out[0].tobytes(), out[1].tobytes()
+
+def _wanted(nodes: DataFrame) -> bytes:
+    size = CELLS
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = _cell(_mixed(batch.column(0).to_numpy().view(np.uint64)).view(np.int64), size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(cell).astype(np.int32))], ["cell"])
+
+    cells = nodes.mapInArrow(task, "cell int").distinct().withColumn("on", F.lit(True))
+    return _bits(cells, "on")[0]
 
 
 def _index(sets: DataFrame, bound: Bound, maps: tuple[bytes, bytes]) -> DataFrame:
@@ -156,7 +179,7 @@ def _index(sets: DataFrame, bound: Bound, maps: tuple[bytes, bytes]) -> DataFram
             for k in range(batch.num_rows):
                 n = int(sizes[k])
                 h = picked[k].values.to_numpy()
-                cell = (h >> 2) & (CELLS - 1)
+                cell = _cell(h, len(shared_bits))
                 shared, often = shared_bits[cell], often_bits[cell]
                 rare, usual = h[shared & ~often], np.concatenate([h[often], rest[k].values.to_numpy()])
                 # Shingles of this set alone come first and lead to no other set.
@@ -189,19 +212,38 @@ def _pairs(few: DataFrame, bound: Bound) -> DataFrame:
     return b.where(like & (F.col("x.node") != F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, full: DataFrame, bound: Bound) -> DataFrame:
-    side = lambda c: full.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"t_{c}"))
+def _possible(pairs: DataFrame, reps: DataFrame, bound: Bound, maps: tuple[bytes, bytes]) -> DataFrame:
+    """The pairs whose chosen shingles leave the bound in reach.
+
+    Two sets share at most what they share of the chosen quarter, and there only shingles that several sets hold, and all
+    that the smaller rest of the two could have in common.
+    """
+    held = reps.sparkSession.sparkContext.broadcast(maps[0])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(held.value, np.uint8)).astype(bool)
+        for batch in batches:
+            picked = [p.values.to_numpy() for p in batch.column("picked")]
+            n = batch.column("n")
+            rest = pa.array(n.to_numpy() - np.array([len(h) for h in picked], np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, rest, pa.array([h[bits[_cell(h, len(bits))]] for h in picked], pa.list_(pa.int64()))], ["node", "n", "rest", "some"])
+
+    known = reps.select("doc_id", "n", "picked").mapInArrow(task, "node long, n long, rest long, some array<long>")
+    side = lambda c: known.select(F.col("node").alias(c), F.struct("n", "rest", "some").alias(f"of_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(bound.linked(F.size(F.array_intersect("t_a", "t_b")), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    most = F.size(F.array_intersect("of_a.some", "of_b.some")) + F.least("of_a.rest", "of_b.rest")
+    return both.where(bound.linked(most, F.col("of_a.n"), F.col("of_b.n"))).select("a", "b")
 
 
 def _cluster_links(clusters: DataFrame, full: DataFrame, bound: Bound) -> DataFrame:
     """Links (a, b) inside clusters of sets, as a forest for each pair of blocks."""
-    # Partners lie in the same or the next class of sizes.
+    # Partners lie in the same or the next class of sizes. A cluster that is one block by itself is one class.
     step = math.log(bound.den / bound.num) if bound.num < bound.den else 1e-9
-    kind = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9)
     # Sets are dealt by their sizes alone; the shingles follow when it is settled where they are needed.
-    sets = cut(clusters.join(full.select("node", "n"), "node").withColumn("kind", kind), "cluster-sets")
+    sized = clusters.join(full.select("node", "n"), "node")
+    small = sized.groupBy("cluster").agg(((F.count(F.lit(1)) <= BLOCK_SETS) & (F.sum("n") <= BLOCK_TOKENS)).alias("small"))
+    kind = F.when(F.col("small"), 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / step + 1e-9))
+    sets = cut(sized.join(small, "cluster").withColumn("kind", kind).drop("small"), "cluster-sets")
     sizes = sets.groupBy("cluster", "kind").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens"))
     blocks = sizes.select("cluster", "kind", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).alias("blocks"))
     own = sets.join(blocks, ["cluster", "kind"]).withColumn("b1", F.pmod(F.xxhash64("node", "n"), F.col("blocks"))).withColumnRenamed("blocks", "own")
@@ -260,16 +302,15 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_
     kept = filled.join(first.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest"])
     reps = cut(kept, "shingle-distinct")
 
-    index = _index(reps, bound, _maps(reps))
+    maps = _maps(reps)
+    index = _index(reps, bound, maps)
     keys = index.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.min("node").alias("lead")).where("sets > 1")
     met = cut(index.join(keys, "key"), "shingle-keys")
-    pairs = cut(_pairs(met.where(F.col("sets") <= FEW), bound), "shingle-pairs")
+    pairs = _possible(_pairs(met.where(F.col("sets") <= FEW), bound), reps, bound, maps)
     together = met.where((F.col("sets") > FEW) & (F.col("node") != F.col("lead"))).select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    clusters = components(together).withColumnRenamed("component", "cluster")
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(clusters.select("node")).distinct()
-    full = cut(_full(rows.join(needed, "doc_id", "left_semi"), width), "shingle-full")
-    links = _verified(pairs, full, bound).union(_cluster_links(clusters, full, bound))
-    found = components(links).select(F.col("node").alias("rep"), "component")
+    clusters = components(pairs.union(together)).withColumnRenamed("component", "cluster")
+    full = cut(_full(rows.where("doc_id IS NOT NULL"), width, _wanted(clusters.select("node"))), "shingle-full")
+    found = components(_cluster_links(clusters, full, bound)).select(F.col("node").alias("rep"), "component")
 
     named = sets.select("doc_id", "n", "digest").join(first, "digest", "left").join(found, "rep", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
