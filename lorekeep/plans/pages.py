@@ -25,11 +25,17 @@ def extraction(v):
     return d.select("page_id", "title", "outcome", F.sha2(F.encode(F.regexp_replace("text", r"[^\p{L}]", ""), "UTF-8"), 256).alias("letters_hash"))
 
 
-@query("x3_scored_pages", "SELECT page_id, true AS has_text FROM pages")
+_OPENING = "AnOpeningParagraphThatIsLongEnoughToBeCountedAsContentByItself"
+
+
+@query("x3_scored_pages", f"SELECT page_id, sha256('{_OPENING}' || {_LETTERS.format(_ARTICLE)}) AS letters_hash FROM pages")
 def scored(v):
-    """Pages without an article element, so that paragraph scoring picks the content."""
-    pages = v.table("pages").withColumn("html", F.regexp_replace("html", "</?article>", ""))
-    return G.extract_pages(pages).select("page_id", (F.length("text") > 0).alias("has_text"))
+    """Pages without an article element and with blocks of links around, so that paragraph scoring picks the content."""
+    links = "<div><p><a href='http://l'>" + "links and more links of a block " * 3 + "</a></p><p><a href='http://m'>" + "other links " * 5 + "</a></p></div>"
+    html = F.replace("html", F.lit("<article>"), F.lit(f"{links}<div><p>{_OPENING}</p>"))
+    pages = v.table("pages").withColumn("html", F.replace(html, F.lit("</article>"), F.lit("</div>" + links)))
+    text = F.regexp_replace("text", r"[^\p{L}]", "")
+    return G.extract_pages(pages).select("page_id", F.sha2(F.encode(text, "UTF-8"), 256).alias("letters_hash"))
 
 
 @query(

@@ -1,253 +1,61 @@
-"""Per-page helper: an HTML page as blocks of Markdown with their place in the tree. Choosing the content is Spark's work."""
+"""Per-page helper: what an HTML parser reports, as a flat list of elements and one of texts. All rules are Spark's work."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-# Elements that hold no content, roles of page chrome, elements that break a line.
-SKIP = frozenset("script style noscript template iframe svg form nav footer aside head button select textarea canvas object embed dialog".split())
-SKIP_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary"))
-BLOCKS = frozenset(
-    "p div section article main figure figcaption details summary dl dd dt address fieldset header body center td th tr tbody thead tfoot caption html".split()
-)
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
-# A new element of the left kind ends an open one of the right kind.
-ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
-ENDS_P = HEADINGS | frozenset("p div section article main ul ol pre blockquote table hr form nav aside header footer figure dl address".split())
-MAX_DEPTH = 256
+# Fixed values of the HTML standard: elements without content, elements inside a line, and elements that end an open one.
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+PHRASE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var"}
+SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+ENDS_ROW = {"tr", "td", "th"}
+# Attributes that a rule reads.
+KEPT = {"role", "hidden", "aria-hidden", "href", "property", "name", "itemprop", "content", "rel", "datetime"}
+BREAK = "\v"
 
 
-class Node:
-    __slots__ = ("tag", "attrs", "kids", "up", "no", "depth")
+class Events(HTMLParser):
+    """``nodes``: (tag, numbers from the page down to the element, place among its like, attributes); ``texts``: (element, text)."""
 
-    def __init__(self, tag: str, attrs: dict, up: Node | None, no: int):
-        self.tag, self.attrs, self.up, self.no, self.kids = tag, attrs, up, no, []
-        self.depth = 0 if up is None else up.depth + 1
-
-    def texts(self) -> Iterator[str]:
-        for k in self.kids:
-            if isinstance(k, str):
-                yield k
-            else:
-                yield from k.texts()
-
-    def walk(self) -> Iterator[Node]:
-        yield self
-        for k in self.kids:
-            if not isinstance(k, str):
-                yield from k.walk()
-
-    def ancestors(self) -> Iterator[Node]:
-        n = self.up
-        while n is not None:
-            yield n
-            n = n.up
-
-    def skipped(self) -> bool:
-        a = self.attrs
-        if self.tag in SKIP or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in SKIP_ROLES:
-            return True
-        return self.tag == "header" and not any(n.tag in ("article", "main") for n in self.ancestors())
-
-
-class Tree(HTMLParser):
-    """Lenient tree of a page; elements below the depth limit are flattened into their parent."""
-
-    def __init__(self, src: str):
+    def __init__(self, source: str):
         super().__init__(convert_charrefs=True)
-        self.root = self.cur = Node("#root", {}, None, 0)
-        self.count = 0
-        self.feed(src)
+        self.nodes = [("#page", [0], 0, {})]
+        self.texts: list[tuple[int, str]] = []
+        self.open = [0]
+        self.like: dict[tuple[int, str], int] = {}
+        self.feed(source)
         self.close()
 
-    def _end(self, tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
-        n = self.cur
-        while n.up is not None and n.tag not in stop:
-            if n.tag in tags:
-                self.cur = n.up
+    def _leave(self, tags: set[str], through: set[str]) -> None:
+        """Closes the nearest open element of ``tags`` if only elements of ``through`` stand in between."""
+        for at in range(len(self.open) - 1, 0, -1):
+            tag = self.nodes[self.open[at]][0]
+            if tag in tags:
+                del self.open[at:]
                 return
-            n = n.up
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ENDS_P:
-            self._end(("p",), ("td", "th", "li", "blockquote", "article", "div"))
-        if tag in ENDS:
-            self._end(ENDS[tag], ("ul", "ol", "table", "dl"))
-        self.count += 1
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.cur, self.count)
-        self.cur.kids.append(node)
-        if tag not in VOID and node.depth < MAX_DEPTH:
-            self.cur = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if self.cur.tag == tag and tag not in VOID:
-            self.cur = self.cur.up
-
-    def handle_endtag(self, tag):
-        n = self.cur
-        while n.up is not None:
-            if n.tag == tag:
-                self.cur = n.up
+            if tag not in through:
                 return
-            n = n.up
-
-    def handle_data(self, data):
-        self.cur.kids.append(data)
-
-
-def words(s: str) -> str:
-    return " ".join(s.split())
-
 
-def table_markdown(rows: list[list[str]]) -> str:
-    width = max(map(len, rows))
-    cells = [[c.strip().replace("|", "\\|") for c in r] + [""] * (width - len(r)) for r in rows]
-    lines = ["| " + " | ".join(r) + " |" for r in cells]
-    return "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]]) + "\n"
-
-
-class Blocks:
-    """Markdown blocks of a tree in order: ``(path of node numbers, markdown, text characters, link characters)``."""
-
-    def __init__(self, root: Node):
-        self.out: list[tuple[list[int], str, int, int]] = []
-        self.buf: list[str] = []
-        self.prefix: str | None = None
-        self.lists: list[list] = []
-        self.quote = self.chars = self.links = 0
-        self._kids(root, [])
-        self._flush([])
-
-    def _emit(self, path: list[int], md: str) -> None:
-        self.out.append((path, md, self.chars, self.links))
-        self.chars = self.links = 0
-
-    def _flush(self, path: list[int]) -> None:
-        lines = [words(x) for x in "".join(self.buf).split("\v")]
-        lines, prefix = [x for x in lines if x], self.prefix
-        self.buf, self.prefix = [], None
-        if lines:
-            q = "> " * self.quote
-            lines[0] = (prefix or "") + lines[0]
-            self._emit(path, "".join(f"{q}{x}\n" for x in lines) + ("" if prefix else "\n"))
-        elif self.chars:
-            self._emit(path, "")
-
-    def _count(self, s: str, link: bool) -> None:
-        n = len("".join(s.split()))
-        self.chars += n
-        self.links += n if link else 0
-
-    def _kids(self, el: Node, path: list[int]) -> None:
-        for k in el.kids:
-            if isinstance(k, str):
-                self.buf.append(k.replace("\v", " "))
-                self._count(k, False)
-            elif not k.skipped():
-                self._one(k, [*path, k.no])
-
-    def _one(self, el: Node, path: list[int]) -> None:
-        tag, up = el.tag, path[:-1]
-        if tag in HEADINGS:
-            self._flush(up)
-            self._kids(el, path)
-            self.prefix = "#" * int(tag[1]) + " "
-            self._flush(path)
-            self._emit(path, "\n")
-        elif tag == "br":
-            self.buf.append("\v")
-        elif tag == "hr":
-            self._flush(up)
-            self._emit(path, "---\n\n")
-        elif tag in ("ul", "ol"):
-            self._flush(up)
-            self.lists.append([tag == "ol", 0])
-            self._kids(el, path)
-            self._flush(path)
-            self.lists.pop()
-            if not self.lists:
-                self._emit(path, "\n")
-        elif tag == "li":
-            self._flush(up)
-            mark = "- "
-            if self.lists and self.lists[-1][0]:
-                self.lists[-1][1] += 1
-                mark = f"{self.lists[-1][1]}. "
-            self.prefix = "  " * min(max(len(self.lists) - 1, 0), 6) + mark
-            self._kids(el, path)
-            self._flush(path)
-        elif tag == "pre":
-            self._flush(up)
-            text = "".join(el.texts())
-            self._count(text, False)
-            q = "> " * self.quote
-            lines = ["```", *text.strip("\n").split("\n"), "```"]
-            self._emit(path, "".join(f"{q}{x}\n" for x in lines) + "\n")
-        elif tag == "blockquote":
-            self._flush(up)
-            self.quote += 1
-            self._kids(el, path)
-            self._flush(path)
-            self.quote -= 1
-        elif tag == "table":
-            self._table(el, path)
-        elif tag == "a":
-            text = "".join(el.texts())
-            href = el.attrs.get("href", "")
-            self._count(text, True)
-            self.buf.append(f"[{words(text)}]({href})" if words(text) and href.startswith(("http://", "https://")) else text)
-        elif tag == "img":
-            self.buf.append(el.attrs.get("alt", ""))
-        elif tag in BLOCKS:
-            self._flush(up)
-            self._kids(el, path)
-            self._flush(path)
-        else:
-            self._kids(el, path)
-
-    def _table(self, el: Node, path: list[int]) -> None:
-        self._flush(path[:-1])
-        inner = [n for n in el.walk() if n is not el]
-        if any(n.tag in HEADINGS or n.tag in ("table", "p", "div", "ul", "ol", "pre") for n in inner):
-            self._kids(el, path)
-            self._flush(path)
-            return
-        rows = [[words("".join(c.texts())) for c in tr.kids if not isinstance(c, str) and c.tag in ("td", "th")] for tr in inner if tr.tag == "tr"]
-        rows = [r for r in rows if any(r)]
-        self._count("".join(el.texts()), False)
-        self._emit(path, table_markdown(rows) + "\n" if rows else "")
-
-
-def page_record(src: str) -> dict:
-    """Blocks of a page, the elements its content may be rooted in, and what its head says."""
-    root = Tree(src).root
-    nodes = list(root.walk())
-    visible = [n for n in nodes if not n.skipped() and not any(a.skipped() for a in n.ancestors())]
-
-    def meta(*names: str) -> str | None:
-        for name in names:
-            for n in nodes:
-                a = n.attrs
-                if n.tag == "meta" and name in (a.get("property"), a.get("name"), a.get("itemprop")) and a.get("content", "").strip():
-                    return a["content"].strip()
-        return None
-
-    def text_of(tag: str) -> str | None:
-        return next((t for t in ("".join(n.texts()) for n in nodes if n.tag == tag) if t.strip()), None)
+    def handle_starttag(self, tag: str, attrs) -> None:
+        if tag not in PHRASE and tag not in VOID - {"hr"}:
+            self._leave({"p"}, PHRASE)
+        if tag in SIBLINGS:
+            self._leave(SIBLINGS[tag], PHRASE | {"p"} | (ENDS_ROW - {tag} if tag == "tr" else set()))
+        up = self.open[-1]
+        nth = self.like[up, tag] = self.like.get((up, tag), 0) + 1
+        no = len(self.nodes)
+        self.nodes.append((tag, [*self.nodes[up][1], no], nth, {k: v or "" for k, v in attrs if k in KEPT}))
+        shown = {"br": BREAK, "hr": "---", "img": dict(attrs).get("alt") or ""}.get(tag)
+        if shown:
+            self.texts.append((no, shown))
+        if tag not in VOID:
+            self.open.append(no)
+
+    def handle_endtag(self, tag: str) -> None:
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.nodes[self.open[at]][0] == tag:
+                del self.open[at:]
+                return
 
-    body = next((n.no for n in nodes if n.tag == "body"), 0)
-    return {
-        "body_no": body,
-        "title": meta("og:title") or text_of("title") or text_of("h1"),
-        "canonical": next((n.attrs["href"].strip() for n in nodes if n.tag == "link" and n.attrs.get("rel") == "canonical" and n.attrs.get("href", "").strip().startswith("http")), None),
-        "site_name": meta("og:site_name"),
-        "published": meta("article:published_time", "datePublished", "date"),
-        "modified": meta("article:modified_time", "dateModified"),
-        "times": [([a.no for a in n.ancestors()], n.attrs["datetime"]) for n in nodes if n.tag == "time" and "datetime" in n.attrs],
-        "mains": [n.no for n in nodes if (n.tag in ("article", "main") or n.attrs.get("role") == "main") and not n.skipped()],
-        "paragraphs": [(n.no, n.up.no, n.up.up.no if n.up.up else -1) for n in visible if n.tag in ("p", "li", "pre", "blockquote") and n.up],
-        "blocks": [(i, p, md, c, k) for i, (p, md, c, k) in enumerate(Blocks(root).out)],
-    }
+    def handle_data(self, data: str) -> None:
+        self.texts.append((self.open[-1], data.replace(BREAK, " ")))

@@ -1,4 +1,4 @@
-"""Bulk page extraction: pages are cut into blocks in tasks, then Spark measures, scores and assembles them."""
+"""Bulk page extraction: tasks report what the parser sees; Spark tells chrome, measures, scores, writes and assembles."""
 
 from __future__ import annotations
 
@@ -7,41 +7,188 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lorekeep.functions import text as X
 from lorekeep.functions import urls as U
 from lorekeep.functions.times import iso, safe_time
 from lorekeep.operators.skew import cut, first_by
 from lorekeep.schemas import DEFAULTS
-from lorekeep.sources.html import page_record
-
-_BLOCK = "struct<ord:int,path:array<int>,md:string,chars:int,links:int>"
+from lorekeep.sources.html import Events
+
+# Elements and roles that hold no content, and elements that stand by themselves.
+SKIP = {"script", "style", "noscript", "template", "iframe", "svg", "form", "nav", "footer", "aside", "head", "button", "select", "textarea", "canvas", "object", "embed", "dialog"}
+SKIP_ROLES = {"navigation", "banner", "contentinfo", "complementary"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+BLOCKS = HEADINGS | {
+    "#page", "html", "body", "p", "div", "section", "article", "main", "header", "figure", "figcaption", "details", "summary", "dl", "dt", "dd", "address", "fieldset", "center",
+    "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "ul", "ol", "li", "pre", "blockquote", "hr",
+}
+# A table that holds any of these is a layout, not data.
+LAYOUT = HEADINGS | {"table", "p", "div", "ul", "ol", "pre"}
 RECORD = (
-    "page_id long, body_no int, title string, canonical string, site_name string, published string, modified string, "
-    "times array<struct<above:array<int>,at:string>>, mains array<int>, paragraphs array<struct<no:int,parent:int,grand:int>>, "
-    f"blocks array<{_BLOCK}>"
+    "page_id long, nodes array<struct<tag:string,path:array<int>,nth:int,attr:map<string,string>>>, texts array<struct<no:int,text:string>>"
 )
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = []
-        for i, src in zip(pdf["page_id"], pdf["html"]):
-            r = page_record(src or "")
-            r["times"] = [{"above": a, "at": b} for a, b in r["times"]]
-            r["paragraphs"] = [{"no": a, "parent": b, "grand": c} for a, b, c in r["paragraphs"]]
-            r["blocks"] = [{"ord": o, "path": p, "md": m, "chars": c, "links": k} for o, p, m, c, k in r["blocks"]]
-            rows.append({"page_id": i, **r})
-        yield pd.DataFrame(rows, columns=["page_id", "body_no", "title", "canonical", "site_name", "published", "modified", "times", "mains", "paragraphs", "blocks"])
+        seen = [Events(src or "") for src in pdf["html"]]
+        nodes = [[dict(zip(("tag", "path", "nth", "attr"), n)) for n in e.nodes] for e in seen]
+        yield pd.DataFrame({"page_id": pdf["page_id"], "nodes": nodes, "texts": [[{"no": n, "text": t} for n, t in e.texts] for e in seen]})
+
+
+def _tag_in(tags: set[str]):
+    return lambda n: n["tag"].isin(*sorted(tags))
+
+
+def _above(n: Column) -> Column:
+    """The elements around ``n``, from the page down."""
+    return F.transform(F.slice(n["path"], 1, F.size(n["path"]) - 1), lambda p: F.get("nodes", p))
+
+
+def _chrome(n: Column) -> Column:
+    a = n["attr"]
+    hidden = F.map_contains_key(a, "hidden") | (F.coalesce(a["aria-hidden"], F.lit("")) == "true") | F.coalesce(a["role"], F.lit("")).isin(*sorted(SKIP_ROLES))
+    page_head = (n["tag"] == "header") & ~F.exists(_above(n), _tag_in({"article", "main"}))
+    return _tag_in(SKIP)(n) | hidden | page_head
+
+
+def _texts_in(no: Column) -> Column:
+    return F.array_join(F.transform(F.filter("texts", lambda t: F.array_contains(F.get("nodes", t["no"])["path"], no)), lambda t: t["text"]), "")
+
+
+def _numbers(nodes: Column, keep) -> Column:
+    return F.transform(F.filter(nodes, keep), lambda n: n["no"])
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """One record per page ``(page_id, html)``, written once because every later step reads it."""
-    return cut(pages.select("page_id", "html").mapInPandas(_parse, RECORD), "pages")
+    """One record per page ``(page_id, html)``, written once because every later step reads it.
+
+    ``nodes`` and ``texts`` are what the parser reports; whether an element is chrome, what the head says, and where
+    content may be rooted follow from them.
+    """
+    raw = pages.select("page_id", "html").mapInPandas(_parse, RECORD)
+    flagged = raw.withColumn("own", F.transform("nodes", _chrome))
+    n = flagged.withColumn("nodes", F.transform("nodes", lambda n, i: F.struct(
+        i.alias("no"), n["tag"].alias("tag"), n["path"].alias("path"), n["nth"].alias("nth"), n["attr"].alias("attr"),
+        F.get("own", i).alias("chrome"), F.exists(n["path"], lambda p: F.get("own", p)).alias("unseen"),
+    ))).drop("own")
+
+    def meta(*names: str) -> Column:
+        said = lambda n: F.trim(F.coalesce(n["attr"]["content"], F.lit("")))
+        is_of = lambda n, name: (n["tag"] == "meta") & F.array_contains(F.array(*[F.coalesce(n["attr"][k], F.lit("")) for k in ("property", "name", "itemprop")]), name) & (said(n) != "")
+        says = lambda name: lambda n: is_of(n, name)
+        return F.coalesce(*[F.get(F.transform(F.filter("nodes", says(name)), said), F.lit(0)) for name in names])
+
+    def first_text(tag: str) -> Column:
+        all_of = F.transform(_numbers(F.col("nodes"), lambda n: n["tag"] == tag), _texts_in)
+        return F.get(F.filter(all_of, lambda t: t.rlike(r"\S")), F.lit(0))
+
+    href = lambda n: F.trim(F.coalesce(n["attr"]["href"], F.lit("")))
+    canonical = F.filter("nodes", lambda n: (n["tag"] == "link") & (n["attr"]["rel"] == "canonical") & href(n).startswith("http"))
+    is_main = lambda n: (_tag_in({"article", "main"})(n) | (F.coalesce(n["attr"]["role"], F.lit("")) == "main")) & ~n["chrome"]
+    votes = F.filter("nodes", lambda n: ~n["unseen"] & _tag_in({"p", "li", "pre", "blockquote"})(n))
+    up = lambda n, k: F.coalesce(F.get(n["path"], F.size(n["path"]) - k), F.lit(-1))
+    return cut(n.select(
+        "page_id", "nodes", "texts", F.coalesce(F.get(_numbers(F.col("nodes"), lambda n: n["tag"] == "body"), F.lit(0)), F.lit(0)).alias("body_no"),
+        F.coalesce(meta("og:title"), first_text("title"), first_text("h1")).alias("title"), F.get(F.transform(canonical, href), F.lit(0)).alias("canonical"),
+        meta("og:site_name").alias("site_name"), meta("article:published_time", "datePublished", "date").alias("published"), meta("article:modified_time", "dateModified").alias("modified"),
+        F.transform(F.filter("nodes", lambda n: (n["tag"] == "time") & F.map_contains_key(n["attr"], "datetime")), lambda n: F.struct(n["path"].alias("above"), n["attr"]["datetime"].alias("at"))).alias("times"),
+        _numbers(F.col("nodes"), is_main).alias("mains"),
+        F.transform(votes, lambda n: F.struct(n["no"].alias("no"), up(n, 2).alias("parent"), up(n, 3).alias("grand"))).alias("paragraphs"),
+    ), "pages")
+
+
+def _squeezed(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+
+
+def _visible(parsed: DataFrame) -> DataFrame:
+    """A row for each visible text: its order, the elements around it, its block and the link and table it is in."""
+    t = parsed.select("page_id", "nodes", F.posexplode("texts").alias("ord", "t")).withColumn("n", F.get("nodes", F.col("t.no"))).where(~F.col("n.unseen"))
+    t = t.withColumn("around", F.transform("n.path", lambda p: F.get("nodes", p)))
+    last = lambda tags: F.element_at(F.filter("around", _tag_in(tags)), -1)
+    data = F.filter("around", lambda a: (a["tag"] == "table") & ~F.exists("nodes", lambda x: F.array_contains(x["path"], a["no"]) & (x["no"] != a["no"]) & _tag_in(LAYOUT)(x)))
+    t = t.select("page_id", "ord", F.col("t.text").alias("text"), "around", F.try_element_at(data, F.lit(1))["no"].alias("table"), *[
+        F.when(F.exists("around", _tag_in(tags)), last(tags)).alias(name) for name, tags in (("a", {"a"}), ("block", BLOCKS))
+    ])
+    plain = F.regexp_replace("text", r"(?U)\s", "")
+    chars = F.when(last_tag_is("br") | last_tag_is("hr") | last_tag_is("img"), 0).otherwise(F.length(plain))
+    return t.withColumn("chars", chars).withColumn("stretch", F.coalesce("table", F.col("block.no")))
+
+
+def last_tag_is(tag: str) -> Column:
+    return F.element_at("around", -1)["tag"] == tag
 
 
 def blocks(parsed: DataFrame) -> DataFrame:
-    return parsed.select("page_id", F.explode("blocks").alias("b")).select("page_id", "b.*")
+    """Blocks of Markdown in page order ``(page_id, ord, path, md, chars, links)``; ``path`` holds the elements around each."""
+    page = W.partitionBy("page_id").orderBy("ord")
+    # Texts follow one another in one block until another block comes between them.
+    changes = F.coalesce((F.col("stretch") != F.lag("stretch").over(page)).cast("int"), F.lit(1))
+    texts = _visible(parsed).withColumn("seg", changes).withColumn("seg", F.sum("seg").over(page))
+    # The texts of a link are one piece, written with its target.
+    piece = texts.groupBy("page_id", "seg", F.coalesce(F.col("a.no"), -1 - F.col("ord")).alias("unit")).agg(
+        F.min("ord").alias("ord"), F.first("a").alias("a"), F.min_by(F.struct("around", "block", "table"), "ord").alias("at"), F.sum("chars").alias("chars"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "").alias("text"),
+    )
+    target = F.col("a")["attr"]["href"]
+    linked = target.rlike("^https?://") & (_squeezed(F.col("text")) != "")
+    piece = piece.withColumn("md", F.when(linked, F.concat(F.lit("["), _squeezed(F.col("text")), F.lit("]("), target, F.lit(")"))).otherwise(F.col("text")))
+    segs = piece.groupBy("page_id", "seg").agg(
+        F.min("ord").alias("ord"), F.min_by("at", "ord").alias("at"), F.sum("chars").alias("chars"), F.sum(F.when(F.col("a").isNotNull(), F.col("chars")).otherwise(0)).alias("links"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "md"))), lambda x: x["md"]), "").alias("md"),
+    ).select("page_id", "seg", "ord", "at.*", "chars", "links", "md")
+    tables = _tables(parsed).select("page_id", F.col("no").alias("table"), F.col("md").alias("table_md"))
+    rows = segs.join(tables, ["page_id", "table"], "left")
+    return _written(rows)
+
+
+def _written(segs: DataFrame) -> DataFrame:
+    """Every stretch of text in the form of its block: heading, list item, quote, code, table or paragraph."""
+    page, nos = W.partitionBy("page_id").orderBy("ord"), F.transform("around", lambda a: a["no"])
+    of = lambda tags: F.filter("around", _tag_in(tags))
+    item, lists = F.try_element_at(of({"li"}), F.lit(-1)), of({"ul", "ol"})
+    said = F.filter(F.transform(F.split("md", "\v"), _squeezed), lambda x: x != "")
+    segs = segs.withColumns({"said": said, "item": item["no"], "list": F.try_element_at(lists, F.lit(1))["no"], "filled": (F.size(said) > 0).cast("int")})
+    opens = F.sum("filled").over(W.partitionBy("page_id", "item").orderBy("ord")) == 1
+    mark = F.when(F.element_at(lists, -1)["tag"] == "ol", F.concat(item["nth"].cast("string"), F.lit(". "))).otherwise("- ")
+    depth = F.least(F.greatest(F.size(lists) - 1, F.lit(0)), F.lit(6))
+    heading = F.try_element_at(of(HEADINGS), F.lit(-1))["tag"]
+    starts = (
+        F.when(heading.isNotNull(), F.concat(F.repeat(F.lit("#"), F.substring(heading, 2, 1).cast("int")), F.lit(" ")))
+        .when(F.col("item").isNotNull() & opens, F.concat(F.repeat(F.lit("  "), depth), mark)).otherwise("")
+    )
+    quote = F.repeat(F.lit("> "), F.size(of({"blockquote"})))
+    code = F.exists("around", _tag_in({"pre"}))
+    lines = (
+        F.when(code, F.concat(F.array(F.lit("```")), F.split(F.regexp_replace("md", r"^\n+|\n+$", ""), "\n"), F.array(F.lit("```"))))
+        .otherwise(F.transform("said", lambda x, i: F.when(i == 0, F.concat(starts, x)).otherwise(x)))
+    )
+    body = F.array_join(F.transform(lines, lambda x: F.concat(quote, x, F.lit("\n"))), "")
+    in_item = F.col("item").isNotNull() & opens & heading.isNull() & ~code
+    # Items stand close together; an empty line follows a paragraph and the end of the outermost list.
+    ends = F.col("list").isNotNull() & ~F.coalesce(F.lead("list").over(page).eqNullSafe(F.col("list")), F.lit(False))
+    gap = F.when(~in_item | ends, "\n").otherwise("")
+    md = F.when(F.col("table").isNotNull(), F.coalesce("table_md", F.lit(""))).when(~code & (F.size("said") == 0), "").otherwise(F.concat(body, gap))
+    return segs.select("page_id", "ord", nos.alias("path"), md.alias("md"), "chars", "links")
+
+
+def _tables(parsed: DataFrame) -> DataFrame:
+    """``(page_id, no, md)`` of every data table: the cells of its rows between bars, the first row as head."""
+    cells = parsed.select("page_id", "nodes", "texts", F.explode("nodes").alias("c")).where(F.col("c.tag").isin("td", "th") & ~F.col("c.unseen"))
+    above = F.transform("c.path", lambda p: F.get("nodes", p))
+    near = lambda tag: F.try_element_at(F.filter(above, lambda a: a["tag"] == tag), F.lit(-1))["no"]
+    cells = cells.select("page_id", near("table").alias("no"), near("tr").alias("tr"), F.col("c.no").alias("cell"), F.replace(_squeezed(_texts_in(F.col("c.no"))), F.lit("|"), F.lit("\\|")).alias("t"))
+    rows = cells.groupBy("page_id", "no", "tr").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "t"))), lambda x: x["t"]).alias("row")).where(F.exists("row", lambda t: t != ""))
+    grids = rows.groupBy("page_id", "no").agg(F.transform(F.array_sort(F.collect_list(F.struct("tr", "row"))), lambda x: x["row"]).alias("grid"))
+    width = F.array_max(F.transform("grid", F.size))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
+    lines = F.transform("grid", line)
+    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
+    md = F.concat(F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))), "\n"), F.lit("\n\n"))
+    return grids.select("page_id", "no", md.alias("md"))
 
 
 def node_lengths(block_rows: DataFrame) -> DataFrame:

@@ -10,13 +10,13 @@ from lorekeep.operators import search as S
 from lorekeep.operators import upserts as P
 from lorekeep.sources import imports as MP
 from lorekeep.sources import pages as G
-from lorekeep.sources.html import page_record
 from lorekeep.sources.io import SnapshotStore, append_ledger, write_json, write_raw
 from lorekeep.streaming import jobs as J
 
 
-def md(html):
-    return "".join(b[2] for b in page_record(html)["blocks"])
+def md(spark, html):
+    parsed = G.parse_pages(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    return "".join(r["md"] for r in G.blocks(parsed).orderBy("ord").collect())
 
 
 @pytest.mark.parametrize("html, want", [
@@ -24,8 +24,8 @@ def md(html):
     ("<blockquote><p>q</p></blockquote>", "> q\n\n"), ("<pre>a\n b</pre>", "```\na\n b\n```\n\n"), ('<p><a href="http://x">t</a> <a href="#y">u</a></p>', "[t](http://x) u\n\n"),
     ("<table><tr><th>a<th>b<tr><td>1<td>x|y</table>", "| a | b |\n| --- | --- |\n| 1 | x\\|y |\n\n"), ("<nav>no</nav><div hidden>no</div><header>no</header><article><header>yes</header></article>", "yes\n\n"),
 ])
-def test_markdown(html, want):
-    assert md(html) == want
+def test_markdown(spark, html, want):
+    assert md(spark, html) == want
 
 
 def page(spark, html):
