@@ -145,7 +145,7 @@ def route(locator: Column) -> Column:
         .when((scheme == "") | (F.length(scheme) == 1), out("local", s))
         .when(scheme == "file", out("local", F.regexp_replace(s, r"^file://(?:localhost)?", "")))
         .when(~scheme.isin("http", "https"), out("rejected", F.concat(F.lit("unsupported scheme "), scheme)))
-        .when(google & F.contains(path, F.lit("/folders/")), out("rejected", F.lit("folders are not supported")))
+        .when(google & F.contains(path, F.lit("/folders/")), out("rejected", F.lit("a folder, not a file")))
         .when(google & file_id.isNotNull(), out("google", file_id))
         .when(is_microsoft_host(host), out("microsoft", s))
         .when(host.endswith(".slack.com") & path.startswith("/archives"), out("rejected", F.lit("conversations are synced")))

@@ -176,11 +176,11 @@ def classify_drive_items(items: DataFrame, unsupported_ext: Sequence[str]) -> Da
     name = F.coalesce(F.get_json_object(base, "$.name"), F.lit(""))
     ext = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
     reason = (
-        F.when(has("deleted"), "the item was deleted").when(has("folder"), "folders are not supported")
-        .when(has("package"), "unsupported item type: package").when(item_id.isNull() | drive.isNull(), "the item has no drive or item ID")
-        .when(ext.isin(*unsupported_ext), F.concat(F.lit("unsupported file type: ."), ext))
+        F.when(has("deleted"), "deleted at its source").when(has("folder"), "a folder, not a file")
+        .when(has("package"), "a package, not a file").when(item_id.isNull() | drive.isNull(), "drive or item number missing")
+        .when(ext.isin(*unsupported_ext), F.concat(F.lit("no reader for ."), ext))
     )
-    outcome = F.when(reason.isin("the item was deleted", "the item has no drive or item ID"), "not_found").when(reason.isNotNull(), "not_applicable").otherwise("file")
+    outcome = F.when(reason.isin("deleted at its source", "drive or item number missing"), "not_found").when(reason.isNotNull(), "not_applicable").otherwise("file")
     return items.select("*", outcome.alias("outcome"), reason.alias("reason"), drive.alias("drive_id"), item_id.alias("item_id"), name.alias("name"))
 
 

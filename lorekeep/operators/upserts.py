@@ -277,7 +277,7 @@ def close_stale_runs(runs: DataFrame, prefix: str, older_than: datetime) -> Data
     hit = (F.col("status") == "running") & (F.col("started_at") < _at(older_than)) & F.col("command").startswith(prefix)
     return runs.withColumns({
         "status": F.when(hit, "interrupted").otherwise(F.col("status")),
-        "error": F.when(hit, F.coalesce("error", F.lit("process ended without finishing the run"))).otherwise(F.col("error")),
+        "error": F.when(hit, F.coalesce("error", F.lit("no end was recorded"))).otherwise(F.col("error")),
     })
 
 

@@ -126,13 +126,13 @@ def hidden(v):
 @query(
     "o4_action_order",
     f"""SELECT id, CAST(due AS VARCHAR) AS due, {SI('occurred_at')} AS occurred_at FROM full_items WHERE kind = 'action' AND effective_status = 'open' AND conf_rank >= 1
-ORDER BY full_items.due ASC NULLS LAST, full_items.occurred_at DESC NULLS LAST, id DESC LIMIT 100""",
+ORDER BY full_items.due ASC NULLS LAST, full_items.occurred_at DESC NULLS LAST, id DESC""",
     ("full_items",),
 )
 def action_order(v):
     """Open actions by due date, undated last."""
     rows = _ask(v, I.ItemQuery(kinds=["action"], statuses=["open"])).where("shown")
-    return rows.orderBy(*I.answer_order(["action"])).limit(100).select("id", F.col("due").cast("string").alias("due"), iso(F.col("occurred_at")).alias("occurred_at"))
+    return rows.orderBy(*I.answer_order(["action"])).select("id", F.col("due").cast("string").alias("due"), iso(F.col("occurred_at")).alias("occurred_at"))
 
 
 _ALIASES = """

@@ -213,7 +213,7 @@ def canonical(v):
 @query(
     "c13_locator_routes",
     """SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'google' WHEN 1 THEN 'rejected' WHEN 2 THEN 'microsoft' WHEN 3 THEN 'rejected' WHEN 4 THEN 'local' WHEN 5 THEN 'rejected' WHEN 6 THEN 'local' ELSE 'web' END AS route,
- CASE page_id % 8 WHEN 0 THEN 'id' || page_id WHEN 1 THEN 'folders are not supported' WHEN 2 THEN 'https://x.sharepoint.com/' || page_id WHEN 3 THEN 'conversations are synced' WHEN 4 THEN '/tmp/' || page_id
+ CASE page_id % 8 WHEN 0 THEN 'id' || page_id WHEN 1 THEN 'a folder, not a file' WHEN 2 THEN 'https://x.sharepoint.com/' || page_id WHEN 3 THEN 'conversations are synced' WHEN 4 THEN '/tmp/' || page_id
    WHEN 5 THEN 'unsupported scheme ftp' WHEN 6 THEN 'notes/' || page_id || '.md' ELSE url END AS detail FROM pages""",
 )
 def routes(v):

@@ -247,8 +247,8 @@ def calendar(v):
 @query(
     "p24_drive_items",
     """SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 OR p_partkey % 10 = 3 THEN 'not_found' WHEN p_partkey % 10 IN (1, 2) OR p_size % 5 = 0 THEN 'not_applicable' ELSE 'file' END AS outcome,
-  CASE p_partkey % 10 WHEN 0 THEN 'the item was deleted' WHEN 1 THEN 'folders are not supported' WHEN 2 THEN 'unsupported item type: package'
-    WHEN 3 THEN 'the item has no drive or item ID' ELSE CASE WHEN p_size % 5 = 0 THEN 'unsupported file type: .one' END END AS reason,
+  CASE p_partkey % 10 WHEN 0 THEN 'deleted at its source' WHEN 1 THEN 'a folder, not a file' WHEN 2 THEN 'a package, not a file'
+    WHEN 3 THEN 'drive or item number missing' ELSE CASE WHEN p_size % 5 = 0 THEN 'no reader for .one' END END AS reason,
   'i' || p_partkey AS item_id, CASE p_size % 3 WHEN 0 THEN 'export' WHEN 1 THEN 'download' ELSE 'unsupported' END AS plan FROM part""",
 )
 def drive_items(v):

@@ -230,7 +230,7 @@ def issue_refresh(v):
 
 @query(
     "m16_stale_runs",
-    """SELECT id, CASE WHEN hit THEN 'interrupted' ELSE status END AS status, CASE WHEN hit THEN coalesce(error, 'process ended without finishing the run') ELSE error END AS error
+    """SELECT id, CASE WHEN hit THEN 'interrupted' ELSE status END AS status, CASE WHEN hit THEN coalesce(error, 'no end was recorded') ELSE error END AS error
 FROM (SELECT *, status = 'running' AND started_at < TIMESTAMP '2024-01-20' AND starts_with(command, 'sync') AS hit FROM runs)""",
     ("runs",),
 )
@@ -371,8 +371,8 @@ def import_accounts(v):
 
 cte(
     "imported",
-    """SELECT doc_id AS line_id, lang, text, CASE WHEN doc_id % 19 = 0 OR doc_id % 17 = 0 THEN 'invalid record' WHEN doc_id % 11 = 0 THEN 'title is empty' WHEN doc_id % 13 = 0 THEN 'at least one section is required'
-  WHEN doc_id % 29 = 0 THEN 'account nobody does not exist' WHEN lang = 'de' THEN 'account acct-google.doc is a microsoft account' WHEN doc_id % 2 = 0 AND doc_id % 23 = 0 THEN 'raw path must be relative and inside the bundle' END AS error FROM documents""",
+    """SELECT doc_id AS line_id, lang, text, CASE WHEN doc_id % 19 = 0 OR doc_id % 17 = 0 THEN 'not a record' WHEN doc_id % 11 = 0 THEN 'blank title' WHEN doc_id % 13 = 0 THEN 'no sections'
+  WHEN doc_id % 29 = 0 THEN 'account nobody is unknown' WHEN lang = 'de' THEN 'account acct-google.doc has kind microsoft' WHEN doc_id % 2 = 0 AND doc_id % 23 = 0 THEN 'raw path leaves the bundle' END AS error FROM documents""",
 )
 
 

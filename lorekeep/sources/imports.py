@@ -54,13 +54,13 @@ def validate(lines: DataFrame, accounts: DataFrame, mapping: dict[str, str] | No
     ok_kind = (F.col("_kind") == F.col("need")) | ((F.col("need") == "imap") & (F.col("_kind") == "google"))
     error = (
         F.when(F.col("r").isNull() | ~F.coalesce(F.col("r.source_kind").isin(*SOURCE_KINDS), F.lit(False)) | F.col("r.source_id").isNull()
-               | F.col("r.title").isNull(), "invalid record")
-        .when(F.trim("r.source_id") == "", "source_id is empty").when(F.trim("r.title") == "", "title is empty")
-        .when(F.size(sections) == 0, "at least one section is required")
-        .when(F.col("account_id").isNull(), F.concat(F.lit("no account for kind "), "need"))
-        .when(F.col("_kind").isNull(), F.concat(F.lit("account "), "account_id", F.lit(" does not exist")))
-        .when(~ok_kind, F.concat(F.lit("account "), "account_id", F.lit(" is a "), "_kind", F.lit(" account")))
-        .when(bad_raw, "raw path must be relative and inside the bundle")
+               | F.col("r.title").isNull(), "not a record")
+        .when(F.trim("r.source_id") == "", "blank source_id").when(F.trim("r.title") == "", "blank title")
+        .when(F.size(sections) == 0, "no sections")
+        .when(F.col("account_id").isNull(), F.concat(F.lit("nobody reads kind "), "need"))
+        .when(F.col("_kind").isNull(), F.concat(F.lit("account "), "account_id", F.lit(" is unknown")))
+        .when(~ok_kind, F.concat(F.lit("account "), "account_id", F.lit(" has kind "), "_kind"))
+        .when(bad_raw, "raw path leaves the bundle")
     )
     return p.withColumn("error", error).drop("_kind", "need")
 

@@ -70,7 +70,7 @@ def test_import_bundle_twice(spark, tmp_path):
         '{"source_kind":"web.page","source_id":"a","title":"A","sections":[{"kind":"details","text":"x"}],"metadata":{"k":[1,2]}}\n\nnot json\n{"source_kind":"web.page","source_id":"b","title":" ","sections":[]}\n')
     accounts = spark.createDataFrame([("w", "web")], "id string, kind string")
     val = MP.validate(MP.read_bundle(spark, str(tmp_path / "e.jsonl")), accounts, {"web": "w"})
-    assert sorted(r["error"] for r in MP.bad_lines(val).collect()) == ["invalid record", "title is empty"]
+    assert sorted(r["error"] for r in MP.bad_lines(val).collect()) == ["blank title", "not a record"]
     none = spark.createDataFrame([], "id long, account_id string, source_kind string, source_id string, source_url string, title string, source_created_at timestamp, source_updated_at timestamp, ingested_at timestamp, metadata string, raw_status string, summary_status string")
     sec = spark.createDataFrame([], "entry_id long, kind string, origin string, text string")
     now = datetime(2024, 1, 1, tzinfo=UTC)

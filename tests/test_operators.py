@@ -50,9 +50,9 @@ def test_occurrences_count_overlaps(spark, term, want):
     assert one(spark, X.occurrences(F.col("t"), term), t="aaaa") == want
 
 
-@pytest.mark.parametrize("text, hit", [("<jo@x.com>", True), ("kajo@x.com", False), ("jo@x.com.evil", False), ("see jo@x.com.", True), ("jo@x.community", False)])
+@pytest.mark.parametrize("text, hit", [("write mira@tulip.test; thanks", True), ("almira@tulip.test", False), ("mira@tulip.test.fake", False), ("(mira@tulip.test)", True), ("mira@tulip.tests", False)])
 def test_whole_email(spark, text, hit):
-    assert one(spark, X.contains_email(F.col("t"), F.lit("jo@x.com")), t=text) is hit
+    assert one(spark, X.contains_email(F.col("t"), F.lit("mira@tulip.test")), t=text) is hit
 
 
 @pytest.mark.parametrize("p, path, want", [
