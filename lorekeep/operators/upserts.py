@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import jsonx, text as X
 from lorekeep.operators.skew import first_by, joined_text, prefix_sum
-from lorekeep.schemas import ORIGIN_RANK, SECTION_POSITION
+from lorekeep.schemas import DEFAULTS, ORIGIN_RANK, SECTION_POSITION, Settings
 
 KEY = ["account_id", "source_kind", "source_id"]
 
@@ -227,6 +227,18 @@ def upsert_queue(current: DataFrame, enqueue: DataFrame, dequeue: DataFrame, now
     return nxt.join(dequeue.select(*KEY), KEY, "left_anti")
 
 
+def fetchable(queue: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Keys a drain may fetch; those that failed too often wait for a person."""
+    return queue.where(F.col("attempts") < settings.queue_max_attempts)
+
+
+def fetch_batches(queue: DataFrame, size: int, settings: Settings = DEFAULTS) -> DataFrame:
+    """Fetchable keys with ``batch``, the number of the commit they belong to: per account the oldest first, ``size`` together."""
+    order = [F.col(c) for c in ("enqueued_at", "source_kind", "source_id")]
+    n = prefix_sum(fetchable(queue, settings), ["account_id"], [F.to_date("enqueued_at")], order, F.lit(1), "_n")
+    return n.withColumn("batch", F.floor((F.col("_n") - 1) / size)).drop("_n")
+
+
 def queue_failures(queue: DataFrame, failed: DataFrame) -> DataFrame:
     """Failed fetches counted. ``failed(key, failures, error)``."""
     j = queue.join(failed.select(*KEY, F.col("failures").alias("_n"), F.col("error").alias("_e")), KEY, "left")

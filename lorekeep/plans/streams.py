@@ -9,7 +9,7 @@ from lorekeep.operators import upserts as M
 from lorekeep.plans import query
 from lorekeep.plans.ctes import iso as SI
 from lorekeep.session import work_dir
-from lorekeep.sources.io import SnapshotStore
+from lorekeep.sources.io import SnapshotStore, append_ledger
 from lorekeep.streaming import jobs as J
 
 
@@ -86,6 +86,27 @@ def page_changes(v):
     return J.run(J.document_changes(s, known), "page-changes").select(F.col("doc").alias("page_id"), "change")
 
 
+@query(
+    "r11_fetch_batches",
+    """SELECT source_id, CAST((row_number() OVER (PARTITION BY account_id ORDER BY enqueued_at, source_kind, source_id) - 1) // 20 AS BIGINT) AS batch FROM queue WHERE attempts < 5""",
+    ("queue",),
+)
+def fetch_batches(v):
+    """What a drain fetches, in commits of twenty."""
+    return M.fetch_batches(v.queue, 20).select("source_id", "batch")
+
+
+@query("s10_ledger_append", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS calls, round(sum(value), 6) AS cost_usd FROM events GROUP BY 1")
+def ledger_append(v):
+    """Two appends to the ledger by day, read back."""
+    path = work_dir(v.spark, "ledger")
+    rows = v.events.select("event_id", F.col("ts").alias("at"), F.col("value").alias("cost_usd"))
+    for half in (0, 1):
+        append_ledger(rows.where(F.col("event_id") % 2 == half), path)
+    days = v.spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day"))
+    return days.agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
+
+
 @query(
     "r12_stream_commits",
     """SELECT 'src' || (o_custkey % 20) AS account_id, count(*) FILTER (WHERE o_orderkey % 4 = 0) AS failed, count(*) AS queued, (SELECT max(event_id) FROM events) AS cursor
