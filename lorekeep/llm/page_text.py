@@ -33,6 +33,8 @@ PAGES, TREES, DEPTH, BINS, RATE, SWITCH = 200, 40, 4, 24, 0.25, 1.0
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr label".split())
 UNSEEN = set("head script style template noscript svg math iframe object select option button textarea audio video canvas title".split())
+#: Elements that may stand in a head; any other start tag and any text end it, as in the HTML standard.
+HEAD = set("head html base basefont bgsound link meta title noscript noframes script style template".split())
 #: Elements that a start tag of the same group ends.
 ENDS = {t: {t} for t in ("p", "li", "tr", "option")} | {t: {"dt", "dd"} for t in ("dt", "dd")} | {t: {"td", "th"} for t in ("td", "th")}
 KEEPS_P = INLINE | VOID - {"hr"}
@@ -97,8 +99,14 @@ class Tree(HTMLParser):
         self.unseen -= tag in UNSEEN
         self.links -= tag == "a"
 
+    def _end_head(self) -> None:
+        while self.open[-1][0] == "head":
+            self._pop()
+
     def handle_starttag(self, tag: str, attrs) -> None:
         inline = tag in INLINE
+        if tag not in HEAD:
+            self._end_head()
         if tag == "br":
             self.run.append(" ")
         if tag in VOID:
@@ -150,6 +158,8 @@ class Tree(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head()
         if not self.unseen:
             self.run.append(data)
             if self.links:

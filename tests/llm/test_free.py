@@ -192,6 +192,21 @@ def test_broken_and_empty_pages(spark):
     assert [t for _, t in tree.texts] == ["a", "b & c d"]
 
 
+@pytest.mark.parametrize(
+    "html, texts",
+    [
+        ("<html><head><title>T</title><article><p>text</p></article>", ["text"]),
+        ("<html><head><title>T</title><meta charset=x><script>s</script><link rel=y>\n text <b>on</b>", ["text on"]),
+        ("<head><noscript><p>n</p></noscript><style>c</style><img src=i>a<p>b</head>c", ["a", "bc"]),
+        ("<head><title>T</title></head><body><p>a</p></body>", ["a"]),
+        ("<head><title>T<body><p>a<head><p>b", ["a", "b"]),
+    ],
+)
+def test_a_head_ends_without_its_end_tag(html, texts):
+    found = page_text.Tree(html)
+    assert [" ".join(t.split()) for _, t in found.texts] == texts and not found.unseen
+
+
 def brute_vectors(rows, cosine=0.9):
     ok = []
     for k, (_, v) in enumerate(rows):
