@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,17 +38,17 @@ def allows(path: Column, include: Sequence[str] = (), exclude: Sequence[str] = (
     return ~hidden & (X.glob_match(path, include, path=True) if include else F.lit(True))
 
 
-def walk(children: DataFrame, roots: DataFrame, max_depth: int = DEFAULTS.folder_max_depth) -> DataFrame:
+def walk(children: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Folders reachable from ``roots(root_id, root_name)`` breadth first: ``root_id, folder_id, names, depth``.
 
-    One join per level, at most ``max_depth`` of them. A folder keeps its first place: the lowest depth, then the lowest
+    One join per level, until a level holds no new folder or ``max_depth`` is reached. A folder keeps its first place: the lowest depth, then the lowest
     parent. Folders already seen under a root are never entered again, so loops end. Levels are written out, so the plan
     of a level does not contain the ones before it.
     """
     links = children.where(F.col("type") == "folder").select(F.col("parent_id").alias("folder_id"), F.col("id").alias("child"), "name")
     level = roots.select("root_id", F.col("root_id").alias("folder_id"), F.array("root_name").alias("names"), F.lit(0).alias("depth"))
     seen = level
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = level.join(links, "folder_id").select(
             "root_id", F.col("child").alias("to"), F.concat("names", F.array("name")).alias("names"), F.col("folder_id").alias("via"))
         new = step.join(seen.select("root_id", F.col("folder_id").alias("to")), ["root_id", "to"], "left_anti")
@@ -59,14 +60,15 @@ def walk(children: DataFrame, roots: DataFrame, max_depth: int = DEFAULTS.folder
     return seen
 
 
-def scan(children: DataFrame, roots: DataFrame, max_depth: int = DEFAULTS.folder_max_depth, recursive: bool = True,
+def scan(children: DataFrame, roots: DataFrame, max_depth: int | None = None, recursive: bool = True,
          include: Sequence[str] = (), exclude: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Files under every root with their folder path, and counts of what was left out per root."""
     seen = walk(children, roots, max_depth if recursive else 0)
     inside = children.withColumnRenamed("parent_id", "folder_id").join(seen, "folder_id")
     rel = F.array_join(F.concat(F.slice("names", F.lit(2), F.greatest(F.size("names") - 1, F.lit(0))), F.array("name")), "/")
     files = inside.where(F.col("type") == "file").withColumn("allowed", allows(rel, include, exclude))
-    deep = inside.where((F.col("type") == "folder") & (F.col("depth") >= max_depth) & F.lit(recursive)).select("root_id", "id").join(
+    beyond = F.lit(False) if max_depth is None else F.col("depth") >= max_depth
+    deep = inside.where((F.col("type") == "folder") & beyond & F.lit(recursive)).select("root_id", "id").join(
         seen.select("root_id", F.col("folder_id").alias("id")), ["root_id", "id"], "left_anti")
     out = files.where("allowed").select("root_id", "id", "name", "modified", "etag", "size", join_path(F.col("names")).alias("folder_path"))
     marks = (

@@ -76,6 +76,33 @@ def left_out(v):
     return D.scan(listing(v), roots(v), max_depth=3)[1].select("why", "count")
 
 
+_WHOLE = """WITH RECURSIVE w AS (SELECT 'root' AS folder_id, ['Home'] AS names
+  UNION ALL SELECT c.id, list_append(w.names, c.name) FROM w JOIN children c ON c.parent_id = w.folder_id AND c.type = 'folder' AND c.id <> 'root')"""
+
+
+@query(
+    "s8_whole_files",
+    _WHOLE + """ SELECT c.id, array_to_string(names, ' / ') AS folder_path FROM children c JOIN w ON w.folder_id = c.parent_id
+WHERE c.type = 'file' AND NOT starts_with(c.name, '~$') AND (starts_with(lower(c.name), 'report') OR ends_with(lower(c.name), '.txt')) AND NOT (c.name LIKE 'note %7.TXT')""",
+    ("children",),
+)
+def whole_files(v):
+    """The walk goes on until no new folder is found."""
+    out, _ = D.scan(listing(v), roots(v), include=["report*", "**/*.txt"], exclude=["NOTE *7.txt"])
+    return out.select("id", "folder_path")
+
+
+@query(
+    "s8_whole_counts",
+    _WHOLE + """ SELECT 'unsupported' AS why, count(*) AS count FROM children c JOIN w ON w.folder_id = c.parent_id WHERE c.type = 'unsupported'
+UNION ALL SELECT 'excluded', count(*) FROM children c JOIN w ON w.folder_id = c.parent_id WHERE c.type = 'file' AND starts_with(c.name, '~$')""",
+    ("children",),
+)
+def whole_left_out(v):
+    """What a walk without a depth limit leaves out."""
+    return D.scan(listing(v), roots(v))[1].select("why", "count")
+
+
 @query(
     "c34_long_paths",
     """SELECT conv_id, turn, CASE WHEN length(f) <= 300 THEN f ELSE 'Root / ... / ' || t END AS path FROM (SELECT conv_id, turn, 'Root / ' || substr(a, 1, 250) || ' / ' || substr(a, 1, 40) AS f, substr(a, 1, 40) AS t

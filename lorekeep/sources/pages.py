@@ -13,7 +13,6 @@ from lorekeep.functions import text as X
 from lorekeep.functions import urls as U
 from lorekeep.functions.times import iso, safe_time
 from lorekeep.operators.skew import cut, first_by
-from lorekeep.schemas import DEFAULTS
 from lorekeep.sources.html import Events
 
 # Elements and roles that hold no content, and elements that stand by themselves.
@@ -228,13 +227,15 @@ def content_roots(parsed: DataFrame) -> DataFrame:
     return parsed.select("page_id", "body_no").join(main.unionByName(win), "page_id", "left").select("page_id", F.coalesce("root", "body_no").alias("root"))
 
 
-def cap_text(c: Column, limit: int) -> Column:
-    """At most ``limit`` characters, followed by a note when the text was cut."""
+def cap_text(c: Column, limit: int | None) -> Column:
+    """At most ``limit`` characters, followed by a note when the text was cut; all without a limit."""
+    if limit is None:
+        return c
     kept = F.rtrim(F.substring(c, 1, limit))
     return F.when(F.length(c) > limit, F.concat(kept, F.lit(f"\n\n[... text cut at {limit} characters]"))).otherwise(c)
 
 
-def extract_pages(pages: DataFrame, limit: int = DEFAULTS.doc_max_chars, min_chars: int = 1) -> DataFrame:
+def extract_pages(pages: DataFrame, limit: int | None = None, min_chars: int = 1) -> DataFrame:
     """Pages ``(page_id, url, html)`` to documents: outcome, title, Markdown text, dates, canonical URL, site name."""
     parsed = parse_pages(pages)
     roots = content_roots(parsed)
@@ -254,7 +255,7 @@ def extract_pages(pages: DataFrame, limit: int = DEFAULTS.doc_max_chars, min_cha
     j = src.join(head, "page_id").join(texts, "page_id", "left").withColumn("clean", X.clean_text(F.coalesce("md", F.lit(""))))
     return j.select(
         "page_id", "url", U.canonical(F.col("url")).alias("source_id"), "title", cap_text(F.col("clean"), limit).alias("text"),
-        (F.length("clean") > limit).alias("truncated"),
+        (F.lit(False) if limit is None else F.length("clean") > limit).alias("truncated"),
         F.when(F.length(F.trim("clean")) < min_chars, "not_applicable").otherwise("extracted").alias("outcome"),
         F.coalesce(safe_time(F.col("published")), safe_time(F.col("_p")), safe_time(F.col("time_at"))).alias("created"),
         F.coalesce(safe_time(F.col("modified")), safe_time(F.col("_m"))).alias("modified"),
