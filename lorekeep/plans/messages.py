@@ -39,6 +39,19 @@ def parse(v):
     return _messages(v).select("source_id", iso(F.col("at")).alias("at"), "ts", "user", "text")
 
 
+@query(
+    "s4_failed_entries",
+    """SELECT 'c:' || conv_id AS source_id, 'failed' AS outcome, count(*) AS n_lines FROM conversations WHERE conv_id % 3 = 1 AND turn % 2 = 1 OR conv_id % 3 = 2 AND turn % 3 = 1 GROUP BY conv_id""",
+)
+def failed(v):
+    """Entries with lines that are no JSON message with a stamp; blank lines don't count."""
+    k, turn = F.col("conv_id") % 3, F.col("turn")
+    good = F.to_json(F.struct(F.concat((turn + 1).cast("string"), F.lit(".0")).alias("ts"), F.col("text").alias("text")))
+    line = F.when((k == 1) & (turn % 2 == 1), F.to_json(F.struct("text"))).when((k == 2) & (turn % 3 == 1), "{ no json").when((k == 0) & (turn % 2 == 1), " ").otherwise(good)
+    seg = v.table("conversations").select(F.concat(F.lit("c:"), F.col("conv_id").cast("string")).alias("source_id"), F.lit(0).alias("seq"), turn.alias("line_no"), line.alias("line"))
+    return M.failed_entries(seg)
+
+
 @query("c16_speakers", "SELECT source_id, ts, who FROM spoken", ("spoken",))
 def speakers(v):
     """Speaker names from the directory, the id as a last resort."""

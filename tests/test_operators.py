@@ -360,6 +360,22 @@ def test_elements_of_rich_text(spark):
     assert spark.createDataFrame([("no json",)], "b string").select(M.block_fragments(F.col("b"))).first()[0] in (None, [])
 
 
+def test_deeply_nested_blocks_keep_their_text(spark):
+    leaf = lambda t: {"type": "text", "text": t}
+    section = lambda *e: {"type": "rich_text_section", "elements": list(e)}
+    inner = {"type": "rich_text_list", "elements": [section(leaf("two"), {"type": "link", "url": "http://l"})]}
+    blocks = [
+        [{"type": "rich_text", "elements": [{"type": "rich_text_list", "elements": [{"elements": [section(leaf("one")), inner]}]}]}],
+        [{"type": "context", "elements": [{"type": "mrkdwn", "text": "{x}"}, {"type": "plain_text", "text": {"type": "plain_text", "text": "no"}}, {"text": "y"}]}],
+        [{"type": "section", "text": {"text": "a"}, "accessory": {"type": "section", "text": {"text": "b"}, "accessory": {"type": "header", "text": {"text": "c"}}}}],
+        [{"type": "rich_text", "elements": [section(section(section(section(leaf("far")))))]}],
+    ]
+    rows = spark.createDataFrame([(k, json.dumps(b)) for k, b in enumerate(blocks)], "k int, b string")
+    got = {r["k"]: r for r in rows.select("k", M.block_fragments(F.col("b")).alias("f"), M.block_links(F.col("b")).alias("l")).collect()}
+    assert [[(f["kind"], f["text"]) for f in got[k]["f"]] for k in range(4)] == [[("p", "- one\n- two" + "http://l")], [("m", "{x} y")], [("m", "a"), ("m", "b"), ("m", "c")], [("p", "far")]]
+    assert got[0]["l"] == ["http://l"]
+
+
 def test_chunks_lose_nothing(spark):
     rnd = random.Random(3)
     bodies = ["".join(rnd.choice(["word ", "\n", "\n\n", "x" * 30, "日本"]) for _ in range(rnd.randrange(1, 200))) for _ in range(50)] + ["", "short", "y" * 100]
