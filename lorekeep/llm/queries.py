@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import exact_dedup, metric_join, page_text, piece_codec, quality_mil, secret_links, shingle_join, source_mix, token_files, toxic_segments
+from lorekeep.llm import exact_dedup, framed_fim, metric_join, page_text, piece_codec, quality_mil, secret_links, shingle_join
+from lorekeep.llm import source_mix, token_files, toxic_segments, vector_codes, warc_convert
 
 QUERIES = {
     "op1_toxic_segments": toxic_segments.op1,
@@ -15,7 +16,13 @@ QUERIES = {
     "op8_quality_mil": quality_mil.op8,
     "op9_secret_links": secret_links.op9,
     "op10_exact_dedup": exact_dedup.op10,
+    "op11_vector_codes": vector_codes.op11,
+    "op12_warc_convert": warc_convert.op12,
+    "op13_framed_fim": framed_fim.op13,
 }
 ORACLES = {
     "op10_exact_dedup": exact_dedup.OP10_SQL,
+    "op11_vector_codes": vector_codes.OP11_SQL,
+    "op12_warc_convert": warc_convert.OP12_SQL,
+    "op13_framed_fim": framed_fim.OP13_SQL,
 }
