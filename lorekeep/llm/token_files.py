@@ -12,12 +12,14 @@ rows with equal ids follow the hash of their text; an empty table gives no rows;
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,17 +31,19 @@ from lorekeep.session import work_dir
 SKIPPABLE, SEEK_TABLE, FOOTER, HAS_CHECKSUM = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 END_ID = 2
 #: Longest piece of a document in one frame, and words whose ids a worker remembers.
-FRAME_BYTES, REMEMBERED = 1 << 28, 700_000
-#: Marks that the tokenizer parts from a letter before them.
-MARKS = b".,;:!?%#$&*()[]{}|-_+=/~^\""
-LETTER = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+FRAME_BYTES, REMEMBERED = 1 << 28, 1_200_000
+#: A word of letters that the tokenizer takes as they are and of marks that it parts from a letter before them; or any other.
+SHAPE = re.compile(rb"""(?m)^((?:[a-z]++|\xc3[\x9f-\xb6\xb8-\xbf])*+)([-.,;:!?%#$&*()[\]{}|_+=/~^"]*+)$|^(.+)$""")
+#: What the vocabulary adds to a token that ends a word, and words whose ids are gathered at once.
+WORD_END, GATHERED = "</w>", 1 << 19
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
 
 
 class WordIds:
-    """Ids of texts by the tokenizers library, which sees every distinct word of a worker once.
+    """Ids of texts by the tokenizers library, which sees every distinct word of a worker once while it is remembered.
 
     Only for a tokenizer that drops white space and ignores case: words apart by white space are then independent.
+    When there is no more room for words, those of the batch at hand stay.
     """
 
     _own: dict[str, WordIds] = {}
@@ -50,6 +54,9 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {b"": b""}
         self.mark = self._ids("\x01")
+        vocab = self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith(WORD_END)]] = True
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -60,40 +67,61 @@ class WordIds:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def learn(self, words: set[bytes]) -> None:
+    def _keep(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw = ids.tobytes()
+        self.known.update(zip(words, (raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist()))))
+
+    def _marked(self, words: list[bytes]) -> None:
         """Encodes words in one go, with a mark between them that no word holds."""
+        ids = self._ids(b" \x01 ".join(words).decode())
+        cuts = np.flatnonzero(ids == self.mark[0])
+        self._keep(words, ids, np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]]))
+
+    def _letters(self, words: list[bytes]) -> None:
+        """Encodes words of plain letters: each ends with the one token that ends a word."""
+        ids = self._ids(b" ".join(words).decode())
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            return self._marked(words)
+        self._keep(words, ids, np.concatenate([[0], cuts[:-1]]), cuts)
+
+    def learn(self, words: list[bytes]) -> None:
         known = self.known
+        if len(known) > REMEMBERED:
+            known = self.known = {b"": b""} | {w: known[w] for w in words if w in known}
         fresh = [w for w in words if w not in known]
-        if len(known) + len(fresh) > REMEMBERED:
-            known = self.known = {b"": b""}
-            fresh = list(words - {b""})
-        # A word with marks behind its last letter has the ids of both parts.
-        parts = {}
-        for w in fresh:
-            core = w.rstrip(MARKS)
-            if len(core) < len(w) and core and core[-1] in LETTER:
-                parts[w] = core, w[len(core) :]
-        fresh = list({p for w in fresh for p in parts.get(w, (w,))} - known.keys())
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            ids = self._ids(" \x01 ".join(w.decode() for w in some))
-            cuts = np.flatnonzero(ids == self.mark[0])
-            starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]])
-            raw = ids.tobytes()
-            known.update(zip(some, (raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist()))))
-        for w, (core, marks) in parts.items():
-            known[w] = known[core] + known[marks]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split: list[list[bytes] | str] = []
-        for text in texts:
-            # Special tokens and the mark make words depend on each other: the library takes such a text as a whole.
-            whole = "<|" in text or "\x01" in text
-            split.append(text if whole else text.encode().lower().replace(b"\n", b" ").replace(b"\t", b" ").split(b" "))
-        self.learn({w for words in split if not isinstance(words, str) for w in words})
-        get = self.known.__getitem__
-        for words in split:
-            yield self._ids(words).tobytes() if isinstance(words, str) else b"".join(map(get, words))
+        shapes = SHAPE.findall(b"\n".join(fresh))
+        # A word with marks behind its letters has the ids of both parts.
+        parts = [(w, core, marks) for w, (core, marks, other) in zip(fresh, shapes) if marks]
+        letters = list({core for core, _, _ in shapes} - known.keys())
+        others = list({other or marks for _, marks, other in shapes} - known.keys())
+        for kind, some in ((self._letters, letters), (self._marked, others)):
+            for at in range(0, len(some), 20_000):
+                kind(some[at : at + 20_000])
+        known.update([(w, known[core] + known[marks]) for w, core, marks in parts])
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text; every distinct word of the batch is looked up once, then ids are gathered by its number."""
+        # Special tokens and the mark make words depend on each other: the library takes such a text as a whole.
+        odd = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring(texts, "\x01"))
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(odd, "", texts)))
+        numbered = words.flatten().dictionary_encode()
+        distinct = numbered.dictionary.cast(pa.binary()).to_pylist()
+        self.learn(distinct)
+        ids = list(map(self.known.__getitem__, distinct))
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(length) - length
+        number = numbered.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(length[number])])
+        out = np.empty(ends[-1], "<u4")
+        for at in range(0, len(number), GATHERED):
+            some, n = number[at : at + GATHERED], length[number[at : at + GATHERED]]
+            a, b = ends[at], ends[at + len(some)]
+            out[a:b] = flat[np.arange(a, b) + np.repeat(start[some] - ends[at : at + len(some)], n)]
+        cuts = ends[np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])]
+        for k, whole in enumerate(odd.to_pylist()):
+            yield self._ids(texts[k].as_py()).tobytes() if whole else out[cuts[k] : cuts[k + 1]].tobytes()
 
 
 def _store(path: str):
@@ -205,14 +233,27 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col="doc_id", text_co
             if batch.num_rows == 0:
                 continue
             out = out or Writer(path)
-            for doc_id, data in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist())):
+            for doc_id, data in zip(batch.column(0).to_pylist(), words.encode(batch.column(1))):
                 out.add(doc_id, data + end)
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_docs": [len(out.ids)], "n_tokens": [out.n_tokens]})
 
     # A row for each file, as many as there are partitions.
-    return sorted((r.part, r.path, r.n_docs, r.n_tokens) for r in ordered.mapInArrow(task, MANIFEST).collect())
+    made = sorted((r.part, r.path, r.n_docs, r.n_tokens) for r in ordered.mapInArrow(task, MANIFEST).collect())
+    if made:
+        _sweep(folder)
+    return made
+
+
+def _sweep(folder: str) -> None:
+    """Removes what lost tasks have left under other names."""
+    from pyarrow import fs
+
+    store, at = _store(folder)
+    for info in store.get_file_info(fs.FileSelector(at)):
+        if info.path.endswith(".tmp"):
+            store.delete_file(info.path)
 
 
 def read(spark: SparkSession, files: list[tuple[int, str, int, int]]) -> DataFrame:
