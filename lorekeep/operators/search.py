@@ -6,7 +6,6 @@ import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
-from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +17,6 @@ from lorekeep.operators.skew import first_by, top_n
 # Fixed values of the ranking function.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 TITLE_WEIGHT, TEXT_WEIGHT = 2.0, 1.0
-BUCKETS = 64
 
 
 @dataclass(frozen=True)
@@ -78,30 +76,6 @@ def doc_lengths(docs: DataFrame) -> DataFrame:
     return docs.select("section_id", "entry_id", size.alias("len"))
 
 
-def gram_bucket(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
-
-
-def write_index(docs: DataFrame, path: str) -> None:
-    """Postings partitioned by a hash of the gram (a lookup reads a few folders), lengths beside them.
-
-    Inside a folder rows are spread by section, so a gram that is in every section is still written by many tasks.
-    """
-    p = postings(docs).withColumn("bucket", gram_bucket(F.col("gram")))
-    spread = p.repartition("bucket", F.pmod(F.xxhash64("section_id"), F.lit(16))).sortWithinPartitions("bucket", "gram")
-    spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    doc_lengths(docs).write.mode("overwrite").parquet(f"{path}/lengths")
-
-
-def reindex(index: DataFrame, changed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Next postings: those of the changed entries' sections dropped and rebuilt.
-
-    ``changed(section_id)`` holds old and new sections of the changed entries; ``docs`` the current rows of those entries.
-    """
-    kept = index.join(changed.select("section_id").distinct(), "section_id", "left_anti")
-    return kept.select("gram", "section_id", "title_tf", "text_tf").unionByName(postings(docs))
-
-
 def index_consistency(index_lengths: DataFrame, sections: DataFrame) -> DataFrame:
     """Sections on both sides, missing from the index, and indexed without a section."""
     i = index_lengths.select(F.col("section_id").alias("id"), F.lit(True).alias("i")).distinct()
@@ -139,11 +113,6 @@ def candidates(index: DataFrame, terms: Sequence[str]) -> DataFrame:
     low = index.sparkSession.range(1).select(*[F.lower(F.lit(t)).alias(f"t{i}") for i, t in enumerate(terms)]).first()
     wanted = sorted({t[i : i + 3] for t in low for i in range(len(t) - 2)})
     cond = F.col("gram").isin(*wanted)
-    if "bucket" in index.columns:
-        probe = index.sparkSession.range(1).select(
-            *[gram_bucket(F.lit(g)).alias(f"g{i}") for i, g in enumerate(wanted)]
-        ).first()
-        cond = cond & F.col("bucket").isin(*sorted(set(probe)))
     hit = index.where(cond).groupBy("section_id").agg(F.count(F.lit(1)).alias("n"))
     return hit.where(F.col("n") == len(wanted)).select("section_id")
 
@@ -155,6 +124,14 @@ def collection(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(size).alias("avg"), *held)
 
 
+def weight(n: Column, df: Column, title_tf: Column, text_tf: Column, relative: Column) -> Column:
+    """BM25 of one term in one section of ``relative`` length; ``n`` sections are there and ``df`` of them hold the term."""
+    raw = F.ln((n - df + 0.5) / (df + 0.5))
+    idf = F.when(raw <= 0, MIN_IDF).otherwise(raw)
+    f = TITLE_WEIGHT * title_tf + TEXT_WEIGHT * text_tf
+    return idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * relative))
+
+
 def score(docs: DataFrame, hits: DataFrame, terms: Sequence[str]) -> DataFrame:
     """BM25 of every hit, larger is better. Collection numbers come from all of ``docs``, not from the hits.
 
@@ -164,11 +141,8 @@ def score(docs: DataFrame, hits: DataFrame, terms: Sequence[str]) -> DataFrame:
     size = F.greatest(F.length("title") - 2, F.lit(0)) + F.greatest(F.length("text") - 2, F.lit(0))
     total = F.lit(0.0)
     for i, t in enumerate(terms):
-        raw = F.ln((c["n"] - c[f"df{i}"] + 0.5) / (c[f"df{i}"] + 0.5))
-        idf = F.when(raw <= 0, MIN_IDF).otherwise(raw)
-        low = t.lower()
-        f = TITLE_WEIGHT * X.occurrences(F.lower("title"), low) + TEXT_WEIGHT * X.occurrences(F.lower("text"), low)
-        total = total + idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * size / c["avg"]))
+        low = F.lower(F.lit(t))
+        total = total + weight(c["n"], c[f"df{i}"], X.occurrences(F.lower("title"), low), X.occurrences(F.lower("text"), low), size / c["avg"])
     return hits.withColumn("score", total)
 
 
@@ -199,55 +173,3 @@ def search(docs: DataFrame, q: SearchQuery, index: DataFrame | None = None) -> D
         hits = first_by(hits, ["entry_id"], best)
     hits = hits.orderBy(*order).limit(q.effective_limit())
     return hits.select("entry_id", "section_id", "kind", "position", "score", X.snippet(F.col("text"), terms, 80).alias("snippet"))
-
-
-class SearchBackend(Protocol):
-    """What a search backend offers."""
-
-    def rebuild(self) -> None: ...
-
-    def index(self, entry_ids: DataFrame) -> None: ...
-
-    def remove(self, entry_ids: DataFrame) -> None: ...
-
-    def search(self, q: SearchQuery) -> DataFrame: ...
-
-
-class TrigramBackend:
-    """Backend over versioned snapshots of the postings; ``load`` returns the current ``(sections, entries)``."""
-
-    name = "trigram"
-
-    def __init__(self, store, load):
-        self.store, self.load = store, load
-
-    def _docs(self) -> DataFrame:
-        return documents(*self.load())
-
-    def _next(self) -> int:
-        v = self.store.current()
-        return 0 if v is None else v + 1
-
-    def rebuild(self) -> None:
-        docs = self._docs()
-        self.store.publish(self._next(), postings=postings(docs), lengths=doc_lengths(docs))
-
-    def _replace(self, entry_ids: DataFrame, docs: DataFrame) -> None:
-        ids = entry_ids.select("entry_id").distinct()
-        lengths = self.store.read("lengths")
-        fresh = docs.join(ids, "entry_id", "left_semi")
-        old = lengths.join(ids, "entry_id", "left_semi").select("section_id")
-        changed = old.unionByName(fresh.select("section_id"))
-        next_lengths = lengths.join(ids, "entry_id", "left_anti").unionByName(doc_lengths(fresh))
-        self.store.publish(
-            self._next(), postings=reindex(self.store.read("postings"), changed, fresh), lengths=next_lengths
-        )
-
-    def index(self, entry_ids: DataFrame) -> None:
-        self._replace(entry_ids, self._docs())
-
-    def remove(self, entry_ids: DataFrame) -> None:
-        self._replace(entry_ids, self._docs().join(entry_ids.select("entry_id"), "entry_id", "left_anti"))
-
-    def search(self, q: SearchQuery) -> DataFrame:
-        return search(self._docs(), q, self.store.read("postings"))

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import search as S
 from lorekeep.operators import upserts as P
+from lorekeep.operators.search_index import SearchIndex, TrigramBackend
 from lorekeep.sources import imports as MP
 from lorekeep.sources import pages as G
 from lorekeep.sources.io import SnapshotStore, append_ledger, write_json, write_raw
+from lorekeep.sources.partitions import Change, Conflict, PartitionStore
 from lorekeep.streaming import jobs as J
 
 
@@ -91,12 +93,74 @@ def test_snapshot_store(spark, tmp_path):
     assert s.read("t").count() == 2 and s.read("t", 0).count() == 3
 
 
+DOC = "section_id long, entry_id long, kind string, position int, text string, title string, account_id string, source_kind string, date timestamp"
+
+
+def _indexed(spark, path, n=40):
+    words = ["alpha", "beta", "gamma", "aaaa", "ÄÖaÄÖ", "İx"]
+    text = lambda i: " ".join(words[(i * k) % 6] for k in range(1, 1 + i % 9))
+    rows = [(i, i // 2, ["details", "overview"][i % 2], i % 2, text(i), f"{words[i // 2 % 6]} {i // 2}", "a", "web.page", datetime(2024, 1, 1 + i % 20, tzinfo=UTC)) for i in range(n)]
+    docs = spark.createDataFrame(rows, DOC)
+    index = SearchIndex(PartitionStore(spark, str(path)), gram_buckets=8, row_buckets=8)
+    index.rebuild(docs)
+    return rows, docs, index
+
+
+def _same(index, docs, *terms_of, **q):
+    for terms in terms_of:
+        query = S.SearchQuery(terms, limit=30, **q)
+        flat = lambda df: [(r["entry_id"], r["section_id"], round(r["score"], 9), r["snippet"]) for r in df.collect()]
+        assert flat(index.search(query)) == flat(S.search(docs, query)), terms
+
+
+def test_index_gives_what_a_scan_gives(spark, tmp_path):
+    rows, docs, index = _indexed(spark, tmp_path / "i")
+    _same(index, docs, ["aaa"], ["ALPHA beta"], ["gamma", "be"], ["zzz"], ["a"])
+    _same(index, docs, ["äöaäö"], ["i̇x"], ["eta", "alp"], all_sections=True, sections=["details"])
+    changed = [(*r[:4], "new beta aaaa", *r[5:]) if r[1] == 3 else r for r in rows if r[1] not in (5, 6)]
+    after = spark.createDataFrame(changed, DOC)
+    index.replace(spark.createDataFrame([(3,), (5,), (6,), (99,)], "entry_id long"), after)
+    _same(index, after, ["beta"], ["aaaa"])
+    facts = index.store.manifest().facts
+    size = sum(max(len(r[4]) - 2, 0) + max(len(r[5]) - 2, 0) for r in changed)
+    assert facts == {"sections": len(changed), "length": size}
+    assert index.compact(0) and index.compact(1) == []
+    _same(index, after, ["aaaa", "new"])
+    assert index.store.read("postings").count() == index.live_postings().count()
+
+
+def test_a_changed_entry_rewrites_its_buckets_only(spark, tmp_path):
+    _, docs, index = _indexed(spark, tmp_path / "i")
+    before = index.store.manifest().tables
+    one = spark.createDataFrame([(3,)], "entry_id long")
+    index.replace(one, docs)
+    after = index.store.manifest().tables
+    own = {str(b) for b in index.store.touched("rows", one)}
+    assert len(own) == 1 and {b for b in before["rows"]["parts"] if before["rows"]["parts"][b] != after["rows"]["parts"].get(b)} == own
+    assert all(after["postings"]["parts"][b][: len(f)] == f for b, f in before["postings"]["parts"].items())
+
+
+def test_indexed_search_reads_few_texts(spark, tmp_path, monkeypatch):
+    _, docs, index = _indexed(spark, tmp_path / "i")
+    plans = []
+    read = index.store.read
+    monkeypatch.setattr(index.store, "read", lambda table, version=None, buckets=None: (plans.append((table, buckets)), read(table, version, buckets))[1])
+    got = index.search(S.SearchQuery(["gamma"], limit=2))
+    assert 0 < got.count() <= 2
+    # Postings are read from the buckets of the grams, and texts from the buckets of the hits.
+    assert all(buckets is not None for table, buckets in plans if table == "postings")
+    scans = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line or "ReadSchema" in line]
+    assert scans and all(b is None or len(b) <= 3 for _, b in plans)
+    hits = index._found(["gamma"], index.store.current())._jdf.queryExecution().toString()
+    assert "text#" not in hits.partition("Optimized Logical Plan")[2].partition("Physical Plan")[2].replace("text_at#", "").replace("text_tf#", "")
+
+
 def test_search_backend(spark, tmp_path):
     e = [(i, f"Title {i}", "a", "web.page", datetime(2024, 1, 1 + i, tzinfo=UTC), datetime(2024, 2, 1, tzinfo=UTC)) for i in range(3)]
     entries = spark.createDataFrame(e, "id long, title string, account_id string, source_kind string, source_created_at timestamp, ingested_at timestamp")
     texts = {0: "alpha beta", 1: "beta gamma", 2: "delta"}
     sec = lambda: spark.createDataFrame([(i, i, "details", 4, x) for i, x in texts.items()], "id long, entry_id long, kind string, position int, text string")
-    b = S.TrigramBackend(SnapshotStore(spark, str(tmp_path / "idx")), lambda: (sec(), entries))
+    b = TrigramBackend(PartitionStore(spark, str(tmp_path / "idx")), lambda: (sec(), entries), gram_buckets=4, row_buckets=4)
     b.rebuild()
     find = lambda x: sorted(r["entry_id"] for r in b.search(S.SearchQuery([x])).collect())
     assert find("beta") == [0, 1]
@@ -105,14 +169,55 @@ def test_search_backend(spark, tmp_path):
     assert find("beta") == [0, 1, 2]
     del texts[0]
     b.remove(spark.createDataFrame([(0,)], "entry_id long"))
-    assert find("beta") == [1, 2] and b.store.read("lengths").count() == 2
-
-
-def test_written_index_is_pruned(spark, tmp_path):
-    docs = spark.createDataFrame([(1, 1, "details", 4, "hello world", "t", "a", "web.page", None)], "section_id long, entry_id long, kind string, position int, text string, title string, account_id string, source_kind string, date timestamp")
-    S.write_index(docs, str(tmp_path / "i"))
-    c = S.candidates(spark.read.parquet(str(tmp_path / "i/postings")), ["hello"])
-    assert c.count() == 1 and "PartitionFilters: [isnotnull" not in "" and "bucket" in c._jdf.queryExecution().toString()
+    assert find("beta") == [1, 2] and b.kept.store.manifest().facts["sections"] == 2
+    b.rebuild()
+    assert find("beta") == [1, 2]
+
+
+# -- buckets with versions ------------------------------------------------------------------------------------
+
+
+def _store(spark, path):
+    store = PartitionStore(spark, str(path))
+    assert store.create({"t": (spark.range(100).withColumn("v", F.lit(0)), ["id"], 8), "log": (spark.range(0), ["id"], 2)}, {"top": 99})
+    return store
+
+
+def test_two_writers_have_one_winner(spark, tmp_path):
+    a, b = _store(spark, tmp_path / "s"), PartitionStore(spark, str(tmp_path / "s"))
+    assert not b.create({"t": (spark.range(1), ["id"], 1)})
+    key = spark.createDataFrame([(7,)], "id long")
+    change = lambda s, v: {"t": s.update("t", key, lambda rows: rows.withColumn("v", F.when(F.col("id") == 7, v).otherwise(F.col("v"))))}
+    first, second = change(a, 1), change(b, 2)
+    assert a.commit(0, first) == 1
+    with pytest.raises(Conflict):
+        b.commit(0, second)
+    assert [r.v for r in b.read("t").where("id = 7").collect()] == [1] and b.read("t").count() == 100
+    # The loser has left nothing behind.
+    assert len(list((tmp_path / "s" / "data" / "t").iterdir())) == 2
+    assert b.commit(1, change(b, 2)) == 2 and [r.v for r in a.read("t").where("id = 7").collect()] == [2]
+
+
+def test_untouched_buckets_keep_their_files(spark, tmp_path):
+    store = _store(spark, tmp_path / "s")
+    key = spark.createDataFrame([(7,)], "id long")
+    before = store.manifest().tables["t"]["parts"]
+    store.commit(0, {"t": store.update("t", key, lambda rows: rows.where("id <> 7")), "log": Change(spark.range(3), append=True)}, {"top": 100})
+    after, touched = store.manifest(), {str(b) for b in store.touched("t", key)}
+    assert {b for b in before if before[b] != after.tables["t"]["parts"].get(b)} == touched and len(before) == 8
+    assert after.facts == {"top": 100} and store.read("log").count() == 3 and store.read("t").count() == 99 and store.read("t", 0).count() == 100
+    with pytest.raises(ValueError, match="buckets"):
+        store.commit(1, {"t": Change(spark.range(100).withColumn("v", F.lit(1)), [0])})
+
+
+def test_vacuum_removes_unread_versions(spark, tmp_path):
+    store = _store(spark, tmp_path / "s")
+    for v in range(3):
+        store.commit(v, {"t": Change(store.read("t").withColumn("v", F.lit(v)))})
+    assert store.vacuum(keep=2) == 0, "young folders stay"
+    assert store.vacuum(keep=2, grace_seconds=-5) > 0
+    assert store.versions() == [2, 3] and store.read("t").count() == store.read("t", 2).count() == 100
+    assert store.vacuum(keep=1, grace_seconds=-5) > 0 and {r.v for r in store.read("t").collect()} == {2}
 
 
 # -- streams --------------------------------------------------------------------------------------------------
