@@ -13,6 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def arrow_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch holds, in rows and bytes, so that very long texts don't meet in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

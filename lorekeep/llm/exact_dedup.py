@@ -34,13 +34,18 @@ def sha(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
+def _locator(rows: DataFrame, file: str, row: str) -> list[Column]:
+    """Where a row lies; a column of the table by the name of the metadata doesn't hide it."""
+    at = rows.metadataColumn("_metadata")
+    return [at["file_path"].alias(file), at["row_index"].alias(row)]
+
+
 def _keyed(rows: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
     return rows.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         digest(F.col(text_col)).alias("digest"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.row_index").alias("row"),
+        *_locator(rows, "file", "row"),
     )
 
 
@@ -113,11 +118,14 @@ def decisions(spark: SparkSession, path: str, id_col="doc_id", text_col="text",
 def dedup(docs: DataFrame, id_col="doc_id", text_col="text", **how) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; ``docs`` is written once as the log that the stream reads."""
     spark, path = docs.sparkSession, work_dir(docs.sparkSession, "dedup-log")
-    docs.write.parquet(path)
-    kept = decisions(spark, path, id_col, text_col, **how).where("kept").select(F.col("file").alias("_f"), F.col("row").alias("_r"))
+    # Columns by number, so that no name of theirs meets one that is used here or hides the file's own metadata.
+    number = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    docs.toDF(*number.values()).write.parquet(path)
+    kept = decisions(spark, path, number[id_col], number[text_col], **how).where("kept").select(F.col("file").alias("_f"), F.col("row").alias("_r"))
     log = spark.read.parquet(path)
-    at = (F.col("_metadata.file_path") == F.col("_f")) & (F.col("_metadata.row_index") == F.col("_r"))
-    return log.join(kept, at, "left_semi")
+    file, row = _locator(log, "file", "row")
+    at = (file == F.col("_f")) & (row == F.col("_r"))
+    return log.join(kept, at, "left_semi").toDF(*docs.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

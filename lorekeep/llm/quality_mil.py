@@ -4,7 +4,9 @@ A document is a bag of passages, a passage a stretch of ``PASSAGE`` code points.
 often kinds of characters follow one another, how long and how varied its words are. A layer encodes it; gated attention
 (tanh times sigmoid) gives every passage a weight within its document; the weighted sum of the encoded passages is
 scored. All weights are learnt together from document labels by gradient descent over a bounded sample of labelled
-documents, of which each lends at most ``BAG`` evenly spaced passages; scoring reads every passage of every text.
+documents: at most ``rows`` of them, the first by a hash that together have at most ``BAGS`` passages. A document is in
+the sample with all its passages. Scoring reads every passage of every text; long texts pass in slices of whole passages,
+whose attention is joined as they come.
 
 Defined results: a null text counts as empty, and an empty text is one passage of zeros; without labelled documents of
 both kinds every score is the share of good ones (0 if there are none); repeated rows get equal scores; other columns
@@ -21,12 +23,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lorekeep.llm.common import arrow_batches, held_out, labelled, table
 
-ROWS, BAG, PASSAGE = 6_000, 24, 600
+ROWS, BAGS, PASSAGE = 6_000, 150_000, 600
 HIDDEN, ATTENTION, ROUNDS, RATE, DECAY, SEED = 24, 12, 350, 0.02, 2e-3, 7
-BLOCK = 2_000_000  # code points worked on at once
+BLOCK = 1_200_000  # code points worked on at once, whole passages
 THRESHOLD = 0.3
 
 #: Kinds of characters: space, line end, lower, upper, digit, sentence end, comma, other mark, repeated mark, other letter.
@@ -91,7 +94,7 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         extra[:, 4] = np.bincount(home, length == 1, n) * share
         extra[:, 5] = np.log1p(words) / 6
         # Words whose last character is a mark, or that are marks alone.
-        last = kind[np.r_[starts[1:] - 1, len(kind) - 1]]
+        last = kind[np.flatnonzero(inside & np.r_[~inside[1:] | ~same, True])]
         extra[:, 6] = np.bincount(home, (length == 1) & (kind[starts] == MARK), n) * share
         extra[:, 7] = np.bincount(home, last == MARK, n) * share
         extra[:, 8] = np.bincount(home, kind[starts] == UPPER, n) * share
@@ -107,34 +110,59 @@ class Model:
     constant: float | None = None
 
     def scores(self, texts: list[str]) -> list[float]:
+        if self.constant is not None:
+            return [self.constant] * len(texts)
         out: list[float] = []
-        block, held = [], 0
-        for text in [*texts, None]:
-            if block and (text is None or held + len(text) > BLOCK):
-                out += self._block(block)
-                block, held = [], 0
-            if text is not None:
-                block.append(text)
-                held += len(text)
+        for texts_at_once in _blocks(texts):
+            if len(texts_at_once) == 1 and len(texts_at_once[0]) > BLOCK:
+                out.append(self._long(texts_at_once[0]))
+                continue
+            x, count = passages(texts_at_once)
+            p, _ = _forward(self.weights, (x - self.middle) / self.spread, np.cumsum(count) - count, count)
+            out += p.tolist()
         return out
 
-    def _block(self, texts: list[str]) -> list[float]:
-        if self.constant is not None:
-            return [self.constant] * len(texts)
-        x, count = passages(texts)
-        p, _ = _forward(self.weights, (x - self.middle) / self.spread, np.cumsum(count) - count, count)
-        return p.tolist()
+    def _long(self, text: str) -> float:
+        """The score of one text, slice by slice: sums relative to the largest attention so far."""
+        top, mass, z = -np.inf, 0.0, 0.0
+        for at in range(0, len(text), BLOCK):
+            x, _ = passages([text[at : at + BLOCK]])
+            h, e = _attention(self.weights, (x - self.middle) / self.spread)[:2]
+            higher = max(top, float(e.max()))
+            share = np.exp(e - higher)
+            scale = np.exp(top - higher)
+            mass, z, top = mass * scale + share.sum(), z * scale + share @ h, higher
+        return float(_sigmoid(z / mass @ self.weights[5] + self.weights[6][0]))
+
+
+def _blocks(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in turn, together up to ``BLOCK`` code points; a longer one by itself."""
+    block, held = [], 0
+    for text in texts:
+        if block and held + len(text) > BLOCK:
+            yield block
+            block, held = [], 0
+        block.append(text)
+        held += len(text)
+    if block:
+        yield block
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _forward(w: list[np.ndarray], x: np.ndarray, first: np.ndarray, count: np.ndarray):
-    enc, enc_b, gate_t, gate_s, att, out, out_b = w
+def _attention(w: list[np.ndarray], x: np.ndarray):
+    """Encoded passages, their attention before it is set in proportion, and the two gates."""
+    enc, enc_b, gate_t, gate_s, att = w[:5]
     h = np.tanh(x @ enc + enc_b)
     t, s = np.tanh(h @ gate_t), _sigmoid(h @ gate_s)
-    e = (t * s) @ att
+    return h, (t * s) @ att, t, s
+
+
+def _forward(w: list[np.ndarray], x: np.ndarray, first: np.ndarray, count: np.ndarray):
+    h, e, t, s = _attention(w, x)
+    out, out_b = w[5:]
     e = np.exp(e - np.repeat(np.maximum.reduceat(e, first), count))
     a = e / np.repeat(np.add.reduceat(e, first), count)
     z = np.add.reduceat(h * a[:, None], first)
@@ -167,19 +195,21 @@ def train(x: np.ndarray, count: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, label: str = "quality") -> Model:
-    """Passages are encoded where the texts are; at most ``rows`` bags of at most ``BAG`` vectors reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, bags: int = BAGS, label: str = "quality") -> Model:
+    """Passages are encoded where the texts are; the vectors of at most ``rows`` documents and ``bags`` passages reach the driver."""
     arrow_batches(docs.sparkSession)
 
-    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_id, text, y in zip(batch.doc_id, batch.text, batch.y):
-                x, count = passages([text])
-                some = np.unique(np.linspace(0, count[0] - 1, min(BAG, count[0])).astype(int))
-                yield pd.DataFrame({"doc_id": [doc_id], "y": [y], "n": [len(some)], "x": [x[some].astype("<f4").tobytes()]})
+                x = np.concatenate([passages([text[at : at + BLOCK]])[0] for at in range(0, max(len(text), 1), BLOCK)])
+                yield pd.DataFrame({"doc_id": [doc_id], "y": [y], "n": [len(x)], "x": [x.astype("<f4").tobytes()]})
 
     sample = labelled(docs, labels, label, rows).select("doc_id", "text", (F.col("y") > 0).cast("int").alias("y"))
-    got = sample.mapInPandas(bags, "doc_id long, y int, n int, x binary").toPandas().sort_values("doc_id")
+    # The sample has a bounded number of rows, so its running total may pass one task.
+    so_far = F.sum(F.greatest(F.ceil(F.length("text") / PASSAGE), F.lit(1))).over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = sample.select("doc_id", so_far.alias("bags")).where(F.col("bags") <= bags).select("doc_id")
+    got = sample.join(chosen, "doc_id").mapInPandas(encoded, "doc_id long, y int, n int, x binary").toPandas().sort_values("doc_id")
     y = got.y.to_numpy(float)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1), np.ones(1), [], float(y.mean()) if len(y) else 0.0)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import arrow_batches, table
+from lorekeep.llm.common import arrow_batches, table, unused
 from lorekeep.llm.components import Forest, components
 from lorekeep.operators.skew import cut
 
@@ -319,8 +319,9 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_
 
 def first_of_groups(docs: DataFrame, id_col="doc_id", **how) -> DataFrame:
     """The rows of ``docs`` that stay: of each group the one with the smallest id; a row without an id stays."""
-    gone = near_groups(docs, id_col=id_col, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = unused(docs, "gone")
+    gone = near_groups(docs, id_col=id_col, **how).where("doc_id <> component_id").select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

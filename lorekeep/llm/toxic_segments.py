@@ -7,8 +7,8 @@ extreme-value law ``P(S < x) = exp(-K n exp(-lambda x))``; lambda is the root of
 scores, K is fitted to clean documents. A document's evidence adds up what its segments exceed that law by, and a
 logistic curve fitted on documents that gave no counts turns it into a score.
 
-The model learns from at most ``rows`` labelled documents and keeps at most ``terms`` words; every word of every text is
-scanned. Defined results: a null text counts as empty; texts without words get the score of no evidence; without
+The model learns from at most ``rows`` labelled documents and keeps every word of theirs whose odds are significant; every
+word of every text is scanned. Defined results: a null text counts as empty; texts without words get the score of no evidence; without
 labelled documents of both kinds every score is next to 0; repeated rows get equal scores; other columns play no part.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.common import arrow_batches, held_out, labelled, table
 
-ROWS, TERMS = 20_000, 50_000
+ROWS = 20_000
 PRIOR = 0.1  # weight of the prior against the counts
 SIGNIFICANT_WORD = 4.0  # in standard errors of the log-odds
 DENSITY = 0.1  # telling words in a toxic passage
@@ -112,7 +112,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 0.0)), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TERMS, label: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, label: str = "toxic") -> Model:
     """Counts come from three folds, the calibration from the fourth."""
     arrow_batches(docs.sparkSession)
     sample = labelled(docs, labels, label, rows).persist()
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TERMS
         odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(n + whole) - F.col(y) - prior))
         error = F.sqrt(1 / (F.col("bad") + prior) + 1 / (F.col("clean") + prior))
         told = counts.withColumn("s", odds("bad", n1) - odds("clean", n0)).withColumn("z", F.col("s") / error)
-        kept = told.where(F.abs("z") >= SIGNIFICANT_WORD).orderBy(F.abs("z").desc(), "w").limit(terms).collect()
+        kept = told.where(F.abs("z") >= SIGNIFICANT_WORD).orderBy(F.abs("z").desc(), "w").collect()
         counts.unpersist()
         model = Model({r.w: float(r.s) for r in kept}, math.log1p(-DENSITY))
         shares = np.array([(r.clean + PRIOR * (r.clean + r.bad)) / (n0 + whole) for r in kept] + [0.0])
@@ -146,37 +146,40 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TERMS
         scores = np.array([r.s for r in kept] + [model.rest])
         if (scores > 0).any() and (shares * scores).sum() < 0:
             model.lam = _moment_root(scores, shares)
-        best = _found(sample.where("fold = 4").select("doc_id", "text", "y"), model, "y").select("y", "n", "best", "tail").toPandas()
+        last = sample.where("fold = 4").select("doc_id", "text", "y")
+        best = _found(last, model, "y").select("doc_id", "y", "n", "best").toPandas()
         y = (best.y > 0).to_numpy(float)
         if len(best) and 0 < y.sum() < len(y):
             clean = best[y == 0]
             model.k = len(clean) / max(float((np.maximum(clean.n, 1) * np.exp(-model.lam * clean.best)).sum()), 1e-12)
-            x = model.lam * best.best - np.log(model.k * np.maximum(best.n, 1))
-            model.slope, model.shift = _logistic(x.to_numpy(float), y)
+            # The curve is fitted on what it is used for: the evidence of all significant segments.
+            found = _found(last, model, "y").select("y", "evidence").toPandas()
+            model.slope, model.shift = _logistic(found.evidence.to_numpy(float), (found.y > 0).to_numpy(float))
         return model
     finally:
         sample.unpersist()
 
 
 def _found(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """``keep``, n, best, tail, passages of each (doc_id, text): passages are the significant segments in words."""
+    """``keep``, n, best, evidence, tail, passages of each (doc_id, text): passages are the significant segments in words."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, best, evidence, spans = [], [], [], []
+            n, best, evidence, tail, spans = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 length, found = model.passages(text)
                 limit = math.log(model.k * max(length, 1)) - math.log(SIGNIFICANT_SEGMENT)
                 n.append(length)
                 best.append(max((s for _, _, s in found), default=0.0))
-                evidence.append(model.probability(model.evidence(length, found)))
+                evidence.append(model.evidence(length, found))
+                tail.append(model.probability(evidence[-1]))
                 spans.append([{"start": a, "end": b, "score": s} for a, b, s in found if model.lam * s > limit])
             kept = [batch.column(c) for c in ("doc_id", *keep)]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(evidence, pa.float64()), pa.array(spans, kind)], ["doc_id", *keep, "n", "best", "tail", "passages"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), *[pa.array(c, pa.float64()) for c in (best, evidence, tail)], pa.array(spans, kind)], ["doc_id", *keep, "n", "best", "evidence", "tail", "passages"])
 
     extra = "".join(f", {c} int" for c in keep)
-    return docs.mapInArrow(task, f"doc_id long{extra}, n long, best double, tail double, passages array<struct<start:long,end:long,score:double>>")
+    return docs.mapInArrow(task, f"doc_id long{extra}, n long, best double, evidence double, tail double, passages array<struct<start:long,end:long,score:double>>")
 
 
 def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:

@@ -10,13 +10,13 @@ SF = "/root/testdata/sf0.001"
 #: The columns of documents, and more whose names an operator might use itself.
 DOCS = T.StructType(
     [T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()), ("n_chars", T.LongType()))]
-    + [T.StructField(n, T.StringType()) for n in ("size", "target", "copies", "row", "n", "digest", "component", "node", "rank", "score", "part", "src", "file", "h1", "keep_id")]
+    + [T.StructField(n, T.StringType()) for n in ("size", "target", "copies", "row", "n", "digest", "component", "node", "rank", "score", "part", "src", "file", "h1", "keep_id", "gone", "_gone", "_f", "_r", "_metadata", "c1")]
 )
 
 
 def documents(spark, rows):
     """rows of (doc_id, text, source)."""
-    full = [(i, t, "en", s, None if t is None else len(t), *["x"] * 15) for i, t, s in rows]
+    full = [(i, t, "en", s, None if t is None else len(t), *["x"] * 21) for i, t, s in rows]
     return spark.createDataFrame(full, DOCS).repartition(3)
 
 

@@ -6,6 +6,7 @@ import html as entities
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -146,13 +147,52 @@ def test_classifiers_take_every_kind_of_row(spark, op):
     assert kept.columns == docs.columns and kept.count() == len(rows)
 
 
-def test_attention_gradients():
-    """The written-out gradients lower the loss as far as numeric ones say."""
+def test_attention_gradients(monkeypatch):
+    """The written-out gradients of the first step equal numeric ones, and training fits its bags."""
     rng = np.random.default_rng(0)
     x, count, y = rng.normal(size=(12, quality_mil.WIDTH)), np.array([3, 1, 5, 3]), np.array([0.0, 1, 1, 0])
     w = quality_mil.train(x, count, y)
-    p, _ = quality_mil._forward(w, x, np.cumsum(count) - count, count)
-    assert np.abs(p - y).max() < 0.1
+    first = np.cumsum(count) - count
+    assert np.abs(quality_mil._forward(w, x, first, count)[0] - y).max() < 0.1
+    loss = lambda w: -np.mean(np.log(np.where(y > 0, p := quality_mil._forward(w, x, first, count)[0], 1 - p)))
+    monkeypatch.setattr(quality_mil, "ROUNDS", 1)
+    monkeypatch.setattr(quality_mil, "DECAY", 0.0)
+    start = quality_mil.train(x, count, y)
+    monkeypatch.setattr(quality_mil, "ROUNDS", 0)
+    before = quality_mil.train(x, count, y)
+    # The first step of the method moves every weight by the rate against the sign of its gradient.
+    for k, (a, b) in enumerate(zip(before, start)):
+        for at in list(np.ndindex(a.shape))[:: max(1, a.size // 15)]:
+            up, down = [c.copy() for c in before], [c.copy() for c in before]
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            slope = (loss(up) - loss(down)) / 2e-5
+            if abs(slope) > 1e-7:
+                assert np.sign(a[at] - b[at]) == np.sign(slope), (k, at)
+
+
+def test_quality_of_long_texts_in_slices(monkeypatch):
+    rng = np.random.default_rng(1)
+    shapes = [(quality_mil.WIDTH, 24), (24,), (24, 12), (24, 12), (12,), (24,), (1,)]
+    model = quality_mil.Model(np.zeros(quality_mil.WIDTH), np.ones(quality_mil.WIDTH), [rng.normal(size=s) for s in shapes])
+    texts = ["Some words, and more. " * 900, "", "x" * 5_000, "é9 " * 4_000]
+    whole = model.scores(texts)
+    monkeypatch.setattr(quality_mil, "BLOCK", 3 * quality_mil.PASSAGE)
+    assert np.allclose(model.scores(texts), whole)
+    x, _ = quality_mil.passages(["gamma# delta$ eps%", "gamma delta eps"])
+    marked = quality_mil.WIDTH - quality_mil.EXTRA + 7
+    assert x[0, marked] == 1 and x[1, marked] == 0
+
+
+def test_every_passage_of_the_sample_trains(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"w{k} " * (10 + 400 * (k % 7))) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_mil, "train", lambda x, count, y: seen.append(count) or [np.zeros(1)])
+    quality_mil.fit(docs, labels)
+    quality_mil.fit(docs, labels, bags=20)
+    texts = [r.text for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    assert sorted(seen[0]) == sorted(-(-len(t) // quality_mil.PASSAGE) for t in texts) and 0 < sum(seen[1]) <= 20
 
 
 def plain_pages(html):
@@ -243,6 +283,16 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {k: 100 for k in range(100, 161)} | {k: 7 for k in [7, *range(200, 300)]}
 
 
+def test_components_of_versions_need_few_rounds(spark):
+    from lorekeep.llm.components import components
+
+    n, rounds = 5_000, []
+    links = spark.range(n).selectExpr("id AS a", "id + 1 AS b")
+    got = components(links, rounds)
+    assert got.count() == n + 1 and got.where("component <> 0").count() == 0
+    assert rounds[0] <= 2 * np.log2(n)
+
+
 @pytest.mark.parametrize("settings", [{}, {"FREQUENT": 2, "FEW": 3, "BLOCK_SETS": 4, "COMBINED": 6, "CELLS": 1 << 10}])
 @pytest.mark.parametrize("width, num, den", [(3, 90, 100), (5, 4, 5)])
 def test_shingle_groups_equal_brute_force(spark, monkeypatch, settings, width, num, den):
