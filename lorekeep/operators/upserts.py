@@ -24,24 +24,25 @@ def last_per_key(batch: DataFrame, keys: Sequence[str], version: str) -> DataFra
     return first_by(batch, keys, F.col(version), descending=True)
 
 
-def new_ids(current: DataFrame, fresh: DataFrame, keys: Sequence[str], id_col: str = "id") -> DataFrame:
-    """Ids for new keys, following the highest one: positions are counted bucket by bucket of the key's hash."""
-    top = current.agg(F.coalesce(F.max(id_col), F.lit(-1)).alias("m")).scalar()
+def new_ids(current: DataFrame, fresh: DataFrame, keys: Sequence[str], id_col: str = "id", top: int | None = None) -> DataFrame:
+    """Ids for new keys, following ``top`` or the highest one: positions are counted bucket by bucket of the key's hash."""
+    top = current.agg(F.coalesce(F.max(id_col), F.lit(-1)).alias("m")).scalar() if top is None else F.lit(top)
     bucket = F.pmod(F.xxhash64(*keys), F.lit(1024))
     n = prefix_sum(fresh.withColumn("_g", F.lit(0)), ["_g"], [bucket], [F.col(k) for k in keys], F.lit(1), "_n")
     return n.withColumn(id_col, top + F.col("_n")).drop("_g", "_n")
 
 
-def upsert_entries(current: DataFrame, incoming: DataFrame, now: datetime) -> DataFrame:
+def upsert_entries(current: DataFrame, incoming: DataFrame, now: datetime, top: int | None = None) -> DataFrame:
     """Next entries by natural key. Dates and URL only fill in, the first origin stays, other given values win.
 
     ``incoming`` has the key and ``source_url, title, source_created_at, source_updated_at, metadata, origin``; a null
-    title on a new entry becomes its source id. Duplicate keys in a batch must be reduced first (``last_per_key``).
+    title on a new entry becomes its source id. Duplicate keys in a batch must be reduced first (``last_per_key``). New ids
+    follow ``top``, for a ``current`` that is a part of the table.
     """
     t = _at(now)
     values = ["source_url", "title", "source_created_at", "source_updated_at", "metadata", "origin"]
     inc = incoming.select(*KEY, *[F.col(c).alias(f"_{c}") for c in values], F.lit(True).alias("_in"))
-    fresh = new_ids(current, incoming.join(current.select(*KEY), KEY, "left_anti").select(*KEY), KEY).withColumnRenamed("id", "_id")
+    fresh = new_ids(current, incoming.join(current.select(*KEY), KEY, "left_anti").select(*KEY), KEY, top=top).withColumnRenamed("id", "_id")
     j = current.withColumn("_old", F.lit(True)).join(inc, KEY, "full_outer").join(fresh, KEY, "left")
     new, hit = F.col("_old").isNull(), F.col("_in").isNotNull()
     out = {

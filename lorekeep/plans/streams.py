@@ -9,7 +9,8 @@ from lorekeep.operators import upserts as M
 from lorekeep.plans import query
 from lorekeep.plans.ctes import iso as SI
 from lorekeep.session import work_dir
-from lorekeep.sources.io import SnapshotStore, append_ledger
+from lorekeep.sources.io import append_ledger
+from lorekeep.sources.partitions import Change, PartitionStore
 from lorekeep.streaming import jobs as J
 
 
@@ -116,19 +117,22 @@ def commits(v):
     """Fetch results drain the queue; queue and cursor move together, batch by batch."""
     n = F.substring("source_id", 2, 20).cast("long")
     queue = v.queue.withColumn("attempts", F.lit(0))
-    start = {"queue": queue, "cursors": queue.select(F.lit("events").alias("key"), F.lit(-1).cast("long").alias("value")).limit(1)}
+    cursors = v.spark.createDataFrame([("events", -1)], "key string, value long")
 
-    def step(tables, batch):
+    def step(store, batch):
         ids = batch.select(F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("source_id"), "event_id")
-        rows = tables["queue"].join(ids, "source_id")
-        ok = rows.where(F.col("event_id") % 4 != 0).select(*M.KEY)
-        bad = rows.where(F.col("event_id") % 4 == 0).select(*M.KEY, F.lit(1).alias("failures"), F.lit("timeout").alias("error"))
-        left = M.queue_failures(tables["queue"], bad).join(ok, M.KEY, "left_anti").select(*tables["queue"].columns)
+
+        def drained(held):
+            rows = held.join(ids, "source_id")
+            ok = rows.where(F.col("event_id") % 4 != 0).select(*M.KEY)
+            bad = rows.where(F.col("event_id") % 4 == 0).select(*M.KEY, F.lit(1).alias("failures"), F.lit("timeout").alias("error"))
+            return M.queue_failures(held, bad).join(ok, M.KEY, "left_anti").select(*held.columns)
+
         top = batch.agg(F.max("event_id").alias("m")).scalar()
-        return {"queue": left, "cursors": tables["cursors"].withColumn("value", F.greatest("value", top))}
+        return {"queue": store.update("queue", ids, drained), "cursors": Change(store.read("cursors").withColumn("value", F.greatest("value", top)))}
 
-    store = SnapshotStore(v.spark, work_dir(v.spark, "commits"))
-    J.commit_stream(_events(v).select("event_id"), store, start, step, work_dir(v.spark, "commits-checkpoint"))
+    store = PartitionStore(v.spark, work_dir(v.spark, "commits"))
+    J.commit_stream(_events(v).select("event_id"), store, {"queue": (queue, ["source_id"], 16), "cursors": (cursors, ["key"], 1)}, step, work_dir(v.spark, "commits-checkpoint"))
     cursor = store.read("cursors").agg(F.max("value").alias("v")).scalar()
     q = store.read("queue").withColumn("n", n)
     return q.groupBy("account_id").agg(F.count_if(F.col("n") % 4 == 0).alias("failed"), F.count(F.lit(1)).alias("queued")).withColumn("cursor", cursor)

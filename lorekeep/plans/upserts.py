@@ -11,10 +11,13 @@ from lorekeep.functions import jsonx, text as X
 from lorekeep.functions.times import iso
 from lorekeep.operators import entries as E
 from lorekeep.operators import upserts as M
+from lorekeep.operators.catalog_store import CatalogStore
 from lorekeep.plans import query
 from lorekeep.plans.ctes import cte, iso as SI
 from lorekeep.plans.views import days
+from lorekeep.session import work_dir
 from lorekeep.sources import imports as P
+from lorekeep.sources.partitions import PartitionStore
 
 NOW = datetime(2024, 7, 1, tzinfo=UTC)
 _NOW = "'2024-07-01T00:00:00Z'"
@@ -35,26 +38,38 @@ def incoming(v):
     )
 
 
-@query(
-    "m1_entry_upsert",
-    f"""SELECT source_id, CASE WHEN id % 2 = 0 THEN id END AS kept_id, id % 2 = 1 AS above_all, 1 AS same_id, coalesce(CASE WHEN id % 9 <> 0 THEN 'T ' || title END, CASE WHEN id % 2 = 0 THEN title ELSE source_id END) AS title,
+_UPSERTED = f"""SELECT source_id, CASE WHEN id % 2 = 0 THEN id END AS kept_id, id % 2 = 1 AS above_all, 1 AS same_id, coalesce(CASE WHEN id % 9 <> 0 THEN 'T ' || title END, CASE WHEN id % 2 = 0 THEN title ELSE source_id END) AS title,
   coalesce(CASE WHEN id % 4 <> 3 THEN source_url || '?v=2' END, CASE WHEN id % 2 = 0 THEN source_url END) AS source_url, {SI('source_created_at')} AS source_created_at,
   {SI("TIMESTAMP '2024-06-01' + to_days(CAST(id % 20 AS INT))")} AS source_updated_at, CASE WHEN id % 3 = 0 THEN '{{"v":2}}' WHEN id % 2 = 0 THEN metadata ELSE '{{}}' END AS metadata,
-  CASE WHEN id % 2 = 0 THEN 'sync' ELSE 'ingest' END AS origin, {_NOW} AS updated_at, CASE WHEN id % 2 = 0 THEN raw_status ELSE 'missing' END AS raw_status FROM entries""",
-    ("entries",),
-)
+  CASE WHEN id % 2 = 0 THEN 'sync' ELSE 'ingest' END AS origin, {_NOW} AS updated_at, CASE WHEN id % 2 = 0 THEN raw_status ELSE 'missing' END AS raw_status FROM entries"""
+
+
+@query("m1_entry_upsert", _UPSERTED, ("entries",))
 def upsert(v):
     """M1: known keys are refreshed, new ones get ids after the highest; dates and URL only fill in."""
     cur = stored(v)
-    top = cur.agg(F.max("id")).scalar()
-    n = M.upsert_entries(cur, incoming(v).drop("id"), NOW)
+    return _upserted(M.upsert_entries(cur, incoming(v).drop("id"), NOW), cur.agg(F.max("id")).scalar())
+
+
+def _upserted(entries, top):
     new = F.col("id") > top
-    return n.select(
+    return entries.select(
         "source_id", F.when(~new, F.col("id")).alias("kept_id"), new.alias("above_all"), F.count(F.lit(1)).over(W.partitionBy("id")).cast("int").alias("same_id"), "title", "source_url", iso(F.col("source_created_at")).alias("source_created_at"),
         iso(F.col("source_updated_at")).alias("source_updated_at"), "metadata", "origin", iso(F.col("updated_at")).alias("updated_at"), "raw_status",
     )
 
 
+@query("m1_upsert_commit", _UPSERTED, ("entries",))
+def upsert_commit(v):
+    """M1: the same, in two commits to the buckets that each half of the batch touches."""
+    cur, batch = stored(v), incoming(v)
+    store = CatalogStore(PartitionStore(v.spark, work_dir(v.spark, "catalog")))
+    store.create({"entries": cur}, 16)
+    for half in (0, 1):
+        store.upsert(batch.where(F.floor(F.col("id") / 2) % 2 == half).drop("id"), NOW)
+    return _upserted(store.read("entries"), cur.agg(F.max("id")).scalar())
+
+
 @query("a15_run_counters", "SELECT account_id, source_kind, CASE WHEN id % 2 = 0 THEN 'updated' ELSE 'created' END AS outcome, count(*) AS count FROM entries GROUP BY 1, 2, 3", ("entries",))
 def run_counters(v):
     """Outcomes of a run by account and kind."""
@@ -144,24 +159,39 @@ def sizes(v):
     return v.raw_objects.groupBy("account_id", "role").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("segments"))
 
 
-@query(
-    "m3_section_write",
-    """WITH d AS (SELECT DISTINCT ON (entry_id, kind) * FROM (
+_WRITTEN = """WITH d AS (SELECT DISTINCT ON (entry_id, kind) * FROM (
     SELECT entry_id, CASE WHEN kind = 'decisions' THEN 'overview' ELSE kind END AS kind, 'x ' || text AS text, position AS version FROM sections WHERE kind <> 'details' OR entry_id % 2 = 0) ORDER BY entry_id, kind, version DESC),
 b AS (SELECT entry_id, kind, CASE WHEN kind = 'overview' AND entry_id % 3 = 0 THEN 'user' ELSE origin END AS origin, text FROM sections)
 SELECT coalesce(b.entry_id, d.entry_id) AS entry_id, coalesce(b.kind, d.kind) AS kind, CASE WHEN b.origin IN ('user', 'extracted') THEN b.origin ELSE 'generated' END AS origin,
   CASE WHEN b.origin IN ('user', 'extracted') THEN b.text ELSE d.text END AS text
-FROM b FULL JOIN d ON b.entry_id = d.entry_id AND b.kind = d.kind WHERE b.origin IN ('user', 'extracted') OR d.text IS NOT NULL""",
-    ("sections",),
-)
-def section_write(v):
-    """Generated sections replaced; user and extracted ones stay, the later draft of a kind wins."""
+FROM b FULL JOIN d ON b.entry_id = d.entry_id AND b.kind = d.kind WHERE b.origin IN ('user', 'extracted') OR d.text IS NOT NULL"""
+
+
+def _section_drafts(v):
     cur = v.sections.withColumn("origin", F.when((F.col("kind") == "overview") & (F.col("entry_id") % 3 == 0), "user").otherwise(F.col("origin")))
     drafts = v.sections.where((F.col("kind") != "details") | (F.col("entry_id") % 2 == 0)).select(
         "entry_id", F.when(F.col("kind") == "decisions", "overview").otherwise(F.col("kind")).alias("kind"), F.concat(F.lit("x "), "text").alias("text"), F.col("position").alias("version"))
+    return cur.select("entry_id", "kind", "origin", "position", "text"), drafts
+
+
+@query("m3_section_write", _WRITTEN, ("sections",))
+def section_write(v):
+    """Generated sections replaced; user and extracted ones stay, the later draft of a kind wins."""
+    cur, drafts = _section_drafts(v)
     return M.write_sections(cur, drafts, "generated", replace=True).select("entry_id", "kind", "origin", "text")
 
 
+@query("m3_section_commit", _WRITTEN, ("sections",))
+def section_commit(v):
+    """The same in commits, one for the entries of each third; other buckets keep their files."""
+    cur, drafts = _section_drafts(v)
+    store = CatalogStore(PartitionStore(v.spark, work_dir(v.spark, "catalog")))
+    store.create({"sections": cur}, 16)
+    for part in range(3):
+        store.write_sections(drafts.where(F.col("entry_id") % 3 == part), "generated", replace=True)
+    return store.read("sections").select("entry_id", "kind", "origin", "text")
+
+
 @query(
     "m6_failed_attempts",
     """SELECT id, CASE WHEN id % 3 = 0 THEN 'failed' ELSE summary_status END AS summary_status, CAST(CASE WHEN (id % 3 = 0 OR summary_status = 'failed') AND id % 4 = 0 THEN 0 ELSE summary_attempts + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END END AS INT) AS summary_attempts FROM entries""",
@@ -439,16 +469,31 @@ def reextract(v):
         F.max(F.when(F.col("kind") == "overview", F.col("text"))).alias("overview"), F.sum(F.when(F.col("kind") == "details", F.length("text"))).alias("n"))
 
 
-@query(
-    "m5_summary_commit",
-    f"""SELECT e.id, CASE WHEN d THEN 'done' ELSE summary_status END AS summary_status, CASE WHEN d THEN 0 ELSE summary_attempts END AS summary_attempts,
+_COMMITTED = f"""SELECT e.id, CASE WHEN d THEN 'done' ELSE summary_status END AS summary_status, CASE WHEN d THEN 0 ELSE summary_attempts END AS summary_attempts,
   CASE WHEN d THEN 'overview:sum ' || e.id ELSE (SELECT string_agg(kind || ':' || text, '|' ORDER BY position) FROM sections s WHERE s.entry_id = e.id AND s.origin = 'generated') END AS generated,
   CASE WHEN d THEN 1::BIGINT ELSE 0::BIGINT END AS items, CASE WHEN d THEN 'm-new' ELSE (SELECT model FROM summaries s WHERE s.entry_id = e.id) END AS model, CASE WHEN d THEN 0.5::DOUBLE END AS spent
-FROM (SELECT *, summary_status IN ('pending', 'failed') AS d FROM entries) e""",
-    ("entries", "sections", "summaries"),
-)
+FROM (SELECT *, summary_status IN ('pending', 'failed') AS d FROM entries) e"""
+
+
+@query("m5_summary_commit", _COMMITTED, ("entries", "sections", "summaries"))
 def summary_commit(v):
     """M5: sections, items, summary, status and ledger row of finished summaries change together."""
+    tables, done = _summary_tables(v)
+    return _committed(M.commit_summaries(tables, done, NOW))
+
+
+@query("m5_commit_tables", _COMMITTED, ("entries", "sections", "summaries"))
+def commit_tables(v):
+    """M5: the same in commits to the touched buckets of five tables, one for the entries of each half."""
+    tables, done = _summary_tables(v)
+    store = CatalogStore(PartitionStore(v.spark, work_dir(v.spark, "catalog")))
+    store.create(tables, 16)
+    for half in (0, 1):
+        store.commit_summaries(done.where(F.col("entry_id") % 2 == half), NOW)
+    return _committed({n: store.read(n) for n in tables})
+
+
+def _summary_tables(v):
     e = v.entries.withColumn("updated_at", F.lit(None).cast("timestamp"))
     items = v.spark.createDataFrame([], "entry_id long, ordinal int, kind string, text string")
     ledger = v.spark.createDataFrame([], "entry_id long, at timestamp, model string, cost_usd double, outcome string")
@@ -457,7 +502,10 @@ def summary_commit(v):
         F.array(F.struct(F.lit("overview").alias("kind"), F.concat(F.lit("sum "), F.col("id").cast("string")).alias("text"))).alias("drafts"),
         F.array(F.struct(F.lit("decision").alias("kind"), F.lit("x").alias("text"))).alias("items"), F.lit("llm_api").alias("generator_kind"), F.lit("p").alias("provider"),
         F.lit("m-new").alias("model"), F.lit("default").alias("profile"), F.lit("document-summary/v4").alias("prompt_version"), F.lit("b2:x").alias("input_hash"), F.lit(0.5).alias("cost_usd"))
-    t = M.commit_summaries({"entries": e, "sections": v.sections.drop("id"), "items": items, "summaries": v.summaries, "ledger": ledger}, done, NOW)
+    return {"entries": e, "sections": v.sections.drop("id"), "items": items, "summaries": v.summaries, "ledger": ledger}, done
+
+
+def _committed(t):
     gen = t["sections"].where(F.col("origin") == "generated").groupBy(F.col("entry_id").alias("id")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "kind", "text"))), lambda s: F.concat_ws(":", s["kind"], s["text"])), "|").alias("generated"))
     n = t["items"].groupBy(F.col("entry_id").alias("id")).agg(F.count(F.lit(1)).alias("items"))

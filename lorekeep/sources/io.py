@@ -1,4 +1,4 @@
-"""Sinks and snapshots."""
+"""Sinks."""
 
 from __future__ import annotations
 
@@ -36,43 +36,3 @@ def write_raw(raw: DataFrame, path: str, mode: str = "append") -> None:
 def append_ledger(rows: DataFrame, path: str) -> None:
     """Ledger rows, failed billed attempts included, partitioned by day so that period reads prune."""
     rows.withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").parquet(path)
-
-
-class SnapshotStore:
-    """Versions of a table under one folder; readers follow a pointer that is written last.
-
-    A version folder is never overwritten and never the path being read. A job that dies before ``publish`` leaves the
-    previous version in force.
-    """
-
-    def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[int]:
-        folder = self._path(f"{self.path}/_pointers")
-        if not self._fs.exists(folder):
-            return []
-        return sorted(int(f.getPath().getName()) for f in self._fs.listStatus(folder))
-
-    def current(self) -> int | None:
-        vs = self.versions()
-        return vs[-1] if vs else None
-
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        v = self.current() if version is None else version
-        if v is None:
-            raise FileNotFoundError(f"no published version in {self.path}")
-        return self.spark.read.parquet(f"{self.path}/v{v}/{table}")
-
-    def publish(self, version: int, **tables: DataFrame) -> bool:
-        """Write all tables of a version, then its pointer. A version that is already published is left alone."""
-        if version in self.versions():
-            return False
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/v{version}/{name}")
-        self._fs.mkdirs(self._path(f"{self.path}/_pointers"))
-        self._fs.create(self._path(f"{self.path}/_pointers/{version}"), True).close()
-        return True

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +14,7 @@ from lorekeep.functions.times import local_date
 from lorekeep.operators.ledger import spend_columns
 from lorekeep.operators.skew import first_by
 from lorekeep.session import configure, work_dir
-from lorekeep.sources.io import SnapshotStore
+from lorekeep.sources.partitions import Change, PartitionStore
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -188,32 +188,33 @@ def document_changes(stream: DataFrame, known: DataFrame | None = None) -> DataF
 
 # -- catalog commits ------------------------------------------------------------------------------------------
 
-Tables = dict[str, DataFrame]
+Step = Callable[[PartitionStore, DataFrame], Mapping[str, Change]]
 
 
 class BatchCommitter:
-    """``foreachBatch`` function that turns each micro-batch into one version of all tables.
+    """``foreachBatch`` function that turns each micro-batch into one version of the tables it touches.
 
-    ``step(tables, batch)`` returns the next tables: entries, queue and cursors together, so a cursor is never ahead of the
-    data. The version is the batch id, so a batch that is run again is recognized and skipped.
+    ``step(store, batch)`` returns the changes: entries, queue and cursors together, so a cursor is never ahead of the data.
+    Buckets that a batch does not touch keep their files. The batch id is a fact of the version, so a batch that is run
+    again is recognized and skipped.
     """
 
-    def __init__(self, store: SnapshotStore, names: Sequence[str], step: Callable[[Tables, DataFrame], Tables]):
-        self.store, self.names, self.step = store, tuple(names), step
+    def __init__(self, store: PartitionStore, step: Step):
+        self.store, self.step = store, step
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        version = batch_id + 1
-        if version in self.store.versions():
+        base = self.store.manifest()
+        if base.facts["batch"] >= batch_id:
             return
-        current = {n: self.store.read(n) for n in self.names}
         batch.persist()
-        self.store.publish(version, **self.step(current, batch))
-        batch.unpersist()
+        try:
+            self.store.commit(base.version, self.step(self.store, batch), {"batch": batch_id})
+        finally:
+            batch.unpersist()
 
 
-def commit_stream(stream: DataFrame, store: SnapshotStore, initial: Tables, step: Callable[[Tables, DataFrame], Tables], checkpoint: str) -> None:
-    """Runs ``step`` over everything available, starting from ``initial`` where the store is empty."""
+def commit_stream(stream: DataFrame, store: PartitionStore, initial: Mapping[str, tuple[DataFrame, Sequence[str], int]], step: Step, checkpoint: str) -> None:
+    """Runs ``step`` over everything available, starting from ``initial`` (rows, keys, buckets) where the store is empty."""
     if store.current() is None:
-        store.publish(0, **initial)
-    writer = BatchCommitter(store, list(initial), step)
-    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(writer).start().awaitTermination()
+        store.create(initial, {"batch": -1})
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(BatchCommitter(store, step)).start().awaitTermination()

@@ -11,7 +11,7 @@ from lorekeep.operators import upserts as P
 from lorekeep.operators.search_index import SearchIndex, TrigramBackend
 from lorekeep.sources import imports as MP
 from lorekeep.sources import pages as G
-from lorekeep.sources.io import SnapshotStore, append_ledger, write_json, write_raw
+from lorekeep.sources.io import append_ledger, write_json, write_raw
 from lorekeep.sources.partitions import Change, Conflict, PartitionStore
 from lorekeep.streaming import jobs as J
 
@@ -84,15 +84,6 @@ def test_import_bundle_twice(spark, tmp_path):
     assert MP.merge(val, stored, sec, now).first()["outcome"] == "unchanged"
 
 
-def test_snapshot_store(spark, tmp_path):
-    s = SnapshotStore(spark, str(tmp_path / "s"))
-    with pytest.raises(FileNotFoundError):
-        s.read("t")
-    assert s.publish(0, t=spark.range(3)) and not s.publish(0, t=spark.range(9))
-    s.publish(1, t=s.read("t").where("id > 0"))
-    assert s.read("t").count() == 2 and s.read("t", 0).count() == 3
-
-
 DOC = "section_id long, entry_id long, kind string, position int, text string, title string, account_id string, source_kind string, date timestamp"
 
 
@@ -251,22 +242,23 @@ def test_batches_give_what_one_batch_gives(spark, arrivals):
 
 
 def test_interrupted_commits_equal_uninterrupted_ones(spark, arrivals, tmp_path):
-    def step(tables, batch):
-        return {"rows": tables["rows"].unionByName(batch.select("row_id")), "cursor": batch.agg(F.max("row_id").alias("v")).union(tables["cursor"]).agg(F.max("v").alias("v"))}
+    def step(store, batch):
+        top = batch.agg(F.max("row_id").alias("v")).union(store.read("cursor").select("v")).agg(F.lit("all").alias("k"), F.max("v").alias("v"))
+        return {"rows": Change(batch.select("row_id"), append=True), "cursor": Change(top)}
 
-    start = {"rows": spark.createDataFrame([], "row_id long"), "cursor": spark.createDataFrame([(-1,)], "v long")}
+    start = {"rows": (spark.createDataFrame([], "row_id long"), ["row_id"], 4), "cursor": (spark.createDataFrame([("all", -1)], "k string, v long"), ["k"], 1)}
     s = lambda: J.read_table(J.stateful(spark), arrivals, "*.parquet", 1)
-    a = SnapshotStore(spark, str(tmp_path / "a"))
+    a = PartitionStore(spark, str(tmp_path / "a"))
     J.commit_stream(s(), a, start, step, str(tmp_path / "ca"))
     calls = []
 
-    def failing(tables, batch):
+    def failing(store, batch):
         calls.append(1)
         if len(calls) == 2:
             raise RuntimeError("executor lost")
-        return step(tables, batch)
+        return step(store, batch)
 
-    b = SnapshotStore(spark, str(tmp_path / "b"))
+    b = PartitionStore(spark, str(tmp_path / "b"))
     with pytest.raises(Exception, match="executor lost"):
         J.commit_stream(s(), b, start, failing, str(tmp_path / "cb"))
     J.commit_stream(s(), b, start, step, str(tmp_path / "cb"))
@@ -275,15 +267,24 @@ def test_interrupted_commits_equal_uninterrupted_ones(spark, arrivals, tmp_path)
     assert a.read("rows").count() == 14
 
 
-def test_repeated_versions_are_skipped(spark, tmp_path):
-    store = SnapshotStore(spark, str(tmp_path / "s"))
-    store.publish(0, t=spark.range(1))
-    w = J.BatchCommitter(store, ["t"], lambda tables, batch: {"t": tables["t"].unionByName(batch)})
+def test_repeated_batches_are_skipped(spark, tmp_path):
+    store = PartitionStore(spark, str(tmp_path / "s"))
+    store.create({"t": (spark.range(1), ["id"], 2)}, {"batch": -1})
+    w = J.BatchCommitter(store, lambda store, batch: {"t": Change(batch, append=True)})
     w(spark.range(5), 0)
     w(spark.range(5), 0)
     assert store.read("t").count() == 6
 
 
+def test_a_batch_that_touches_one_key_keeps_other_files(spark, tmp_path):
+    store = PartitionStore(spark, str(tmp_path / "s"))
+    store.create({"t": (spark.range(200), ["id"], 16)}, {"batch": -1})
+    before = store.manifest().tables["t"]["parts"]
+    J.BatchCommitter(store, lambda store, batch: {"t": store.update("t", batch, lambda rows: rows.join(batch, "id", "left_anti"))})(spark.range(5, 6), 0)
+    after = store.manifest().tables["t"]["parts"]
+    assert sum(before[b] != after[b] for b in before) == 1 and store.read("t").count() == 199
+
+
 def test_queue_paths_unite(spark):
     q = spark.createDataFrame([], "account_id string, source_kind string, source_id string, reason string, hint string, enqueued_at timestamp, attempts int, last_error string")
     e = spark.createDataFrame([("a", "k", "1", "history", "h0", 0), ("a", "k", "1", "watched", "h1", 1)], "account_id string, source_kind string, source_id string, reason string, hint string, ord int")
