@@ -48,36 +48,31 @@ def roots(v):
     return v.table("region").where(F.col("r_regionkey") == 0).select(F.lit("root").alias("root_id"), F.lit("Home").alias("root_name"))
 
 
-_WALK = """WITH RECURSIVE w AS (SELECT 'root' AS folder_id, ['Home'] AS names, 0 AS depth
-  UNION ALL SELECT c.id, list_append(w.names, c.name), w.depth + 1 FROM w JOIN children c ON c.parent_id = w.folder_id AND c.type = 'folder' AND c.id <> 'root' WHERE w.depth < 3)"""
+_WHOLE = """WITH RECURSIVE w AS (SELECT 'root' AS folder_id, ['Home'] AS names
+  UNION ALL SELECT c.id, list_append(w.names, c.name) FROM w JOIN children c ON c.parent_id = w.folder_id AND c.type = 'folder' AND c.id <> 'root')"""
+_INCLUDED = "(starts_with(lower(c.name), 'report') OR ends_with(lower(c.name), '.txt'))"
 
 
 @query(
     "s8_folder_files",
-    _WALK + """ SELECT c.id, array_to_string(names, ' / ') AS folder_path FROM children c JOIN w ON w.folder_id = c.parent_id
-WHERE c.type = 'file' AND NOT starts_with(c.name, '~$') AND (starts_with(lower(c.name), 'report') OR ends_with(lower(c.name), '.txt')) AND NOT (c.name LIKE 'note %7.TXT')""",
+    _WHOLE + """ SELECT c.id, array_to_string(names, ' / ') AS folder_path FROM children c JOIN w ON w.folder_id = c.parent_id WHERE c.type = 'file' AND NOT starts_with(c.name, '~$')""",
     ("children",),
 )
 def files(v):
-    """Breadth-first walk with a depth limit, globs and folder paths; links back to the root end."""
-    out, _ = D.scan(listing(v), roots(v), max_depth=3, include=["report*", "**/*.txt"], exclude=["NOTE *7.txt"])
+    """Breadth-first walk of the whole tree with folder paths; links back to the root end."""
+    out, _ = D.scan(listing(v), roots(v))
     return out.select("id", "folder_path")
 
 
 @query(
     "s8_folder_counts",
-    _WALK + """ SELECT 'unsupported' AS why, count(*) AS count FROM children c JOIN w ON w.folder_id = c.parent_id WHERE c.type = 'unsupported'
-UNION ALL SELECT 'excluded', count(*) FROM children c JOIN w ON w.folder_id = c.parent_id WHERE c.type = 'file' AND starts_with(c.name, '~$')
-UNION ALL SELECT 'too_deep', count(*) FROM children c JOIN w ON w.folder_id = c.parent_id WHERE c.type = 'folder' AND w.depth >= 3 AND c.id <> 'root' HAVING count(*) > 0""",
+    _WHOLE + f""" SELECT 'unsupported' AS why, count(*) AS count FROM children c JOIN w ON w.folder_id = c.parent_id WHERE c.type = 'unsupported'
+UNION ALL SELECT 'excluded', count(*) FROM children c JOIN w ON w.folder_id = c.parent_id WHERE c.type = 'file' AND (starts_with(c.name, '~$') OR NOT {_INCLUDED})""",
     ("children",),
 )
 def left_out(v):
-    """What a walk leaves out."""
-    return D.scan(listing(v), roots(v), max_depth=3)[1].select("why", "count")
-
-
-_WHOLE = """WITH RECURSIVE w AS (SELECT 'root' AS folder_id, ['Home'] AS names
-  UNION ALL SELECT c.id, list_append(w.names, c.name) FROM w JOIN children c ON c.parent_id = w.folder_id AND c.type = 'folder' AND c.id <> 'root')"""
+    """What a walk with an include leaves out."""
+    return D.scan(listing(v), roots(v), include=["report*", "**/*.txt"])[1].select("why", "count")
 
 
 @query(

@@ -15,7 +15,7 @@ from lorekeep.operators import policy as Y
 from lorekeep.operators.skew import cut, newest_first
 from lorekeep.plans import query
 from lorekeep.plans.ctes import body_hash, cte, iso as SI, le64
-from lorekeep.schemas import Settings
+from lorekeep.schemas import DEFAULTS
 
 NOW = datetime(2024, 1, 17, 12, tzinfo=UTC)
 TOKYO = "Asia/Tokyo"
@@ -97,12 +97,29 @@ def tokens(v):
 
 
 _LIMIT = 6000
+
+
+def _chunks_sql(text: str, limit: int) -> str:
+    """The list of chunks: units joined as long as they fit, without white space at their ends."""
+    stretches = f"list_transform(range(1, greatest(length(x), 1) + 1, {limit - 1}), lambda s: substr(x, s, {limit - 1}) || chr(10))"
+    lines = f"list_concat(flatten(list_transform(string_split(p, chr(10)), lambda x: CASE WHEN length(x) < {limit} THEN [x || chr(10)] ELSE {stretches} END)), [chr(10)])"
+    units = f"flatten(list_transform(string_split({text}, chr(10) || chr(10)), lambda p: CASE WHEN length(p) <= {limit} THEN [p || chr(10) || chr(10)] ELSE {lines} END))"
+    packed = f"""list_reduce(list_concat([['']], list_transform({units}, lambda u: [u])), lambda acc, u: CASE WHEN acc[1] <> '' AND length(acc[1]) + length(u[1]) > {limit}
+      THEN list_concat([u[1]], acc[2:], [acc[1]]) ELSE list_concat([acc[1] || u[1]], acc[2:]) END)"""
+    ended = f"list_transform({packed}, lambda c: regexp_replace(c, '\\s+$', ''))"
+    return f"""CASE WHEN length({text}) <= {limit} THEN [{text}] ELSE (SELECT CASE WHEN r[1] = '' THEN r[2:] ELSE list_concat(r[2:], [r[1]]) END FROM (SELECT {ended} AS r)) END"""
+
+
+cte(
+    "called",
+    f"SELECT doc_id, text, CASE WHEN k > 1 THEN k + 1 ELSE 1 END AS n_calls FROM (SELECT doc_id, text, len({_chunks_sql('text', DEFAULTS.max_input_chars)}) AS k FROM documents)",
+)
 cte(
     "units",
     f"""SELECT e.id AS entry_id, coalesce(e.source_created_at, e.ingested_at) AS date, CASE WHEN e.id % 2 = 0 THEN 'default' ELSE 'deep' END AS profile, 'm' || (e.id % 3) AS model,
-  CAST(1 AS BIGINT) AS n_calls, {_TOK} + 400 AS in_tokens, CAST(700 AS BIGINT) AS out_tokens, (({_TOK} + 400) * (1.0 + e.id % 3) + 700 * 5.0) / 1000000 AS cost
-FROM entries e JOIN documents d ON d.doc_id = e.id""",
-    ("entries",),
+  n_calls, {_TOK} + 400 * n_calls AS in_tokens, 700 * n_calls AS out_tokens, (({_TOK} + 400 * n_calls) * (1.0 + e.id % 3) + 700 * n_calls * 5.0) / 1000000 AS cost
+FROM entries e JOIN called d ON d.doc_id = e.id""",
+    ("entries", "called"),
 )
 
 
@@ -112,7 +129,7 @@ def _prices(v):
     return e.select(F.concat(F.lit("m"), F.col("n").cast("string")).alias("model"), (F.lit(1.0) + F.col("n")).alias("input"), F.lit(5.0).alias("output"))
 
 
-def _units(v, settings=Settings(max_input_chars=1_000_000)):
+def _units(v, settings=DEFAULTS):
     i = F.col("id")
     e = v.entries.select(i.alias("entry_id"), entry_date().alias("date"), F.when(i % 2 == 0, "default").otherwise("deep").alias("profile"),
                          F.concat(F.lit("m"), (i % 3).cast("string")).alias("model"))
@@ -167,16 +184,12 @@ def estimate(v):
 
 @query(
     "c23_chunks",
-    f"""SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) AS kept_chars, true AS within_limit, length(text) > {_LIMIT} AS several FROM documents""",
+    f"""SELECT doc_id, CAST(i - 1 AS INT) AS chunk_no, sha256(c[i]) AS chunk_sha256 FROM (SELECT doc_id, {_chunks_sql("text", _LIMIT)} AS c FROM documents), range(1, 10000) t(i) WHERE i <= len(c)""",
 )
 def chunk(v):
-    """Bodies cut into chunks; nothing but white space is lost and no chunk is too long."""
-    d = v.table("documents").select("doc_id", F.length("text").alias("n"), B.chunks(F.col("text"), _LIMIT).alias("c"))
-    rows = d.select("doc_id", "n", F.size("c").alias("k"), F.explode("c").alias("t"))
-    return rows.groupBy("doc_id").agg(
-        F.sum(F.length(F.regexp_replace("t", r"\s", ""))).alias("kept_chars"), (F.max(F.length("t")) <= F.lit(_LIMIT)).alias("within_limit"),
-        (F.max("k") > 1).alias("several"),
-    )
+    """Every chunk of every body, by its place and content."""
+    d = v.table("documents").select("doc_id", F.posexplode(B.chunks(F.col("text"), _LIMIT)).alias("chunk_no", "t"))
+    return d.select("doc_id", "chunk_no", F.sha2("t", 256).alias("chunk_sha256"))
 
 
 _SUMMARY = T.StructType([

@@ -203,22 +203,40 @@ def harvest(v):
     return M.harvest_profiles(m, v.directory)
 
 
-@query(
-    "w12_link_excerpts",
-    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY msg_at) - 1 AS no FROM spoken),
+def _excerpt_sql(max_chars: int) -> str:
+    """The link's message, the first one, two before and one after in turn, each taken, cut or left by the room that is left."""
+    near = {0: "i", 1: "0 AND i <> 0", 2: "i - 1 AND i > 1", 3: "i - 2 AND i > 2", 4: "i + 1"}
+    joins = " ".join(f"LEFT JOIN l l{p} ON l{p}.source_id = c.source_id AND l{p}.no = {at}" for p, at in near.items())
+    out = f"""SELECT c.*, {max_chars} - length(header) - 1 AS b0, {", ".join(f"l{p}.line AS t{p}" for p in near)} FROM c {joins}"""
+    for p in near:
+        fits, cut = f"length(t{p}) + 1 <= b{p}", f"length(t{p}) + 1 > b{p} AND b{p} >= 80"
+        short = f"CASE WHEN length(t{p}) > b{p} - 1 THEN substr(t{p}, 1, b{p} - 2) || '…' ELSE t{p} END"
+        out = f"""SELECT *, CASE WHEN {fits} THEN t{p} WHEN {cut} THEN {short} END AS x{p}, CASE WHEN {fits} THEN b{p} - length(t{p}) - 1 WHEN {cut} THEN 0 ELSE b{p} END AS b{p + 1} FROM ({out})"""
+    return f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY msg_at) - 1 AS no FROM spoken),
 l AS (SELECT source_id, no, who || ': ' || CASE WHEN length(b) > 600 THEN substr(b, 1, 599) || '…' ELSE b END AS line FROM (
-   SELECT source_id, no, who, trim('[linked document] ' || text) AS b FROM n))
-SELECT a.source_id, a.no, (SELECT '#c, ' || strftime(a.msg_at, '%Y-%m-%d') || chr(10) || string_agg(l.line, chr(10) ORDER BY l.no) FROM l
-  WHERE l.source_id = a.source_id AND (l.no BETWEEN a.no - 2 AND a.no + 1 OR l.no = 0)) AS excerpt FROM n a""",
-    ("spoken",),
-)
+   SELECT source_id, no, who, trim('[linked document] ' || text) AS b FROM n)),
+c AS (SELECT source_id, no AS i, '#c, ' || strftime(msg_at, '%Y-%m-%d') AS header FROM n)
+SELECT source_id, i AS no, concat_ws(chr(10), header, x1, x3, x2, x0, x4) AS excerpt FROM ({out})"""
+
+
+@query("w12_link_excerpts", _excerpt_sql(1_500), ("spoken",))
 def excerpts(v):
     """Context around every message that holds a document link (here each one does)."""
+    return _excerpts(v, 1_500)
+
+
+def _excerpts(v, max_chars):
     link = F.concat(F.lit("https://docs.google.com/document/d/x"), F.regexp_replace("ts", "[.]", ""))
     m = M.numbered(_spoken(v)).withColumn("body", F.concat(link, F.lit(" "), "body")).withColumn("urls", F.array(link))
     links = m.select("source_id", "no", F.lit("k").alias("link_key"))
     conv = m.select("source_id").distinct().select("source_id", F.lit("#c").alias("conv_label"), F.lit(True).alias("is_thread"))
-    return M.excerpts(links, m, conv, "UTC", max_chars=100_000).select("source_id", "no", "excerpt")
+    return M.excerpts(links, m, conv, "UTC", max_chars).select("source_id", "no", "excerpt")
+
+
+@query("w12_short_excerpts", _excerpt_sql(200), ("spoken",))
+def short_excerpts(v):
+    """The same with a small budget, so that lines are cut or left out."""
+    return _excerpts(v, 200)
 
 
 def _calendar(v):
