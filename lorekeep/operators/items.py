@@ -629,6 +629,32 @@ def frequent_names(people: DataFrame, keep: int = 3) -> DataFrame:
     return top_n(g, ["account_id"], [F.col("n").desc(), F.col("seen")], keep, rank="rank").select("account_id", "rank", "name", "n")
 
 
+def refresh_aliases(accounts: DataFrame, directory: DataFrame, people: DataFrame) -> DataFrame:
+    """Accounts whose own names or addresses changed: ``(id, names, emails)``.
+
+    ``accounts(id, kind, identity, names, emails)``: a chat account's identity is ``team:user``, looked up in
+    ``directory(user_id, real_name, display_name, name, email)``; a mail account's identity is its address, and its names
+    are the most frequent ones of ``people(account_id, name, email, is_self, seen)`` that are its owner's. Other kinds, and
+    accounts about which nothing is known, stay as they are.
+    """
+    user = F.split_part("identity", F.lit(":"), F.lit(2))
+    chat = accounts.where(F.col("kind") == "slack").withColumn("user_id", user).join(directory, "user_id")
+    spelled = F.filter(F.transform(F.array("real_name", "display_name", "name"), F.trim), lambda n: n.isNotNull() & (n != ""))
+    once = F.filter(spelled, lambda n, i: ~F.exists(F.slice(spelled, 1, i), lambda o: F.lower(o) == F.lower(n)))
+    of_chat = chat.select("id", once.alias("_names"), F.array_compact(F.array(F.nullif(F.trim("email"), F.lit("")))).alias("_emails"))
+    mail = accounts.where((F.col("kind") == "google") & F.contains("identity", F.lit("@"))).select("id", F.trim("identity").alias("identity"))
+    own = people.join(mail.withColumnRenamed("id", "account_id"), "account_id").where(
+        F.coalesce(F.col("is_self"), F.lit(False)) | F.coalesce(F.lower("email") == F.lower("identity"), F.lit(False)))
+    top = frequent_names(own.select("account_id", "name", "seen"))
+    names = top.groupBy(F.col("account_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda r: r["name"]).alias("_names"))
+    none = F.array().cast("array<string>")
+    of_mail = mail.join(names, "id", "left").select("id", F.coalesce("_names", none).alias("_names"), F.array("identity").alias("_emails"))
+    j = accounts.select("id", "names", "emails").join(of_chat.unionByName(of_mail), "id")
+    known = (F.size("_names") > 0) | (F.size("_emails") > 0)
+    same = F.col("names").eqNullSafe(F.col("_names")) & F.col("emails").eqNullSafe(F.col("_emails"))
+    return j.where(known & ~same).select("id", F.col("_names").alias("names"), F.col("_emails").alias("emails"))
+
+
 def evidence_containment(quotes: DataFrame, texts: DataFrame, min_gram: int = 8) -> DataFrame:
     """Corpus-wide containment: ``(quote_id, text_id)`` where the normalized quote occurs in the normalized text.
 

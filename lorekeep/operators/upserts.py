@@ -24,6 +24,11 @@ def last_per_key(batch: DataFrame, keys: Sequence[str], version: str) -> DataFra
     return first_by(batch, keys, F.col(version), descending=True)
 
 
+def entry_uid() -> Column:
+    """A stable identifier of an entry from its natural key."""
+    return F.concat(F.lit("e-"), F.substring(F.sha2(F.concat_ws("\u0001", *KEY), 256), 1, 26))
+
+
 def new_ids(current: DataFrame, fresh: DataFrame, keys: Sequence[str], id_col: str = "id", top: int | None = None) -> DataFrame:
     """Ids for new keys, following ``top`` or the highest one: positions are counted bucket by bucket of the key's hash."""
     top = current.agg(F.coalesce(F.max(id_col), F.lit(-1)).alias("m")).scalar() if top is None else F.lit(top)
@@ -47,7 +52,7 @@ def upsert_entries(current: DataFrame, incoming: DataFrame, now: datetime, top:
     new, hit = F.col("_old").isNull(), F.col("_in").isNotNull()
     out = {
         "id": F.coalesce("id", "_id"),
-        "entry_uid": F.coalesce("entry_uid", F.concat(F.lit("e-"), F.substring(F.sha2(F.concat_ws("\u0001", *KEY), 256), 1, 26))),
+        "entry_uid": F.coalesce("entry_uid", entry_uid()),
         "title": F.coalesce("_title", "title", "source_id"),
         "source_url": F.coalesce("_source_url", "source_url"),
         "source_created_at": F.coalesce("_source_created_at", "source_created_at"),

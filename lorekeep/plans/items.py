@@ -395,6 +395,34 @@ def names(v):
     return I.frequent_names(people)
 
 
+@query(
+    "m23_alias_refresh",
+    """WITH a AS (SELECT c_custkey AS k, 'g' || c_custkey AS id, c_custkey % 2 = 0 AS mail, 'u' || c_custkey || '@x.org' AS address FROM customer),
+own AS (SELECT id, CASE WHEN o_orderkey % 2 = 0 THEN upper('Name ' || (o_orderkey % 4)) ELSE 'Name ' || (o_orderkey % 4) END AS name, o_orderkey AS seen FROM a JOIN orders ON o_custkey = k WHERE mail AND (o_orderkey % 5 = 0 OR o_orderkey % 3 = 0)),
+g AS (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY c DESC, seen) AS r FROM (SELECT id, count(*) AS c, arg_min(name, seen) AS name, min(seen) AS seen FROM own GROUP BY id, lower(name))),
+m AS (SELECT a.id, coalesce((SELECT string_agg(name, ',' ORDER BY r) FROM g WHERE g.id = a.id AND r <= 3), '') AS names, address AS emails, k % 4 = 0 AS stored FROM a WHERE mail),
+d AS (SELECT user_id, list_filter([trim(real_name), trim(display_name), trim(name)], lambda x: x IS NOT NULL AND x <> '') AS s, lower(name) || '@d.org' AS email FROM directory),
+c AS (SELECT a.id, array_to_string(list_filter(s, lambda x, i: list_position(list_transform(s, lambda y: lower(y)), lower(x)) = i), ',') AS names, coalesce(email, '') AS emails FROM a JOIN d ON d.user_id = 'U' || (k % 60) WHERE NOT mail)
+SELECT id, names, emails FROM m WHERE NOT (stored AND names = '') UNION ALL SELECT id, names, emails FROM c WHERE names <> '' OR emails <> ''""",
+    ("directory",),
+)
+def alias_refresh(v):
+    """Names and addresses of the accounts' owners, where they differ from what the accounts hold."""
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    address = lambda c: F.concat(F.lit("u"), c.cast("string"), F.lit("@x.org"))
+    none = F.array().cast("array<string>")
+    accounts = v.table("customer").select(
+        F.concat(F.lit("g"), k.cast("string")).alias("id"), F.when(k % 2 == 0, "google").otherwise("slack").alias("kind"),
+        F.when(k % 2 == 0, address(k)).otherwise(F.concat(F.lit("team:U"), (k % 60).cast("string"))).alias("identity"), none.alias("names"), F.when(k % 4 == 0, F.array(address(k))).otherwise(none).alias("emails"))
+    name = F.concat(F.lit("Name "), (o % 4).cast("string"))
+    people = v.table("orders").select(
+        F.concat(F.lit("g"), F.col("o_custkey").cast("string")).alias("account_id"), F.when(o % 2 == 0, F.upper(name)).otherwise(name).alias("name"),
+        F.when(o % 3 == 0, F.upper(address(F.col("o_custkey")))).otherwise("other@x.org").alias("email"), (o % 5 == 0).alias("is_self"), o.alias("seen"))
+    directory = v.directory.select("user_id", "real_name", "display_name", "name", F.concat(F.lower("name"), F.lit("@d.org")).alias("email"))
+    out = I.refresh_aliases(accounts, directory, people)
+    return out.select("id", F.array_join("names", ",").alias("names"), F.array_join("emails", ",").alias("emails"))
+
+
 @query(
     "c5_whole_emails",
     "SELECT c_custkey, c_custkey % 4 IN (0, 3) AS hit FROM customer",

@@ -10,8 +10,10 @@ from pyspark.sql.window import Window as W
 from lorekeep.functions import jsonx, text as X
 from lorekeep.functions.times import iso
 from lorekeep.operators import entries as E
+from lorekeep.operators import normalize as N
 from lorekeep.operators import upserts as M
 from lorekeep.operators.catalog_store import CatalogStore
+from lorekeep.operators.messages import directory_labels
 from lorekeep.plans import query
 from lorekeep.plans.ctes import cte, iso as SI
 from lorekeep.plans.views import days
@@ -383,12 +385,13 @@ def import_lines(v):
     i = F.col("doc_id")
     kind = F.when(F.col("lang") == "en", "slack.thread").when(F.col("lang") == "fr", "google.meet").when(F.col("lang") == "de", "google.doc").otherwise("web.page")
     sec = F.array(F.struct(F.lit("details").alias("kind"), F.lit("extracted").alias("origin"), F.col("text")))
-    raw = F.array(F.struct(F.lit("primary").alias("role"), F.when(i % 23 == 0, "../x.md").otherwise("raw/x.md").alias("path")))
+    raw = F.array(F.struct(F.lit("primary").alias("role"), F.when(i % 23 == 0, "../x.md").otherwise(F.concat(F.lit("raw/"), i.cast("string"), F.lit(".md"))).alias("path")))
+    summary = F.struct(F.lit("llm_api").alias("generator_kind"), F.lit("p").alias("provider"), F.lit("m-imported").alias("model"))
     rec = F.to_json(F.struct(
         F.when(i % 29 == 0, "nobody").otherwise(F.concat(F.lit("acct-"), kind)).alias("account"),
         F.when(i % 17 == 0, "fax").otherwise(kind).alias("source_kind"),
         F.concat(F.lit("d"), i.cast("string")).alias("source_id"), F.when(i % 11 == 0, " ").otherwise(F.concat(F.lit("Title "), i.cast("string"))).alias("title"),
-        F.lit("2024-01-05T00:00:00Z").alias("ingested_at"), F.when(i % 13 != 0, sec).alias("sections"), F.when(i % 2 == 0, raw).alias("raw"),
+        F.lit("2024-01-05T00:00:00Z").alias("ingested_at"), F.when(i % 13 != 0, sec).alias("sections"), F.when(i % 2 == 0, raw).alias("raw"), F.when(i % 5 == 0, summary).alias("summary"),
     ))
     return v.table("documents").select(i.alias("line_id"), F.when(i % 19 == 0, F.concat(F.lit("x"), rec)).otherwise(rec).alias("line"))
 
@@ -433,6 +436,48 @@ def import_merge(v):
     return m.select("source_id", "outcome", iso(F.col("ingested_at")).alias("ingested_at"), "title")
 
 
+@query(
+    "m17_import_tables",
+    """WITH i AS (SELECT line_id AS n, documents.text, line_id % 3 <> 0 OR line_id % 9 <> 0 AND line_id % 6 = 0 AS w, line_id % 2 = 0 AS r FROM imported JOIN documents ON doc_id = line_id WHERE error IS NULL)
+SELECT 'd' || n AS source_id, n % 3 <> 0 AS made, 1 AS same_id, 'details:extracted:' || sha256(CASE WHEN n % 9 = 0 THEN 'kept' ELSE text END) AS sections,
+  CASE WHEN n % 9 = 0 THEN 'primary.0:old/' || n WHEN w AND r THEN 'primary.0:raw/' || n || '.md' END AS raw,
+  CASE WHEN n % 9 = 0 THEN 'hash' WHEN w AND r THEN sha256(unhex('4000000000000000') || encode(sha256(text))) END AS raw_hash,
+  CASE WHEN n % 9 = 0 OR w AND r THEN 'present' ELSE 'missing' END AS raw_status, CASE WHEN w AND n % 5 = 0 THEN 'done' WHEN w THEN 'none' ELSE 'kept' END AS summary_status,
+  CASE WHEN NOT w THEN 'm-old:old:2024-01-01T00:00:00Z' WHEN n % 5 = 0 THEN 'm-imported:import:2024-01-05T00:00:00Z' END AS summary, CASE WHEN w THEN 0 ELSE 1 END AS items FROM i""",
+    ("imported",),
+)
+def import_tables(v):
+    """Sections, raw rows, hashes, summaries, items and entries of an import change together."""
+    val = P.validate(import_lines(v), import_accounts(v))
+    n = F.col("line_id")
+    good = val.where(F.col("error").isNull() & (n % 3 == 0)).select(n.alias("n"), "account_id", "r")
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    k = F.col("n")
+    entries = good.select(
+        k.alias("id"), "account_id", F.col("r.source_kind").alias("source_kind"), F.col("r.source_id").alias("source_id"), none("source_url", "string"), F.col("r.title").alias("title"),
+        none("source_created_at", "timestamp"), none("source_updated_at", "timestamp"), F.lit("2024-02-01").cast("timestamp").alias("ingested_at"), F.lit("{}").alias("metadata"),
+        F.when(k % 9 == 0, "present").otherwise("missing").alias("raw_status"), F.when(k % 9 == 0, "hash").alias("raw_hash"), F.lit("kept").alias("summary_status"))
+    text = F.when(k % 9 == 0, "kept").when(k % 6 == 0, "old").otherwise(F.col("r.sections")[0]["text"])
+    sections = good.select(k.alias("entry_id"), F.lit("details").alias("kind"), F.lit("extracted").alias("origin"), F.lit(4).alias("position"), text.alias("text"))
+    raw = good.where(k % 9 == 0).select(k.alias("entry_id"), "account_id", F.lit("primary").alias("role"), F.lit(0).cast("long").alias("seq"), F.concat(F.lit("old/"), k.cast("string")).alias("path"),
+                                        F.lit("text/markdown").alias("media_type"), F.lit("x").alias("sha256"), F.lit(1).cast("long").alias("size"))
+    summaries = good.select(k.alias("entry_id"), F.lit("m-old").alias("model"), F.lit("old").alias("input_hash"), F.lit("llm_api").alias("generator_kind"), F.lit("2024-01-01").cast("timestamp").alias("generated_at"))
+    items = good.select(k.alias("entry_id"), F.lit("x").alias("text"))
+    files = v.table("documents").select(F.concat(F.lit("raw/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"))
+    top = entries.agg(F.max("id")).scalar()
+    t = P.apply_import({"entries": entries, "sections": sections, "raw_objects": raw, "summaries": summaries, "items": items}, P.merge(val, entries, sections, NOW), files, NOW)
+    of = lambda df, what, name: df.groupBy(F.col("entry_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(what)), "|").alias(name))
+    parts = [
+        of(t["sections"], F.concat_ws(":", "kind", "origin", F.sha2("text", 256)), "sections"), of(t["raw_objects"], F.concat("role", F.lit("."), F.col("seq").cast("string"), F.lit(":"), "path"), "raw"),
+        of(t["summaries"], F.concat_ws(":", "model", "input_hash", iso(F.col("generated_at"))), "summary"), t["items"].groupBy(F.col("entry_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("items")),
+    ]
+    out = t["entries"]
+    for part in parts:
+        out = out.join(part, "id", "left")
+    return out.select("source_id", (F.col("id") > top).alias("made"), F.count(F.lit(1)).over(W.partitionBy("id")).cast("int").alias("same_id"), "sections", "raw", "raw_hash", "raw_status", "summary_status",
+                      "summary", F.coalesce("items", F.lit(0)).alias("items"))
+
+
 @query(
     "a26_import_report",
     """SELECT CASE WHEN error IS NULL THEN 'valid' ELSE 'invalid' END AS outcome, count(*) AS count FROM imported GROUP BY 1""",
@@ -454,19 +499,59 @@ def media_types(v):
     return v.table("part").select("p_partkey", P.media_type(path).alias("media_type"))
 
 
-@query(
-    "m18_reextracted_entries",
-    "SELECT doc_id AS entry_id, split_part(text, chr(10), 1) AS overview, length(text) AS n FROM documents d JOIN entries e ON e.id = d.doc_id WHERE e.raw_status = 'present'",
-    ("entries",),
-)
+def raw_by_kind(v):
+    """The lines of documents stored as each source stores them: JSON messages, notes, HTML, or text."""
+    words = F.trim(F.regexp_replace(F.regexp_replace("payload", "[^a-z ]", ""), " +", " "))
+    said = F.concat(F.lit("n"), F.length("payload").cast("string"), F.lit(" "), words)
+    first = F.col("seq") == 0
+    message = F.to_json(F.struct(F.concat((F.lit(1704067200) + F.col("seq")).cast("string"), F.lit(".0")).alias("ts"), F.concat(F.lit("U"), F.col("seq") % 3).alias("user"), F.trim(said).alias("text")))
+    note = F.concat(F.when(first, "### Summary\n").when(F.col("seq") == 1, "### Decisions\n").otherwise(""), F.trim(said))
+    html = F.concat(F.when(first, "<html><head><title>T</title></head><body><article>").otherwise(""), F.lit("<p>"), F.trim(said), F.lit("</p>"))
+    kind = F.col("source_kind")
+    payload = F.when(kind.startswith("slack."), message).when(kind == "google.meet", note).when(kind == "web.page", html).otherwise(F.concat("payload", F.lit("  \r")))
+    rows = v.raw_objects.join(v.entries.select(F.col("id").alias("entry_id"), "source_kind"), "entry_id")
+    return rows.withColumn("payload", payload).drop("source_kind")
+
+
+_RENORMALIZED = """WITH l AS (SELECT e.id AS entry_id, e.source_kind, i - 1 AS seq, p[i] AS line,
+    trim('n' || length(p[i]) || ' ' || trim(regexp_replace(regexp_replace(p[i], '[^a-z ]', '', 'g'), ' +', ' ', 'g'))) AS said
+  FROM (SELECT e.*, string_split(d.text, chr(10)) AS p FROM entries e JOIN documents d ON d.doc_id = e.id WHERE e.raw_status = 'present') e, range(1, 100000) r(i) WHERE i <= len(p)),
+n AS (
+  SELECT entry_id, 'details' AS kind, 'extracted' AS origin, string_agg(strftime(TIMESTAMP '2024-01-01' + to_seconds(seq), '%H:%M') || ' '
+    || CASE seq % 3 WHEN 1 THEN 'U1' ELSE coalesce(nullif(trim(d.real_name), ''), nullif(trim(d.display_name), ''), nullif(trim(d.name), ''), 'U' || seq % 3) END || ': ' || said, chr(10) ORDER BY seq) AS text
+  FROM l LEFT JOIN directory d ON d.user_id = 'U' || (seq % 3) WHERE source_kind LIKE 'slack.%' GROUP BY 1
+  UNION ALL SELECT entry_id, 'details', 'extracted', string_agg(said, chr(10) || chr(10) ORDER BY seq) FROM l WHERE source_kind = 'web.page' GROUP BY 1
+  UNION ALL SELECT entry_id, 'overview', 'generated', said FROM l WHERE source_kind = 'google.meet' AND seq = 0
+  UNION ALL SELECT entry_id, 'decisions', 'generated', string_agg(said, chr(10) ORDER BY seq) FROM l WHERE source_kind = 'google.meet' AND seq > 0 GROUP BY 1
+  UNION ALL SELECT entry_id, kind, origin, text FROM (SELECT entry_id, 'details' AS kind, 'extracted' AS origin, regexp_replace(regexp_replace(
+      string_agg(regexp_replace(line, '[ \\t]+$', ''), chr(10) ORDER BY seq), '\\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') AS text
+    FROM l WHERE source_kind NOT LIKE 'slack.%' AND source_kind NOT IN ('web.page', 'google.meet') GROUP BY 1) WHERE trim(text) <> '')"""
+
+
+@query("m18_reextracted_entries", _RENORMALIZED + " SELECT entry_id, kind, origin, sha256(text) AS text_sha256, length(text) AS n FROM n", ("entries", "directory"))
 def reextract(v):
-    """Derived sections recomputed from stored raw segments for a filter."""
-    from lorekeep.operators.normalize import NORMALIZERS, reextract as run
+    """Sections recomputed from raw segments by the transform of each kind, text by text."""
+    registry = N.normalizers(directory_labels(v.directory), "UTC")
+    out = N.reextract(v.entries, raw_by_kind(v), registry)
+    return out.select("entry_id", "kind", "origin", F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("n"))
 
-    present = v.entries.where(F.col("raw_status") == "present")
-    out = run(present, v.raw_objects, NORMALIZERS)
-    return out.groupBy("entry_id").agg(
-        F.max(F.when(F.col("kind") == "overview", F.col("text"))).alias("overview"), F.sum(F.when(F.col("kind") == "details", F.length("text"))).alias("n"))
+
+@query(
+    "m18_reextracted_tables",
+    _RENORMALIZED + """, t AS (SELECT DISTINCT entry_id FROM n), b AS (SELECT entry_id, kind, origin, text FROM sections),
+k AS (SELECT entry_id, kind, origin, text FROM b WHERE NOT (origin IN ('generated', 'extracted') AND entry_id IN (SELECT entry_id FROM n WHERE n.origin = b.origin)) UNION ALL SELECT * FROM n),
+w AS (SELECT *, row_number() OVER (PARTITION BY entry_id, kind ORDER BY CASE origin WHEN 'user' THEN 3 WHEN 'extracted' THEN 2 ELSE 1 END DESC) AS r FROM k)
+SELECT e.id AS entry_id, (SELECT string_agg(kind || ':' || origin || ':' || sha256(text), '|' ORDER BY kind) FROM w WHERE w.entry_id = e.id AND r = 1) AS sections, e.id IN (SELECT entry_id FROM t) AS renewed FROM entries e""",
+    ("entries", "sections", "directory"),
+)
+def reextract_tables(v):
+    """Sections replaced by origin, and the entries concerned decided on anew."""
+    tables = {"entries": v.entries.withColumn("updated_at", F.lit(None).cast("timestamp")), "sections": v.sections.drop("id"), "raw_objects": raw_by_kind(v), "summaries": v.summaries}
+    after = N.reextract_tables(tables, v.entries, N.normalizers(directory_labels(v.directory), "UTC"), NOW)
+    parts = F.array_sort(F.collect_list(F.struct("kind", F.concat_ws(":", "kind", "origin", F.sha2("text", 256)).alias("s"))))
+    sec = after["sections"].groupBy("entry_id").agg(F.array_join(F.transform(parts, lambda p: p["s"]), "|").alias("sections"))
+    e = after["entries"].select(F.col("id").alias("entry_id"), F.coalesce(F.col("updated_at") == F.lit(NOW).cast("timestamp"), F.lit(False)).alias("renewed"))
+    return e.join(sec, "entry_id", "left").select("entry_id", "sections", "renewed")
 
 
 _COMMITTED = f"""SELECT e.id, CASE WHEN d THEN 'done' ELSE summary_status END AS summary_status, CASE WHEN d THEN 0 ELSE summary_attempts END AS summary_attempts,

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import jsonx
 from lorekeep.functions.times import safe_time
-from lorekeep.operators.skew import first_by
+from lorekeep.operators import upserts as U
+from lorekeep.operators.skew import cut, first_by
 from lorekeep.schemas import ACCOUNT_KIND_OF, IMPORT_RECORD, SOURCE_KINDS
 
 # Media types of raw files by extension.
@@ -35,6 +36,24 @@ def read_bundle(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.monotonically_increasing_id().alias("line_id"), "line")
 
 
+def read_manifest(spark: SparkSession, path: str, expected: str, overrides: dict[str, str] | None = None) -> dict[str, str]:
+    """The account of each account kind from ``manifest.json``, under the caller's ``overrides``.
+
+    A manifest of another format than ``expected``, or one that is no JSON object, is refused.
+    """
+    row = spark.read.text(path, wholetext=True).select(F.from_json("value", "format string, accounts map<string,string>").alias("m")).first()
+    found = row and row.m
+    if not found or found.format is None:
+        raise ValueError(f"{path} is no manifest")
+    if found.format != expected:
+        raise ValueError(f"unsupported bundle format {found.format!r}, expected {expected!r}")
+    mapping = dict(found.accounts or {}) | dict(overrides or {})
+    unknown = sorted(set(overrides or {}) - set(ACCOUNT_KIND_OF.values()) - {"imap"})
+    if unknown:
+        raise ValueError(f"no account kind {', '.join(unknown)}")
+    return mapping
+
+
 def account_kind() -> Column:
     known = F.create_map(*[F.lit(x) for kv in ACCOUNT_KIND_OF.items() for x in kv])
     return F.try_element_at(known, F.col("r.source_kind"))
@@ -78,7 +97,7 @@ def merge(valid: DataFrame, entries: DataFrame, sections: DataFrame, now: dateti
     rec = rec.select(
         *keys, "line_id", F.col("source_url").alias("_url"), F.col("title").alias("_title"), safe_time(F.col("source_created_at")).alias("_created"),
         safe_time(F.col("source_updated_at")).alias("_updated"), safe_time(F.col("ingested_at")).alias("_ing"), F.col("metadata").alias("_meta"),
-        "sections", F.col("summary").isNotNull().alias("_sum"), F.size(F.coalesce("raw", F.array())).alias("_raw"),
+        "sections", "summary", "raw", F.col("summary").isNotNull().alias("_sum"), F.size(F.coalesce("raw", F.array())).alias("_raw"),
     )
     want = F.array_sort(F.transform("sections", lambda s: F.concat_ws("\u0001", s["kind"], F.coalesce(s["origin"], F.lit("generated")), s["text"])))
     have = sections.groupBy(F.col("entry_id").alias("id")).agg(F.array_sort(F.collect_list(F.concat_ws("\u0001", "kind", "origin", "text"))).alias("_have"))
@@ -108,10 +127,67 @@ def merge(valid: DataFrame, entries: DataFrame, sections: DataFrame, now: dateti
         F.when(write, F.col("metadata_next")).when((F.col("outcome") == "merged") & new_ref,
                jsonx.overlay(F.col("metadata"), F.to_json(F.struct(ref.alias("import_ref"))))).otherwise(F.col("metadata")).alias("metadata"),
         F.when(write, F.when(F.col("_sum") | generated, "done").otherwise("none")).otherwise(F.col("summary_status")).alias("summary_status"),
-        F.when(write, F.col("sections")).alias("sections"),
+        F.when(write, F.col("sections")).alias("sections"), F.when(write, F.col("summary")).alias("summary"), F.when(write, F.col("raw")).alias("raw"), F.col("_ing").alias("given_ingested_at"),
     )
 
 
+def apply_import(tables: dict[str, DataFrame], merged: DataFrame, files: DataFrame, now: datetime) -> dict[str, DataFrame]:
+    """Next ``entries, sections, raw_objects, summaries, items`` after an import, to be published as one version.
+
+    ``merged`` comes from ``merge``; ``files(path, sha256, size)`` are the raw files of the bundle as stored. Created and
+    updated entries get the imported sections (the higher origin wins a kind, then the later one), raw rows where the
+    record has some, their hash and status, and a summary row where the record brings a summary or generated sections;
+    their items go. Merged entries change in their times and reference only.
+    """
+    t = F.lit(now).cast("timestamp")
+    keys = ["account_id", "source_kind", "source_id"]
+    m = cut(merged, "import-merged")
+    fresh = U.new_ids(tables["entries"], m.where(F.col("id").isNull()).select(*keys), keys).withColumnRenamed("id", "_new")
+    w = cut(m.join(fresh, keys, "left").withColumn("entry_id", F.coalesce("id", "_new")).drop("id", "_new"), "import-rows")
+    written = w.where(F.col("outcome").isin("created", "updated"))
+    ids = written.select("entry_id")
+
+    imported = written.select("entry_id", F.posexplode("sections").alias("version", "s")).select(
+        "entry_id", "version", "s.kind", F.coalesce("s.origin", F.lit("generated")).alias("origin"), "s.text")
+    sections = tables["sections"].join(ids, "entry_id", "left_anti")
+    for origin in ("user", "extracted", "generated"):
+        sections = U.write_sections(sections, imported.where(F.col("origin") == origin).drop("origin"), origin, replace=False)
+
+    given = written.select("entry_id", "account_id", F.posexplode("raw").alias("pos", "o")).select("entry_id", "account_id", "pos", "o.*")
+    raw = given.groupBy("entry_id", "account_id", "role").agg(F.array_sort(F.collect_list(F.struct("pos", "path", "media_type"))).alias("objects"))
+    raw = raw.select("entry_id", "account_id", "role", F.posexplode("objects").alias("seq", "o")).select(
+        "entry_id", "account_id", "role", F.col("seq").cast("long").alias("seq"), "o.path", F.coalesce("o.media_type", media_type(F.col("o.path"))).alias("media_type"))
+    raw = cut(raw.join(files, "path").withColumn("fetched_at", t), "import-raw")
+    own = raw.select("entry_id").distinct()
+    kept = tables["raw_objects"].join(own, "entry_id", "left_anti")
+    raw_objects = kept.unionByName(raw.select(*[F.col(c) if c in raw.columns else F.lit(None).cast(kept.schema[c].dataType).alias(c) for c in kept.columns]))
+    hashes = U.raw_hashes(raw).select("entry_id", F.col("raw_hash").alias("_hash"))
+
+    done = written.where(F.col("summary_status") == "done")
+    g = F.col("summary")
+    summary = {
+        "generator_kind": F.coalesce(g["generator_kind"], F.lit("unknown")), "provider": F.coalesce(g["provider"], F.lit("unknown")),
+        "model": F.coalesce(g["model"], F.lit("unknown")), "input_hash": F.lit("import"), "entry_id": F.col("entry_id"),
+        "prompt_version": F.when(~F.coalesce(g["generator_kind"] == "source_native", F.lit(False)), g["prompt_version"]),
+        "generated_at": F.coalesce(safe_time(g["generated_at"]), F.col("given_ingested_at"), t),
+    }
+    old = tables["summaries"].join(ids, "entry_id", "left_anti")
+    summaries = old.unionByName(done.select(*[summary.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in old.schema]))
+    items = tables["items"].join(ids, "entry_id", "left_anti")
+
+    values = ["title", "source_url", "source_created_at", "source_updated_at", "ingested_at", "metadata", "summary_status"]
+    rows = w.where(F.col("outcome") != "unchanged").select(*keys, F.col("entry_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in values], (F.col("outcome") == "created").alias("_made"))
+    e = tables["entries"].join(rows, keys, "full_outer").join(hashes.select(F.col("entry_id").alias("_id"), "_hash"), "_id", "left")
+    hit = F.col("_id").isNotNull()
+    out = {"id": F.coalesce("id", "_id"), **{c: F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)) for c in values}}
+    out |= {"updated_at": F.when(hit, t).otherwise(F.col("updated_at")) if "updated_at" in e.columns else None}
+    out |= {"raw_status": F.when(F.col("_hash").isNotNull(), "present").otherwise(F.coalesce("raw_status", F.lit("missing"))), "raw_hash": F.coalesce("_hash", "raw_hash") if "raw_hash" in e.columns else None}
+    out |= {"origin": F.when(F.coalesce("_made", F.lit(False)), "import").otherwise(F.col("origin")) if "origin" in e.columns else None}
+    out |= {"entry_uid": F.coalesce("entry_uid", U.entry_uid()) if "entry_uid" in e.columns else None}
+    entries = e.select(*[out[c].alias(c) if out.get(c) is not None else F.col(c) for c in tables["entries"].columns])
+    return {"entries": entries, "sections": sections, "raw_objects": raw_objects, "summaries": summaries, "items": items}
+
+
 def _canonical(c: Column) -> Column:
     """JSON object text with its top-level keys in order."""
     from pyspark.sql import types as T

@@ -165,6 +165,24 @@ def test_search_backend(spark, tmp_path):
     assert find("beta") == [1, 2]
 
 
+# -- import bundles --------------------------------------------------------------------------------------------
+
+
+def test_manifest_of_a_bundle(spark, tmp_path):
+    m = tmp_path / "manifest.json"
+    m.write_text('{\n "format": "bundle/1",\n "accounts": {"slack": "work", "google": "me"}, "more": 1}')
+    assert MP.read_manifest(spark, str(m), "bundle/1") == {"slack": "work", "google": "me"}
+    assert MP.read_manifest(spark, str(m), "bundle/1", {"slack": "home"})["slack"] == "home"
+    with pytest.raises(ValueError, match="unsupported bundle format"):
+        MP.read_manifest(spark, str(m), "bundle/2")
+    with pytest.raises(ValueError, match="no account kind fax"):
+        MP.read_manifest(spark, str(m), "bundle/1", {"fax": "x"})
+    for text in ("no json", "{}"):
+        m.write_text(text)
+        with pytest.raises(ValueError, match="no manifest"):
+            MP.read_manifest(spark, str(m), "bundle/1")
+
+
 # -- buckets with versions ------------------------------------------------------------------------------------
 
 
