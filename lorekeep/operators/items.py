@@ -491,9 +491,17 @@ def parse_output(outputs: DataFrame, column: str = "output") -> DataFrame:
     )
 
 
-def message_blocks(bodies: DataFrame) -> DataFrame:
-    """Rendered conversations ``(entry_id, body)`` cut into ``(entry_id, block, day, hm, text)``."""
-    lines = bodies.select("entry_id", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
+def body_lines(bodies: DataFrame) -> DataFrame:
+    """Texts ``(entry_id, body)`` as numbered lines ``(entry_id, line_no, line)``."""
+    return bodies.select("entry_id", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
+
+
+def message_blocks(lines: DataFrame) -> DataFrame:
+    """Numbered lines ``(entry_id, line_no, line)`` of rendered conversations cut into ``(entry_id, block, day, hm, text)``.
+
+    A stamped line starts a block and other lines continue it; blocks are counted stretch by stretch, so a conversation is
+    never in one task.
+    """
     day, hm = F.regexp_extract("line", _STAMP, 1), F.regexp_extract("line", _STAMP, 2)
     stamped = F.col("line").rlike(_STAMP) & ((day == "") | safe_date(day).isNotNull())
     lines = prefix_sum(lines, ["entry_id"], [F.floor(F.col("line_no") / 1000)], [F.col("line_no")], stamped.cast("int"), "block")
@@ -508,14 +516,47 @@ def message_blocks(bodies: DataFrame) -> DataFrame:
     )
 
 
-def occurred_times(quotes: DataFrame, bodies: DataFrame, tz: str) -> DataFrame:
+PROBE = 8
+
+
+def quoted_blocks(quotes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``(entry_id, ordinal, block)`` of blocks ``(entry_id, block, norm)`` that hold a quote ``(entry_id, ordinal, quote_norm)``.
+
+    A quote of ``PROBE`` characters or more is looked up by the one of its grams that the fewest blocks of its entry hold,
+    and compared with these blocks only; a shorter quote is a gram itself. So the work follows the characters of the
+    conversation and of the quotes, not their product.
+    """
+    q = quotes.where(F.col("quote_norm") != "").select("entry_id", "ordinal", "quote_norm", F.least(F.length("quote_norm"), F.lit(PROBE)).alias("n"))
+    asked = q.select("entry_id").distinct()
+    texts = blocks.join(asked, "entry_id", "left_semi")
+    out = None
+    # At most as many passes as there are lengths up to the probe's.
+    for n in sorted(r.n for r in q.select("n").distinct().collect()):
+        grams = texts.select("entry_id", "block", F.explode(F.array_distinct(X.windows(F.col("norm"), n))).alias("g"))
+        mine = q.where(F.col("n") == n)
+        if n < PROBE:
+            hit = grams.join(mine.withColumnRenamed("quote_norm", "g"), ["entry_id", "g"]).select("entry_id", "ordinal", "block")
+        else:
+            probes = mine.select("entry_id", "ordinal", "quote_norm", F.posexplode(X.windows(F.col("quote_norm"), n)).alias("pos", "g"))
+            held = cut(grams.join(probes.select("entry_id", "g").distinct(), ["entry_id", "g"], "left_semi"), "probe-grams")
+            count = held.groupBy("entry_id", "g").agg(F.count(F.lit(1)).alias("c"))
+            rare = probes.join(count, ["entry_id", "g"], "left").groupBy("entry_id", "ordinal", "quote_norm").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "pos", "g")).alias("p"))
+            found = rare.where(F.col("p.c") > 0).select("entry_id", "ordinal", "quote_norm", F.col("p.g").alias("g")).join(held, ["entry_id", "g"])
+            hit = found.join(texts, ["entry_id", "block"]).where(F.contains("norm", "quote_norm")).select("entry_id", "ordinal", "block")
+        out = hit if out is None else out.unionByName(hit)
+    return q.select("entry_id", "ordinal", F.lit(0).cast("long").alias("block")).where("false") if out is None else out
+
+
+def occurred_times(quotes: DataFrame, bodies: DataFrame, tz: str, lines: DataFrame | None = None) -> DataFrame:
     """Time of the first block that holds each quote: ``(entry_id, ordinal, at)``.
 
-    ``quotes(entry_id, ordinal, quote_norm)``; ``bodies(entry_id, body, source_created_at)``.
+    ``quotes(entry_id, ordinal, quote_norm)``; ``bodies(entry_id, source_created_at)`` with the text as ``body``, or as
+    numbered ``lines(entry_id, line_no, line)`` beside it.
     """
-    blocks = message_blocks(bodies).withColumn("norm", X.match_norm(F.col("text")))
-    hit = quotes.join(blocks, "entry_id").where(F.contains("norm", "quote_norm"))
-    first = hit.groupBy("entry_id", "ordinal").agg(F.min_by(F.struct("day", "hm"), "block").alias("b"))
+    lines = body_lines(bodies) if lines is None else lines
+    blocks = cut(message_blocks(lines).withColumn("norm", X.match_norm(F.col("text"))).drop("text"), "quote-blocks")
+    hit = quoted_blocks(quotes, blocks).groupBy("entry_id", "ordinal").agg(F.min("block").alias("block"))
+    first = hit.join(blocks.select("entry_id", "block", "day", "hm"), ["entry_id", "block"]).select("entry_id", "ordinal", F.struct("day", "hm").alias("b"))
     base = bodies.select("entry_id", local_date(F.col("source_created_at"), tz).alias("base_day"))
     local = F.try_to_timestamp(F.concat_ws(" ", F.coalesce(F.col("b")["day"], F.col("base_day")).cast("string"), F.col("b")["hm"]), F.lit("yyyy-MM-dd HH:mm"))
     return first.join(base, "entry_id").select("entry_id", "ordinal", F.to_utc_timestamp(local, tz).alias("at"))

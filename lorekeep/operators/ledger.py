@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from lorekeep.functions import text as X
 from lorekeep.functions.times import local_date, local_midnight, next_start, period, period_start
-from lorekeep.operators.skew import global_prefix_sum
+from lorekeep.operators.skew import cut, global_prefix_sum
 from lorekeep.schemas import DEFAULTS, Settings
 
 EPS = 1e-9
@@ -243,15 +243,28 @@ def estimate(units: DataFrame) -> DataFrame:
 ChunkFn = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
-def summarize(inputs: DataFrame, on_chunks: ChunkFn, merge: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType, limit: int) -> DataFrame:
+def summarize(
+    inputs: DataFrame, on_chunks: ChunkFn, merge: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType, limit: int, fan_in: int = 64
+) -> DataFrame:
     """Map over chunks, then merge per entry.
 
     ``on_chunks`` is the caller's ``mapInPandas`` function over ``(entry_id, chunk_no, n_chunks, text)`` and returns
-    ``schema``; ``merge`` gets the outputs of one entry that had several chunks. Entries of one chunk skip the shuffle.
+    ``schema``; ``merge`` gets up to ``fan_in`` outputs of one entry in order and returns one row. An entry of more chunks is
+    merged in levels, so no task gets more outputs of it at once. Entries of one chunk skip the shuffle. The caller's
+    function runs once for every chunk: its outputs are written before they are merged.
     """
     cut_up = inputs.select("entry_id", chunks(F.col("body"), limit).alias("c"))
     rows = cut_up.select("entry_id", F.size("c").alias("n_chunks"), F.posexplode("c").alias("chunk_no", "text"))
-    out = rows.select("entry_id", "chunk_no", "n_chunks", "text").mapInPandas(on_chunks, schema)
-    one = out.where(F.col("n_chunks") == 1)
-    many = out.where(F.col("n_chunks") > 1).groupBy("entry_id").applyInPandas(merge, schema)
-    return one.unionByName(many)
+    out = cut(rows.select("entry_id", "chunk_no", "n_chunks", "text").mapInPandas(on_chunks, schema), "chunk-outputs")
+    names = schema.fieldNames()
+
+    def merged(key: tuple, outputs: pd.DataFrame) -> pd.DataFrame:
+        one = merge(outputs.sort_values("chunk_no")[names])
+        return one.assign(chunk_no=key[1])
+
+    many = out.where(F.col("n_chunks") > 1)
+    left = many.agg(F.coalesce(F.max("chunk_no"), F.lit(0)) + 1).first()[0]
+    while left > 1:
+        many = many.groupBy("entry_id", F.floor(F.col("chunk_no") / fan_in).alias("part")).applyInPandas(merged, schema)
+        left = -(-left // fan_in)
+    return out.where(F.col("n_chunks") == 1).unionByName(many)

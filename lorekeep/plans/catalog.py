@@ -353,7 +353,8 @@ def relative_times(v):
 
 @query(
     "s6_raw_sink",
-    f"""SELECT r.account_id, source_kind, CAST(year({_DATE}) AS INT) AS year, CAST(month({_DATE}) AS INT) AS month, count(*) AS segments FROM raw_objects r JOIN entries e ON e.id = r.entry_id GROUP BY 1, 2, 3, 4""",
+    f"""SELECT r.account_id, source_kind, CAST(year({_DATE}) AS INT) AS year, CAST(month({_DATE}) AS INT) AS month, entry_id, role, seq, path, sha256(payload) AS content
+FROM raw_objects r JOIN entries e ON e.id = r.entry_id""",
     ("raw_objects", "entries"),
 )
 def raw_sink(v):
@@ -365,4 +366,4 @@ def raw_sink(v):
     path = work_dir(v.spark, "raw")
     write_raw(v.raw_objects.join(e, "entry_id"), path)
     back = v.spark.read.parquet(path)
-    return back.groupBy("account_id", "source_kind", "year", "month").agg(F.count(F.lit(1)).alias("segments"))
+    return back.select("account_id", "source_kind", "year", "month", "entry_id", "role", "seq", "path", F.sha2("payload", 256).alias("content"))

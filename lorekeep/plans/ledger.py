@@ -206,7 +206,7 @@ def _count_chars(batches):
 
 def _add_up(pdf):
     return pd.DataFrame({"entry_id": [pdf["entry_id"].iloc[0]], "chunk_no": [0], "n_chunks": [int(pdf["n_chunks"].iloc[0])],
-                         "chars": [int(pdf["chars"].sum())], "calls": [len(pdf) + 1]})
+                         "chars": [int(pdf["chars"].sum())], "calls": [int(pdf["calls"].sum()) + 1]})
 
 
 @query(

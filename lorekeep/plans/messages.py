@@ -348,11 +348,10 @@ def meetings(v):
                     "transcript_url", "transcript", iso(F.col("created")).alias("created"))
 
 
-def _bodies(v):
-    """Rendered conversations by their number."""
-    text = M.conversation_text(M.conversation_lines(_spoken(v), "UTC"))
-    n = F.split_part("source_id", F.lit(":"), F.lit(2)).cast("long")
-    return text.select(n.alias("entry_id"), F.col("text").alias("body"), F.lit("2024-01-01").cast("timestamp").alias("source_created_at"))
+def _lines(v):
+    """Numbered lines of the rendered conversations, by their number."""
+    rows = M.numbered_lines(M.conversation_lines(_spoken(v), "UTC"))
+    return rows.select(F.split_part("source_id", F.lit(":"), F.lit(2)).cast("long").alias("entry_id"), "line_no", "line")
 
 
 @query(
@@ -362,7 +361,7 @@ def _bodies(v):
 )
 def message_blocks(v):
     """Rendered conversations cut back into messages at their stamps."""
-    return I.message_blocks(_bodies(v)).select("entry_id", "block", "hm", "text")
+    return I.message_blocks(_lines(v)).select("entry_id", "block", "hm", "text")
 
 
 _N = r"trim(regexp_replace(regexp_replace(lower({}), '[*_`~]', '', 'g'), '\s+', ' ', 'g'))"
@@ -380,7 +379,8 @@ def occurred_times(v):
     q = _messages(v).select(
         F.split_part("source_id", F.lit(":"), F.lit(2)).cast("long").alias("entry_id"), F.split_part("ts", F.lit("."), F.lit(2)).cast("int").alias("ordinal"),
         X.match_norm(F.substring("text", 1, 40)).alias("quote_norm"))
-    return I.occurred_times(q, _bodies(v), "UTC").select("entry_id", "ordinal", iso(F.col("at")).alias("occurred_at"))
+    bodies = q.select("entry_id").distinct().withColumn("source_created_at", F.lit("2024-01-01").cast("timestamp"))
+    return I.occurred_times(q, bodies, "UTC", _lines(v)).select("entry_id", "ordinal", iso(F.col("at")).alias("occurred_at"))
 
 
 @query(

@@ -81,9 +81,9 @@ def page_changes(v):
     """Pages against the hash their state holds."""
     J.stateful(v.spark)
     sha = F.sha2(F.encode("html", "UTF-8"), 256)
-    s = J.read_table(v.spark, v.dir, "pages.parquet").select(F.col("page_id").alias("doc"), sha.alias("sha"))
+    s = J.read_table(v.spark, v.dir, "pages.parquet").select(F.col("page_id").alias("doc"), F.lit(2).cast("long").alias("micros"), sha.alias("sha"))
     i = F.col("page_id")
-    known = v.table("pages").where(i % 3 != 0).select(i.alias("doc"), F.when(i % 3 == 1, sha).otherwise("old").alias("sha"))
+    known = v.table("pages").where(i % 3 != 0).select(i.alias("doc"), F.lit(1).cast("long").alias("micros"), F.when(i % 3 == 1, sha).otherwise("old").alias("sha"))
     return J.run(J.document_changes(s, known), "page-changes").select(F.col("doc").alias("page_id"), "change")
 
 

@@ -23,14 +23,13 @@ def write_json(df: DataFrame, path: str, schema_tag: str) -> None:
 def write_raw(raw: DataFrame, path: str, mode: str = "append") -> None:
     """Raw segments partitioned as account / kind / year / month of the entry date.
 
-    ``raw`` has the entry's ``source_created_at`` and ``ingested_at``. Rows are spread over files inside a partition by
-    entry, so one large account or month is still written by many tasks.
+    ``raw`` has the entry's ``source_created_at`` and ``ingested_at``. Spark balances the writing tasks by the sizes it
+    finds: a large account or month is split over as many tasks as its bytes need, small ones share a task.
     """
     at = entry_date()
+    keys = ["account_id", "source_kind", "year", "month"]
     out = raw.withColumn("year", F.year(at)).withColumn("month", F.month(at))
-    out.repartition("account_id", "source_kind", "year", "month", F.pmod(F.xxhash64("entry_id"), F.lit(32))).write.mode(
-        mode
-    ).partitionBy("account_id", "source_kind", "year", "month").parquet(path)
+    out.hint("rebalance", *[F.col(k) for k in keys]).write.mode(mode).partitionBy(*keys).parquet(path)
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:

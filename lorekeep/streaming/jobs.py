@@ -153,37 +153,45 @@ def forgotten_threads(stream: DataFrame, days: float, delay: str = "1 hour") ->
     return rows.groupBy("scope").transformWithStateInPandas(Watch(days), "scope long, last_millis long", "append", "EventTime")
 
 
-_HASH = T.StructType([T.StructField("sha", T.StringType())])
+_HASH = T.StructType([T.StructField("sha", T.StringType()), T.StructField("micros", T.LongType())])
 
 
 class Changes(StatefulProcessor):
-    """new, changed or unchanged by the hash last seen for the key."""
+    """new, changed or unchanged by the newest hash known for the key; late where a newer version is known already.
+
+    Versions of one batch are taken in the order of their time, then hash, however they arrive; equal ones are one change.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sha = handle.getValueState("sha", _HASH)
+        self.last = handle.getValueState("last", _HASH)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.sha.get()[0] if self.sha.exists() else None
-        for pdf in rows:
-            states = []
-            for sha in pdf["sha"]:
-                states.append("new" if known is None else "unchanged" if known == sha else "changed")
-                known = sha
-            yield pd.DataFrame({"doc": pdf["doc"], "sha": pdf["sha"], "change": states})
+        known, since = self.last.get() if self.last.exists() else (None, None)
+        batch = pd.concat(rows).sort_values(["micros", "sha"], kind="stable")
+        states = []
+        for sha, micros in zip(batch["sha"].tolist(), batch["micros"].tolist()):
+            if since is not None and micros < since:
+                states.append("late")
+                continue
+            states.append("new" if known is None else "unchanged" if known == sha else "changed")
+            known, since = sha, micros
         if known is not None:
-            self.sha.update((known,))
+            self.last.update((known, since))
+        yield pd.DataFrame({"doc": batch["doc"], "micros": batch["micros"], "sha": batch["sha"], "change": states})
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.sha.update((str(initialState["sha"].iloc[0]),))
+        newest = initialState.sort_values(["micros", "sha"]).iloc[-1]
+        self.last.update((str(newest["sha"]), int(newest["micros"])))
 
     def close(self) -> None:
         pass
 
 
 def document_changes(stream: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """``stream(doc, sha)`` with its ``change`` against the state, which starts from ``known(doc, sha)``."""
-    initial = None if known is None else known.groupBy("doc")
-    return stream.groupBy("doc").transformWithStateInPandas(Changes(), "doc long, sha string, change string", "append", "None", initialState=initial)
+    """``stream(doc, micros, sha)`` with its ``change`` against the state, which starts from ``known(doc, micros, sha)``."""
+    initial = None if known is None else known.select("doc", "micros", "sha").groupBy("doc")
+    rows = stream.select("doc", "micros", "sha").groupBy("doc")
+    return rows.transformWithStateInPandas(Changes(), "doc long, micros long, sha string, change string", "append", "None", initialState=initial)
 
 
 # -- catalog commits ------------------------------------------------------------------------------------------

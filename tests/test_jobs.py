@@ -259,6 +259,18 @@ def test_batches_give_what_one_batch_gives(spark, arrivals):
     assert sorted(one.collect()) == sorted(many.collect())
 
 
+def test_versions_follow_their_time_in_any_order(spark, tmp_path):
+    rows = [(1, 30, "c"), (1, 10, "a"), (1, 20, "b"), (1, 20, "b"), (2, 5, "old"), (2, 9, "k"), (3, 1, "x")]
+    known = spark.createDataFrame([(2, 7, "k"), (2, 6, "j")], "doc long, micros long, sha string")
+    answers = set()
+    for k in range(2):
+        folder = str(tmp_path / f"v{k}")
+        spark.createDataFrame(rows[:: 1 - 2 * k], "doc long, micros long, sha string").repartition(3).write.parquet(folder)
+        got = J.run(J.document_changes(J.read_table(J.stateful(spark), folder, "*.parquet"), known), f"versions-{k}").collect()
+        answers.add(tuple(sorted((r["doc"], r["micros"], r["sha"], r["change"]) for r in got)))
+    assert answers == {((1, 10, "a", "new"), (1, 20, "b", "changed"), (1, 20, "b", "unchanged"), (1, 30, "c", "changed"), (2, 5, "old", "late"), (2, 9, "k", "unchanged"), (3, 1, "x", "new"))}
+
+
 def test_interrupted_commits_equal_uninterrupted_ones(spark, arrivals, tmp_path):
     def step(store, batch):
         top = batch.agg(F.max("row_id").alias("v")).union(store.read("cursor").select("v")).agg(F.lit("all").alias("k"), F.max("v").alias("v"))

@@ -143,10 +143,24 @@ def test_joined_text_is_one_row_in_order(spark):
 def test_blocks_of_a_long_conversation(spark):
     # Several stretches of lines, with a second line in some messages.
     lines = [f"{h:02d}:{m:02d} a: {h} {m}" + ("\nmore" if m % 7 == 0 else "") for h in range(24) for m in range(60)]
-    got = I.message_blocks(spark.createDataFrame([(1, "head\n" + "\n".join(lines))], "entry_id long, body string")).orderBy("block").collect()
+    got = I.message_blocks(I.body_lines(spark.createDataFrame([(1, "head\n" + "\n".join(lines))], "entry_id long, body string"))).orderBy("block").collect()
     assert [f"{r['hm']}{r['text']}" for r in got] == lines
 
 
+def test_many_quotes_of_one_conversation(spark):
+    rnd = random.Random(2)
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(rnd.choice(words) for _ in range(12)) for _ in range(2000)] + ["ab", "xyz ab"]
+    quotes = [(1, k, rnd.choice(texts)[3 : 3 + rnd.randrange(1, 40)]) for k in range(10_000)] + [(1, 10_000, "nowhere to be found"), (1, 10_001, "ab"), (2, 0, "ab"), (1, 10_002, "")]
+    blocks = spark.createDataFrame([(1, k, x) for k, x in enumerate(texts)], "entry_id long, block long, norm string")
+    got = I.quoted_blocks(spark.createDataFrame(quotes, "entry_id long, ordinal int, quote_norm string"), blocks).groupBy("entry_id", "ordinal").agg(F.min("block").alias("b")).collect()
+    have = {(r["entry_id"], r["ordinal"]): r["b"] for r in got}
+    for e, k, x in quotes[::97] + quotes[-4:]:
+        first = next((n for n, y in enumerate(texts) if x in y), None) if e == 1 and x else None
+        assert have.get((e, k)) == first
+    assert len(have) == 10_001
+
+
 def test_lines_that_are_no_message_are_reported(spark):
     rows = [("c", 0, 0, '{"ts": "1.5", "text": "a"}'), ("c", 0, 1, "no json"), ("c", 0, 2, '{"text": "no stamp"}'), ("c", 0, 3, " ")]
     seg = spark.createDataFrame(rows, "source_id string, seq int, line_no int, line string")
