@@ -83,10 +83,15 @@ class Model:
         return (marks[0] if marks else -by_chance) + sum(m for m in marks[1:] if m > -math.log(SIGNIFICANT_SEGMENT))
 
     def probability(self, x: float) -> float:
-        z = self.slope * x + self.shift
+        z = self.slope * float(_damped(x)) + self.shift
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
+def _damped(x):
+    """Evidence on a scale on which a few documents of overwhelming evidence and a wrong label don't flatten the curve."""
+    return np.sign(x) * np.log1p(np.abs(x))
+
+
 def _moment_root(scores: np.ndarray, share: np.ndarray) -> float:
     """The positive root of sum(share * exp(lam * score)) = 1."""
     lo, hi = 0.0, 1.0
@@ -154,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, label: str = "toxi
             model.k = len(clean) / max(float((np.maximum(clean.n, 1) * np.exp(-model.lam * clean.best)).sum()), 1e-12)
             # The curve is fitted on what it is used for: the evidence of all significant segments.
             found = _found(last, model, "y").select("y", "evidence").toPandas()
-            model.slope, model.shift = _logistic(found.evidence.to_numpy(float), (found.y > 0).to_numpy(float))
+            model.slope, model.shift = _logistic(_damped(found.evidence.to_numpy(float)), (found.y > 0).to_numpy(float))
         return model
     finally:
         sample.unpersist()
