@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text as X
 from lorekeep.operators import search as S
-from lorekeep.operators.skew import first_by
+from lorekeep.operators.skew import cut, first_by, top_n
 from lorekeep.sources.partitions import Change, Conflict, PartitionStore
 
 ROWS = ["section_id", "entry_id", "kind", "position", "title", "account_id", "source_kind", "date", "len", "gen", "text"]
@@ -125,6 +125,32 @@ class SearchIndex:
         whole = starts.groupBy("term", "section_id", "title", "at").agg((F.count(F.lit(1)) == F.first("grams")).alias("whole")).where("whole")
         return whole.groupBy("term", "section_id").agg(F.count_if("title").alias("title_tf"), F.count_if(~F.col("title")).alias("text_tf"))
 
+    def containing(self, quotes: DataFrame, probes: int = 3) -> DataFrame:
+        """``(quote_id, section_id)`` of the sections whose text holds a quote ``(quote_id, quote)``, ignoring case.
+
+        Only postings are read to find candidates: the sections that hold the ``probes`` rarest grams of a quote. Their
+        texts are compared in full. A quote under three characters has no gram and is looked up among the pairs or single
+        characters of the texts; where there is none of these, no text is taken apart.
+        """
+        base = self.store.manifest()
+        q = quotes.select("quote_id", F.lower("quote").alias("q")).where(F.col("q") != "")
+        rows = self.store.read("rows", base.version).select("section_id", F.lower("text").alias("text"))
+        long = q.where(F.length("q") >= 3)
+        grams = long.select("quote_id", F.explode(F.array_distinct(X.windows(F.col("q"), 3))).alias("gram"))
+        asked = grams.select("gram").distinct()
+        held = self.live_postings(self.store.touched("postings", asked), base.version).where(F.size("text_at") > 0).select("gram", "section_id")
+        held = cut(held.join(asked, "gram", "left_semi"), "asked-postings")
+        count = held.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+        known = grams.join(count, "gram", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+        rare = top_n(known, ["quote_id"], [F.col("c"), F.col("gram")], probes)
+        need = rare.groupBy("quote_id").agg(F.count(F.lit(1)).alias("need"))
+        met = rare.join(held, "gram").groupBy("quote_id", "section_id").agg(F.count(F.lit(1)).alias("n")).join(need, "quote_id").where(F.col("n") == F.col("need"))
+        out = met.select("quote_id", "section_id").join(long, "quote_id").join(rows, "section_id").where(F.contains("text", "q")).select("quote_id", "section_id")
+        for n in sorted(r.n for r in q.where(F.length("q") < 3).select(F.length("q").alias("n")).distinct().collect()):
+            parts = rows.select("section_id", F.explode(F.array_distinct(X.windows(F.col("text"), n))).alias("q"))
+            out = out.unionByName(parts.join(q.where(F.length("q") == n), "q").select("quote_id", "section_id"))
+        return out
+
     def search(self, q: S.SearchQuery) -> DataFrame:
         """What ``search.search`` gives for the same rows: ``(entry_id, section_id, kind, position, score, snippet)``."""
         long, short = q.split_terms()

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from lorekeep.functions import text as X
 from lorekeep.functions.times import iso, parse_date
 from lorekeep.operators import items as I
+from lorekeep.operators.search_index import SearchIndex
+from lorekeep.operators.skew import cut
 from lorekeep.plans import query
 from lorekeep.plans.ctes import cte, grams, iso as SI, name_norm, norm
+from lorekeep.session import work_dir
+from lorekeep.sources.partitions import PartitionStore
 
 NOW = datetime(2001, 9, 1, tzinfo=UTC)
 _AT = "coalesce(i.occurred_at, e.source_updated_at, e.source_created_at, e.ingested_at)"
@@ -227,10 +231,23 @@ def candidates(v):
     return c.withColumn("similarity", F.round("similarity", 6))
 
 
-@query(
-    "j11_evidence_containment",
-    f"SELECT b.item_id AS quote_id, d.doc_id AS text_id FROM benchmark b, documents d WHERE contains({norm('d.text')}, {norm('b.text')})",
-)
+_CONTAINED = f"SELECT b.item_id AS quote_id, d.doc_id AS text_id FROM benchmark b, documents d WHERE contains({norm('d.text')}, {norm('b.text')})"
+
+
+@query("j11_indexed_containment", _CONTAINED)
+def indexed_containment(v):
+    """The same by the rarest grams of each passage in the postings of a maintained index."""
+    none = [F.lit(None).cast("string").alias(c) for c in ("account_id", "source_kind")]
+    docs = v.table("documents").select(
+        F.col("doc_id").alias("section_id"), F.col("doc_id").alias("entry_id"), F.lit("details").alias("kind"), F.lit(0).alias("position"), F.lit("").alias("title"), *none,
+        F.lit(None).cast("timestamp").alias("date"), X.match_norm(F.col("text")).alias("text"))
+    index = SearchIndex(PartitionStore(v.spark, work_dir(v.spark, "norm-index")), gram_buckets=16, row_buckets=8)
+    index.rebuild(cut(docs, "norm-texts"))
+    q = v.table("benchmark").select(F.col("item_id").alias("quote_id"), X.match_norm(F.col("text")).alias("quote"))
+    return index.containing(cut(q, "norm-quotes")).select("quote_id", F.col("section_id").alias("text_id"))
+
+
+@query("j11_evidence_containment", _CONTAINED)
 def containment(v):
     """Benchmark passages that occur in a document after match normalization."""
     q = v.table("benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))

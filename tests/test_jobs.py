@@ -146,6 +146,13 @@ def test_indexed_search_reads_few_texts(spark, tmp_path, monkeypatch):
     assert "text#" not in hits.partition("Optimized Logical Plan")[2].partition("Physical Plan")[2].replace("text_at#", "").replace("text_tf#", "")
 
 
+def test_quotes_in_the_index(spark, tmp_path):
+    rows, docs, index = _indexed(spark, tmp_path / "i")
+    quotes = ["alpha be", "GAMMA", "aaaa aaaa", "eta g", "nowhere", "a", "İx", "zz", "", "ph", "äöa"]
+    got = {(r["quote_id"], r["section_id"]) for r in index.containing(spark.createDataFrame(list(enumerate(quotes)), "quote_id int, quote string")).collect()}
+    assert got == {(k, r[0]) for k, x in enumerate(quotes) for r in rows if x and x.lower() in r[4].lower()}
+
+
 def test_search_backend(spark, tmp_path):
     e = [(i, f"Title {i}", "a", "web.page", datetime(2024, 1, 1 + i, tzinfo=UTC), datetime(2024, 2, 1, tzinfo=UTC)) for i in range(3)]
     entries = spark.createDataFrame(e, "id long, title string, account_id string, source_kind string, source_created_at timestamp, ingested_at timestamp")
