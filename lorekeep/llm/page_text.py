@@ -5,7 +5,7 @@ of text and links in its subtree, its place among its siblings and their text. G
 of being main text. Decoding is hierarchical: going up the tree, a node takes the best of "all main text", "all chrome"
 and "the best of my children", so a part of the page is never both inside and outside.
 
-The trees learn from at most ``PAGES`` pages of the table itself, twice: as they are, where elements that mean main text
+The trees learn from at most ``PAGES`` pages of at most ``LONGEST`` characters of the table itself, twice: as they are, where elements that mean main text
 by the HTML standard label it, and taken apart and set again into page frames of many kinds, whose labels are known.
 Every page is then read whole, by the task that holds it.
 
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import arrow_batches, table
 
 PAGES, TREES, DEPTH, BINS, RATE, SWITCH = 200, 40, 4, 24, 0.25, 1.0
+#: Characters of a page that the trees may learn from, and nodes of small pages that are scored together.
+LONGEST, NODES = 200_000, 20_000
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr label".split())
@@ -71,6 +73,9 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("#page", -1, 0, [], None)]
         self.open: list[tuple[str, int]] = [("#page", 0)]
+        # Places in ``open`` by tag, of blocks, and of blocks that are no paragraphs, so that no tag walks what is open.
+        self.at: dict[str, list[int]] = {}
+        self.blocks, self.walls = [0], [0]
         self.unseen = self.links = 0
         self.texts: list[tuple[int, str]] = []
         self.run: list[str] = []
@@ -95,10 +100,23 @@ class Tree(HTMLParser):
         tag, _ = self.open[-1]
         if tag not in INLINE:
             self._flush()
+            self.blocks.pop()
+            if tag != "p":
+                self.walls.pop()
+        self.at[tag].pop()
         self.open.pop()
         self.unseen -= tag in UNSEEN
         self.links -= tag == "a"
 
+    def _push(self, tag: str, node: int) -> None:
+        place = len(self.open)
+        self.at.setdefault(tag, []).append(place)
+        if tag not in INLINE:
+            self.blocks.append(place)
+            if tag != "p":
+                self.walls.append(place)
+        self.open.append((tag, node))
+
     def _end_head(self) -> None:
         while self.open[-1][0] == "head":
             self._pop()
@@ -113,15 +131,12 @@ class Tree(HTMLParser):
             if not inline:
                 self._flush()
             return
-        names = [t for t, _ in self.open]
+        # The nearest open element that this tag ends, unless a block other than a paragraph stands above it.
         ended = ENDS.get(tag) or (set() if tag in KEEPS_P else {"p"})
-        for at in range(len(names) - 1, 0, -1):
-            if names[at] in ended:
-                while len(self.open) > at:
-                    self._pop()
-                break
-            if names[at] not in INLINE and names[at] not in ("p",):
-                break
+        last = max((self.at[t][-1] for t in ended if self.at.get(t)), default=0)
+        if last and last >= self.walls[-1]:
+            while len(self.open) > last:
+                self._pop()
         if tag == "body":  # a head that was never closed
             while self.unseen:
                 self._pop()
@@ -129,7 +144,7 @@ class Tree(HTMLParser):
             self._flush()
         parent = self.open[-1][1]
         if inline:
-            self.open.append((tag, parent))
+            self._push(tag, parent)
         else:
             held = dict(attrs)
             said = " ".join(str(held.get(a) or "") for a in ("class", "id", "role"))
@@ -144,18 +159,16 @@ class Tree(HTMLParser):
                 label = 0
             self.nodes.append(Node(tag, parent, self.nodes[parent].depth + 1, tokens, label))
             self.nodes[parent].kids.append(len(self.nodes) - 1)
-            self.open.append((tag, len(self.nodes) - 1))
+            self._push(tag, len(self.nodes) - 1)
         self.unseen += tag in UNSEEN
         self.links += tag == "a"
 
     def handle_endtag(self, tag: str) -> None:
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] == tag:
-                while len(self.open) > at:
-                    self._pop()
-                return
-            if tag in INLINE and self.open[at][0] not in INLINE:
-                return
+        places = self.at.get(tag)
+        if places and not (tag in INLINE and self.blocks[-1] > places[-1]):
+            last = places[-1]
+            while len(self.open) > last:
+                self._pop()
 
     def handle_data(self, data: str) -> None:
         if data.strip():
@@ -381,7 +394,7 @@ def fit(pages: DataFrame, html_col="html", rows: int = PAGES) -> Boosted | None:
                 x, y, w = (np.concatenate(a).astype("<f4") for a in zip(*held))
                 yield pd.DataFrame({"x": [x.tobytes()], "y": [y.tobytes()], "w": [w.tobytes()]})
 
-    some = pages.select(F.col(html_col).alias("html")).where("html <> ''").orderBy(F.xxhash64("html")).limit(rows)
+    some = pages.select(F.col(html_col).alias("html")).where((F.col("html") != "") & (F.length("html") <= LONGEST)).orderBy(F.xxhash64("html")).limit(rows)
     got = some.mapInPandas(task, "x binary, y binary, w binary").toPandas()
     if not len(got):
         return None
@@ -397,15 +410,20 @@ def main_text(pages: DataFrame, model: Boosted | None, html_col="html", keep=("p
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trees = [Tree(html) for html in batch.column("html").to_pylist()]
-            texts, at = [], 0
-            if trees and model is not None:
-                odds = model.odds(np.concatenate([t.features() for t in trees]))
+            texts: list[str] = []
+            trees: list[Tree] = []
+            pages_left = batch.num_rows
+            for html in batch.column("html").to_pylist() if model is not None else ():
+                trees.append(Tree(html))
+                pages_left -= 1
+                if pages_left and sum(len(t.nodes) for t in trees) < NODES:
+                    continue
+                odds, at = model.odds(np.concatenate([t.features() for t in trees])), 0
                 for t in trees:
                     texts.append(t.decode(odds[at : at + len(t.nodes)]))
                     at += len(t.nodes)
-            else:
-                texts = [""] * len(trees)
+                trees = []
+            texts = texts if model is not None else [""] * batch.num_rows
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string())], [*keep, "text"])
 
     rows = pages.select(*keep, F.coalesce(F.col(html_col), F.lit("")).alias("html"))

@@ -6,6 +6,7 @@ import html as entities
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -221,6 +222,15 @@ def test_frames_never_seen_in_training(spark):
     assert good / every > 0.9
 
 
+def test_nesting_takes_time_by_its_length():
+    def seconds(n):
+        start = time.process_time()
+        page_text.Tree("<b></i>" * n + "<div>" * n + "</span>" * n)
+        return time.process_time() - start
+
+    assert seconds(20_000) < 30 * max(seconds(2_000), 0.02)
+
+
 def test_broken_and_empty_pages(spark):
     rows = [(1, "u", None, "x"), (2, "u", "", "x"), (3, "u", "<p>a<p>b &amp; c<br>d<script>'</p>'<", "x"), (4, "u", "</div></p>text<article><b>x</article>", "x"), (1, "u", None, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
