@@ -26,7 +26,14 @@ def stateful(spark: SparkSession) -> SparkSession:
 
 
 def read_table(spark: SparkSession, folder: str, file: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A parquet file or file pattern of a folder as a stream, with its timestamps as instants."""
+    """A parquet table or file pattern of a folder as a stream, with its timestamps as instants.
+
+    A table is one file or a folder of files.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{file}")
+    held = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    if held and all(f.isDirectory() for f in held):
+        folder, file = f"{folder}/{file}", "*"
     static = spark.read.option("pathGlobFilter", file).parquet(folder)
     r = spark.readStream.schema(static.schema).option("pathGlobFilter", file)
     if files_per_trigger:
