@@ -31,11 +31,15 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Change:
-    """Rows for a table: the whole content of ``buckets`` (all where None), or with ``append`` more rows of theirs."""
+    """Rows for a table: the whole content of ``buckets`` (all where None), or with ``append`` more rows of theirs.
+
+    With ``local`` every task writes its own file for each bucket and no row is moved: for rows that are large and many.
+    """
 
     rows: DataFrame
     buckets: Sequence[int] | None = None
     append: bool = False
+    local: bool = False
 
 
 @dataclass
@@ -130,17 +134,21 @@ class PartitionStore:
 
     # -- writing -------------------------------------------------------------------------------------------------
 
-    def _write(self, table: str, keys: Sequence[str], buckets: int, rows: DataFrame) -> tuple[str, dict[str, list[str]]]:
+    def _write(self, table: str, keys: Sequence[str], buckets: int, rows: DataFrame, local: bool = False) -> tuple[str, dict[str, list[str]]]:
         folder = f"data/{table}/{uuid.uuid4().hex}"
         at = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-        rows.withColumn(BUCKET, at).hint("rebalance", F.col(BUCKET)).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+        placed = rows.withColumn(BUCKET, at)
+        (placed if local else placed.hint("rebalance", F.col(BUCKET))).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
         names = [f.getPath().getName() for f in self._list(folder)]
         return folder, {n.partition("=")[2]: [f"{folder}/{n}"] for n in names if n.startswith(f"{BUCKET}=")}
 
-    def create(self, tables: Mapping[str, tuple[DataFrame, Sequence[str], int]], facts: Mapping | None = None) -> bool:
-        """The first version: for each table its rows, key columns and number of buckets. False where a version exists."""
+    def create(self, tables: Mapping[str, tuple[DataFrame, Sequence[str], int]], facts: Mapping | None = None, local: Sequence[str] = ()) -> bool:
+        """The first version: for each table its rows, key columns and number of buckets. False where a version exists.
+
+        The tables named by ``local`` are written as a local ``Change`` is.
+        """
         first = Manifest(0, {n: {"keys": list(k), "buckets": b, "schema": rows.schema.jsonValue(), "parts": {}} for n, (rows, k, b) in tables.items()})
-        return self._commit(first, {n: Change(rows) for n, (rows, _, _) in tables.items()}, facts)
+        return self._commit(first, {n: Change(rows, local=n in local) for n, (rows, _, _) in tables.items()}, facts)
 
     def commit(self, base: int, changes: Mapping[str, Change], facts: Mapping | None = None) -> int:
         """Publishes version ``base + 1``; raises ``Conflict`` where another writer has done so."""
@@ -153,7 +161,7 @@ class PartitionStore:
         for name, change in changes.items():
             t = following.tables[name]
             columns = [f["name"] for f in t["schema"]["fields"]]
-            folder, parts = self._write(name, t["keys"], t["buckets"], change.rows.select(*columns))
+            folder, parts = self._write(name, t["keys"], t["buckets"], change.rows.select(*columns), change.local)
             written.append(folder)
             if change.buckets is not None and (stray := set(parts) - {str(b) for b in change.buckets}):
                 raise ValueError(f"rows of {name} belong to buckets {sorted(stray)} that the change does not name")
