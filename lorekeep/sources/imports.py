@@ -66,8 +66,10 @@ def validate(lines: DataFrame, accounts: DataFrame, mapping: dict[str, str] | No
     for kind, account in (mapping or {}).items():
         mapped = F.when(F.col("need") == kind, account).otherwise(mapped)
     p = p.withColumn("account_id", F.coalesce(F.col("r.account"), mapped))
+    # All lines of an account share its id, so a shuffled join would give them to one task. The accounts are what a user has
+    # set up, a small table whatever the size of the import, and go to the lines.
     a = accounts.select(F.col("id").alias("account_id"), F.col("kind").alias("_kind"))
-    p = p.join(a, "account_id", "left")
+    p = p.join(F.broadcast(a), "account_id", "left")
     sections = F.coalesce(F.col("r.sections"), F.array())
     bad_raw = F.exists(F.coalesce("r.raw", F.array()), lambda x: ~F.coalesce(safe_path(x["path"]), F.lit(False)))
     ok_kind = (F.col("_kind") == F.col("need")) | ((F.col("need") == "imap") & (F.col("_kind") == "google"))
@@ -101,7 +103,8 @@ def merge(valid: DataFrame, entries: DataFrame, sections: DataFrame, now: dateti
     )
     want = F.array_sort(F.transform("sections", lambda s: F.concat_ws("\u0001", s["kind"], F.coalesce(s["origin"], F.lit("generated")), s["text"])))
     have = sections.groupBy(F.col("entry_id").alias("id")).agg(F.array_sort(F.collect_list(F.concat_ws("\u0001", "kind", "origin", "text"))).alias("_have"))
-    j = rec.withColumn("_want", want).join(entries, keys, "left").join(have, "id", "left")
+    # By the entry first: new records have no id yet, and a join on it would give them all to one task.
+    j = rec.withColumn("_want", want).join(entries.join(have, "id", "left"), keys, "left")
     merged_meta = jsonx.overlay(F.coalesce("metadata", F.lit("{}")), F.col("_meta"))
     ref = jsonx.get("_meta", "import_ref")
     same = (F.col("title") == F.col("_title")) & (_canonical(F.col("metadata")) == _canonical(merged_meta))
