@@ -134,11 +134,24 @@ class PartitionStore:
 
     # -- writing -------------------------------------------------------------------------------------------------
 
+    def _write_local(self, placed: DataFrame, folder: str, buckets: int) -> None:
+        """A file for each task and bucket, all of a task open together, so that its rows are not sorted by bucket."""
+        key = "spark.sql.maxConcurrentOutputFileWriters"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, str(buckets))
+        try:
+            placed.write.partitionBy(BUCKET).parquet(folder)
+        finally:
+            self.spark.conf.set(key, before)
+
     def _write(self, table: str, keys: Sequence[str], buckets: int, rows: DataFrame, local: bool = False) -> tuple[str, dict[str, list[str]]]:
         folder = f"data/{table}/{uuid.uuid4().hex}"
         at = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
         placed = rows.withColumn(BUCKET, at)
-        (placed if local else placed.hint("rebalance", F.col(BUCKET))).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+        if local:
+            self._write_local(placed, f"{self.path}/{folder}", buckets)
+        else:
+            placed.hint("rebalance", F.col(BUCKET)).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
         names = [f.getPath().getName() for f in self._list(folder)]
         return folder, {n.partition("=")[2]: [f"{folder}/{n}"] for n in names if n.startswith(f"{BUCKET}=")}
 
