@@ -10,9 +10,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Characters below U+0100 that NFKC leaves alone; anything else goes through the Python normalizer.
-_NEEDS_NFKC = r"[^\x{00}-\x{9F}\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{FF}]"
-_SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+# NFKC leaves alone what is below U+0100, but for these; anything else goes through the Python normalizer. One range and
+# single characters are two quick tests, a class of many ranges takes ten times as long for each character.
+_WIDE = r"[^\x{00}-\x{FF}]"
+_NARROW = "[\xa0\xa8\xaa\xaf\xb2\xb3\xb4\xb5\xb8\xb9\xba\xbc\xbd\xbe]"
+_BLANK = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SPACE = f"[{_BLANK}]+"
+_NARROW_BLANK = "\t\n\x0b\f\r\x85"
+_MARKS = "*_`~"
+# Upper case below U+0100; a text without other characters needs no case mapping of the whole of Unicode.
+_UPPER = "".join(chr(i) for i in [*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)])
 _CJK = r"[\x{3000}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]"
 
 
@@ -23,19 +30,21 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 def nfkc(c: Column) -> Column:
     """NFKC. Only texts that can change reach Python; the rest stay in the JVM as nulls of the batch."""
-    needs = needs_nfkc(c)
-    return F.when(needs, _nfkc(F.when(needs, c))).otherwise(c)
+    return F.coalesce(_nfkc(F.when(needs_nfkc(c), c)), c)
 
 
 def match_norm(c: Column) -> Column:
     """Text for matching: NFKC, lower case, emphasis marks dropped, white space collapsed and trimmed."""
-    plain = F.regexp_replace(F.lower(nfkc(c)), r"[*_`~]", "")
-    return F.trim(F.regexp_replace(plain, _SPACE, " "))
+    odd = F.regexp_replace(F.lower(_nfkc(F.when(needs_nfkc(c), c))), f"[{_MARKS}]", "")
+    plain = F.translate(c, _UPPER + _MARKS, _UPPER.lower())
+    # A blank alone stays as it is: only longer runs and other white space are replaced.
+    narrow = F.regexp_replace(plain, f"[ {_NARROW_BLANK}]{{2,}}|[{_NARROW_BLANK}]", " ")
+    return F.trim(F.coalesce(F.regexp_replace(odd, _SPACE, " "), narrow))
 
 
 def needs_nfkc(c: Column) -> Column:
     """Whether NFKC can change a text at all."""
-    return c.rlike(_NEEDS_NFKC)
+    return c.rlike(_WIDE) | c.rlike(_NARROW)
 
 
 def plain_name(c: Column) -> Column:
@@ -48,9 +57,12 @@ def name_norm(c: Column) -> Column:
     return plain_name(nfkc(c))
 
 
-def windows(c: Column, n: int) -> Column:
-    """Every window of ``n`` characters, in order. One linear pass; ``substring`` per position would be quadratic."""
-    pattern = r"(?s)(?=([^\x{DC00}-\x{DFFF}].{%d}))" % (n - 1)
+def windows(c: Column, n: int, first: str = "") -> Column:
+    """Every window of ``n`` characters, in order, or those that begin with the character ``first``.
+
+    One linear pass; ``substring`` per position would be quadratic.
+    """
+    pattern = r"(?s)(?=(%s.{%d}))" % (first or r"[^\x{DC00}-\x{DFFF}]", n - 1)
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
 
 
