@@ -699,20 +699,24 @@ def refresh_aliases(accounts: DataFrame, directory: DataFrame, people: DataFrame
 def evidence_containment(quotes: DataFrame, texts: DataFrame, min_gram: int = 8) -> DataFrame:
     """Corpus-wide containment: ``(quote_id, text_id)`` where the normalized quote occurs in the normalized text.
 
-    Every quote is looked up by its first ``min_gram`` characters (all of a shorter one), so only texts that hold those
-    characters are compared in full. ``quotes`` are short; the texts may be of any length.
+    A quote is looked up by its first ``min_gram`` characters that start with a blank, among those of the texts: about one
+    place of a text in six. A quote without such characters is looked up by its first ``min_gram`` ones at every place (all
+    of a shorter one). Only texts that hold these are compared in full. ``quotes`` are short; the texts may be of any length.
     """
     q = quotes.select("quote_id", X.match_norm(F.col("quote")).alias("q")).where(F.col("q") != "")
-    size = F.least(F.length("q"), F.lit(min_gram))
-    probe = q.select("quote_id", "q", size.alias("n"), F.substring("q", F.lit(1), size).alias("g"))
-    sizes = [r["n"] for r in probe.select("n").distinct().orderBy("n").limit(min_gram).collect()]
-    t = texts.select("text_id", X.match_norm(F.col("text")).alias("t"))
+    at = F.instr("q", " ")
+    led = (at > 0) & (F.length("q") - at + 1 >= min_gram)
+    size = F.when(led, min_gram).otherwise(F.least(F.length("q"), F.lit(min_gram)))
+    probe = cut(q.select("quote_id", "q", led.alias("led"), size.alias("n"), F.substring("q", F.when(led, at).otherwise(1), size).alias("g")), "containment-probes")
+    # At most as many passes as there are lengths up to the probe's, and the one of blanks.
+    passes = [(r["led"], r["n"]) for r in probe.select("led", "n").distinct().orderBy("led", "n").limit(min_gram + 1).collect()]
+    if not passes:
+        return texts.select(F.lit(None).cast(quotes.schema["quote_id"].dataType).alias("quote_id"), "text_id").limit(0)
+    t = cut(texts.select("text_id", X.match_norm(F.col("text")).alias("t")), "containment-texts")
     out = None
-    for n in sizes:
-        g = F.array_distinct(X.windows(F.col("t"), n))
+    for led, n in passes:
+        g = F.array_distinct(X.windows(F.col("t"), n, " " if led else ""))
         gl = t.select("text_id", F.explode(g).alias("g"))
-        hit = gl.join(probe.where(F.col("n") == n), "g").select("quote_id", "q", "text_id")
+        hit = gl.join(probe.where((F.col("led") == led) & (F.col("n") == n)), "g").select("quote_id", "q", "text_id")
         out = hit if out is None else out.unionByName(hit)
-    if out is None:
-        return q.select("quote_id", F.lit(None).cast("long").alias("text_id")).limit(0)
     return out.join(t, "text_id").where(F.contains("t", "q")).select("quote_id", "text_id").distinct()
