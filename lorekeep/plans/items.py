@@ -306,10 +306,13 @@ def draft_outputs(v):
     return d.select("doc_id", F.col("text").alias("body"), F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nDone.")).alias("output"))
 
 
+def _parsed(v):
+    return I.parse_output(draft_outputs(v)).select(F.col("doc_id").alias("entry_id"), "body", "drafts")
+
+
 def _validated(v):
     e = v.entries.select(F.col("id").alias("entry_id"), "source_kind", "source_id", "title", "metadata", "source_created_at", "source_updated_at")
-    parsed = I.parse_output(draft_outputs(v)).select(F.col("doc_id").alias("entry_id"), "body", "drafts")
-    return I.validate(parsed.join(e, "entry_id"))
+    return I.validate(_parsed(v).join(e, "entry_id"))
 
 
 _NB = norm("d.text")
@@ -351,7 +354,7 @@ def validate(v):
 )
 def counts(v):
     """Kept, downgraded and dropped drafts per entry."""
-    return I.validation_counts(_validated(v))
+    return I.validation_counts(I.judge(_parsed(v)))
 
 
 @query(
