@@ -7,6 +7,7 @@ tables of one step change in one version, and a step that loses to another write
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import replace as replace_
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,9 @@ from lorekeep.sources.partitions import Change, Conflict, Manifest, PartitionSto
 #: Columns that place the rows of each table.
 KEYS = {"entries": U.KEY, "sections": ["entry_id"], "items": ["entry_id"], "summaries": ["entry_id"], "ledger": ["entry_id"]}
 
+#: Tables whose rows hold whole texts: each task writes what it has, so that a commit does not move them to place them.
+LOCAL = {"sections"}
+
 
 class CatalogStore:
     """Tables of the catalog over a ``PartitionStore``; ``top_id`` of a version is the highest entry id ever given."""
@@ -27,7 +31,7 @@ class CatalogStore:
 
     def create(self, tables: Mapping[str, DataFrame], buckets: int) -> bool:
         top = tables["entries"].agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0] if "entries" in tables else -1
-        return self.store.create({n: (df, KEYS[n], buckets) for n, df in tables.items()}, {"top_id": int(top)})
+        return self.store.create({n: (df, KEYS[n], buckets) for n, df in tables.items()}, {"top_id": int(top)}, LOCAL & set(tables))
 
     def read(self, table: str) -> DataFrame:
         return self.store.read(table)
@@ -56,7 +60,7 @@ class CatalogStore:
     def write_sections(self, drafts: DataFrame, origin: str, replace: bool) -> int:
         """``write_sections`` on the buckets of the entries that have drafts."""
         step = lambda rows: U.write_sections(rows, drafts, origin, replace)
-        return self._step(lambda base: ({"sections": self.store.update("sections", drafts.select("entry_id"), step)}, {}))
+        return self._step(lambda base: ({"sections": replace_(self.store.update("sections", drafts.select("entry_id"), step), local=True)}, {}))
 
     def commit_summaries(self, done: DataFrame, now: datetime) -> int:
         """Sections, items, summaries and status of finished entries in their buckets, and their ledger rows added."""
@@ -68,6 +72,6 @@ class CatalogStore:
             buckets = {"entries": self.store.touched("entries", keys), "items": self.store.touched("items", ids), "summaries": self.store.touched("summaries", ids), "sections": own}
             held = {n: self.store.read(n, base.version, b) for n, b in buckets.items()}
             after = U.commit_summaries(held | {"ledger": self.store.read("ledger", base.version, [])}, done, now)
-            return {n: Change(after[n], b) for n, b in buckets.items()} | {"ledger": Change(after["ledger"], append=True)}, {}
+            return {n: Change(after[n], b, local=n in LOCAL) for n, b in buckets.items()} | {"ledger": Change(after["ledger"], append=True)}, {}
 
         return self._step(make)

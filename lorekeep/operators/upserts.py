@@ -163,17 +163,22 @@ def write_sections(current: DataFrame, drafts: DataFrame, origin: str, replace:
     """Next sections after writing drafts of one origin: never over a higher origin, an equal one is overwritten.
 
     With ``replace`` the sections of that origin of the touched entries go first. ``drafts(entry_id, kind, text)``,
-    later ones (``version``) win; blank ones are ignored.
+    later ones (``version``) win; blank ones are ignored. A table has one section of an entry and kind.
     """
-    touched = drafts.select("entry_id").distinct().withColumn("_t", F.lit(True))
-    base = current
+    # Rows of a higher origin stay whatever the drafts say, and keep drafts of their kind out: their texts are not moved.
+    ranked = origin_rank(F.col("origin"))
+    above = ranked > ORIGIN_RANK[origin]
+    columns = ["entry_id", "kind", "origin", "text"]
+    higher = current.where(above).select(*columns)
+    base = current.where(~above)
     if replace:
+        touched = drafts.select("entry_id").distinct().withColumn("_t", F.lit(True))
         base = base.join(touched, "entry_id", "left").where(~(F.coalesce("_t", F.lit(False)) & (F.col("origin") == origin))).drop("_t")
-    old = base.select("entry_id", "kind", "origin", "text", F.lit(-1).cast("long").alias("version"))
+    old = base.select(*columns, F.lit(-1).cast("long").alias("version"))
     new = drafts.where(F.trim("text") != "").select("entry_id", "kind", F.lit(origin).alias("origin"), "text", F.col("version").cast("long").alias("version"))
-    best = F.struct(origin_rank(F.col("origin")), "version")
-    win = first_by(old.unionByName(new), ["entry_id", "kind"], best, descending=True)
-    return win.select("entry_id", "kind", "origin", position(F.col("kind")).alias("position"), "text")
+    open_ = old.unionByName(new).join(higher.select("entry_id", "kind").distinct(), ["entry_id", "kind"], "left_anti")
+    win = first_by(open_, ["entry_id", "kind"], F.struct(ranked, "version"), descending=True).select(*columns)
+    return higher.unionByName(win).select("entry_id", "kind", "origin", position(F.col("kind")).alias("position"), "text")
 
 
 # -- summaries ------------------------------------------------------------------------------------------------
