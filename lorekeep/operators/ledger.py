@@ -200,7 +200,8 @@ def chunks(body: Column, limit: int) -> Column:
     packed = F.aggregate(_units(body, limit), F.struct(none.alias("done"), F.lit("").alias("open")), add, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
     # White space at the end of a chunk goes, and a last chunk of nothing else.
     ends = F.transform(packed, lambda c: F.regexp_replace(c, r"\s+$", ""))
-    kept = F.when(F.element_at(ends, -1) == "", F.slice(ends, 1, F.size(ends) - 1)).otherwise(ends)
+    # Under the name of a lambda the chunks are made once for all that is asked of them.
+    kept = F.transform(F.array(ends), lambda e: F.when(F.element_at(e, -1) == "", F.slice(e, F.lit(1), F.size(e) - 1)).otherwise(e))[0]
     return F.when(F.length(body) > limit, kept).otherwise(F.array(body))
 
 
@@ -254,17 +255,34 @@ def summarize(
     function runs once for every chunk: its outputs are written before they are merged.
     """
     cut_up = inputs.select("entry_id", chunks(F.col("body"), limit).alias("c"))
-    rows = cut_up.select("entry_id", F.size("c").alias("n_chunks"), F.posexplode("c").alias("chunk_no", "text"))
+    # The outer form asks nothing of the array beforehand, so that a body is cut once.
+    rows = cut_up.select("entry_id", F.size("c").alias("n_chunks"), F.posexplode_outer("c").alias("chunk_no", "text")).where(F.col("chunk_no").isNotNull())
     out = cut(rows.select("entry_id", "chunk_no", "n_chunks", "text").mapInPandas(on_chunks, schema), "chunk-outputs")
     names = schema.fieldNames()
 
-    def merged(key: tuple, outputs: pd.DataFrame) -> pd.DataFrame:
-        one = merge(outputs.sort_values("chunk_no")[names])
-        return one.assign(chunk_no=key[1])
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come by entry and part; the last group of a batch may go on in the next one, so it waits for that.
+        def closed(pdf: pd.DataFrame) -> pd.DataFrame:
+            made = pd.concat([merge(g[names]).assign(chunk_no=part) for (_, part), g in pdf.groupby(["entry_id", "part"], sort=False)])[names]
+            # Joined texts would reach Arrow in pieces.
+            return made.astype({c: object for c in names if isinstance(made[c].dtype, pd.StringDtype)})
+
+        held = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            last = (pdf["entry_id"] == pdf["entry_id"].iloc[-1]) & (pdf["part"] == pdf["part"].iloc[-1])
+            held = pdf[last]
+            if not last.all():
+                yield closed(pdf[~last])
+        if held is not None:
+            yield closed(held)
 
     many = out.where(F.col("n_chunks") > 1)
     left = many.agg(F.coalesce(F.max("chunk_no"), F.lit(0)) + 1).first()[0]
     while left > 1:
-        many = many.groupBy("entry_id", F.floor(F.col("chunk_no") / fan_in).alias("part")).applyInPandas(merged, schema)
+        parts = many.withColumn("part", F.floor(F.col("chunk_no") / fan_in))
+        many = parts.repartition("entry_id", "part").sortWithinPartitions("entry_id", "part", "chunk_no").mapInPandas(merged, schema)
         left = -(-left // fan_in)
     return out.where(F.col("n_chunks") == 1).unionByName(many)
