@@ -14,6 +14,10 @@ REQUIRED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # A shuffle is dealt into many parts first and Spark joins small ones, so that what one task sorts or groups does not
+    # grow with the table where a session has few shuffle partitions.
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "400",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # A union that keeps the partitioning of its sides can meet an adaptive plan with other partition counts.
     "spark.sql.unionOutputPartitioning": "false",
