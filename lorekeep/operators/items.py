@@ -302,44 +302,61 @@ def in_range(since: datetime | None, until: datetime | None) -> Column:
 # -- candidate closers ----------------------------------------------------------------------------------------
 
 
+def _odd() -> Column:
+    """Whether NFKC can change a name of the item. Nearly all names have as many bytes as characters, which is quick to see."""
+    names = F.concat_ws(" ", "actors", "owner", "requester")
+    return (F.octet_length(names) != F.length(names)) & X.needs_nfkc(names)
+
+
+def _group(name: Column, kind: Column) -> Column:
+    """Key of a group. Digits of its hash come first: sorts compare eight bytes before the rest, and names begin alike."""
+    return F.concat(F.lpad(F.hex(F.xxhash64(name)), 8, "0"), name, kind)
+
+
 def _groups(items: DataFrame) -> DataFrame:
     """One row per item and group it belongs to: its scope, and every person on it.
 
-    Names that NFKC cannot change are normalized in place; only items with other ones go through Python and a join.
+    Names that NFKC cannot change are normalized in place; only items that are ``odd`` go through Python and a join.
     """
-    facts = ["side", "id", "entry_id", "at", "txt"]
-    people = F.filter(F.concat(F.col("actors"), F.array("owner", "requester")), lambda p: p.isNotNull())
-    rows = items.select(*facts, "scope_key", F.array_distinct(people).alias("refs"))
-    odd = F.exists("refs", lambda p: X.needs_nfkc(p))
+    facts = ["id", "entry_id", "at", "txt"]
+    actors = F.coalesce("actors", F.array().cast("array<string>"))
+    people = F.filter(F.concat(actors, F.array("owner", "requester")), lambda p: p.isNotNull())
+    rows = items.select(*facts, "odd", "scope_key", F.array_distinct(people).alias("refs"))
     names = F.array_distinct(F.transform("refs", lambda p: X.plain_name(p)))
-    keys = F.transform(F.filter(names, lambda n: n != ""), lambda n: F.concat(F.lit("p:"), n))
-    scope = F.array(F.concat(F.lit("s:"), "scope_key"))
-    plain = rows.where(~odd).select(*facts, F.explode(F.concat(scope, keys)).alias("grp"))
-    special = rows.where(odd)
+    plain = rows.where(~F.col("odd")).select(*facts, F.posexplode(F.concat(F.array("scope_key"), names)).alias("i", "n"))
+    plain = plain.where("n <> '' or i = 0").select(*facts, _group(F.col("n"), F.when(F.col("i") == 0, ":s").otherwise(":p")).alias("grp"))
+    special = rows.where("odd")
     spelled = special.select(*facts, F.explode("refs").alias("ref"))
     named = spelled.select("ref").distinct().select("ref", X.name_norm(F.col("ref")).alias("n")).where(F.col("n") != "")
-    by_person = spelled.join(named, "ref").select(*facts, F.concat(F.lit("p:"), "n").alias("grp")).distinct()
-    return plain.unionByName(special.select(*facts, scope[0].alias("grp"))).unionByName(by_person)
+    by_person = spelled.join(named, "ref").select(*facts, _group(F.col("n"), F.lit(":p")).alias("grp")).distinct()
+    return plain.unionByName(special.select(*facts, _group(F.col("scope_key"), F.lit(":s")).alias("grp"))).unionByName(by_person)
 
 
 def _similar_texts(left: DataFrame, right: DataFrame, texts: DataFrame, minimum: float) -> DataFrame:
-    """Pairs of distinct texts that meet in a group and reach the similarity: ``(grp, slot, lt, rt, similarity)``.
+    """Pairs of distinct texts that meet in a place and reach the similarity: ``(grp, slot, lt, rt, similarity)``.
 
-    Prefix filter: with grams in one global order, rarest first, two sets of similarity >= m share a gram among the
-    first ``n - ceil(m n) + 1`` of each. Only pairs with such a gram and compatible sizes are compared, once per pair
-    of texts however many groups they meet in.
+    Where a place (group and slot) has so few texts that all its pairs are fewer rows than their grams, the pairs are
+    taken as they are. Elsewhere a prefix filter holds: with grams in one global order, rarest first, two sets of
+    similarity >= m share a gram among the first ``n - ceil(m n) + 1`` of each, so only pairs with such a gram and
+    compatible sizes meet. Texts are compared once per pair, however many places they meet in.
     """
+    place = ["grp", "slot"]
+    sides = [df.groupBy(*place).agg(F.count(F.lit(1)).alias(n)) for df, n in ((left, "nl"), (right, "nr"))]
+    few = F.col("nl") * F.col("nr") <= 4 * (F.col("nl") + F.col("nr"))
+    places = cut(sides[0].join(sides[1], place).select(*place, few.alias("few")), "closer-places")
+    small, large = places.where("few").drop("few"), places.where(~F.col("few")).drop("few")
+    direct = small.join(left, place).join(right, place).select(*place, "lt", "rt")
     gram_rows = texts.select("txt", F.explode("grams").alias("g"))
     df = gram_rows.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     ordered = gram_rows.join(df, "g").groupBy("txt").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
     n = F.size("o")
     keep = n - F.ceil(F.lit(minimum) * n - 1e-9).cast("int") + 1
     prefix = ordered.select("txt", n.alias("n"), F.explode(F.transform(F.slice("o", F.lit(1), keep), lambda x: x["g"])).alias("g"))
-    lp = left.join(prefix.withColumnsRenamed({"txt": "lt", "n": "ln"}), "lt")
-    rp = right.join(prefix.withColumnsRenamed({"txt": "rt", "n": "rn"}), "rt")
+    lp = left.join(large, place, "left_semi").join(prefix.withColumnsRenamed({"txt": "lt", "n": "ln"}), "lt")
+    rp = right.join(large, place, "left_semi").join(prefix.withColumnsRenamed({"txt": "rt", "n": "rn"}), "rt")
     sizes = (F.col("rn") >= F.col("ln") * minimum - 1e-9) & (F.col("ln") >= F.col("rn") * minimum - 1e-9)
-    met = lp.join(rp, ["grp", "slot", "g"]).where(sizes).select("grp", "slot", "lt", "rt").distinct()
-    met = cut(met, "met-texts")
+    shared = lp.join(rp, [*place, "g"]).where(sizes).select(*place, "lt", "rt").distinct()
+    met = cut(direct.unionByName(shared), "met-texts")
     lg = texts.select(F.col("txt").alias("lt"), F.col("grams").alias("lg"))
     rg = texts.select(F.col("txt").alias("rt"), F.col("grams").alias("rg"))
     pairs = met.select("lt", "rt").distinct()
@@ -377,47 +394,51 @@ def candidates(
     cols = ["id", "entry_id", "text", "scope_key", "actors", "owner", "requester"]
     at = F.unix_timestamp("occurred_at").alias("at")
     sides = targets.select(F.lit(0).alias("side"), *cols, at).unionByName(pool.select(F.lit(1).alias("side"), *cols, at))
-    sides = cut(sides.where(F.col("at").isNotNull()).withColumn("txt", F.xxhash64("text")), "closer-items")
+    sides = cut(sides.where(F.col("at").isNotNull()).withColumns({"txt": F.xxhash64("text"), "odd": _odd()}), "closer-items")
     texts = sides.select("txt", "text").dropDuplicates(["txt"]).select("txt", X.match_norm(F.col("text")).alias("norm"))
     texts = cut(texts.where(F.col("norm") != "").select("txt", X.grams(F.col("norm")).alias("grams")), "closer-texts")
-    groups = cut(_groups(sides), "closer-groups")
     slot = F.floor(F.col("at") / window_secs)
-    tg = groups.where(F.col("side") == 0).select(
+    tg = cut(_groups(sides.where(F.col("side") == 0)).select(
         "grp", slot.alias("slot"), F.col("txt").alias("lt"), F.col("id").alias("tid"), F.col("entry_id").alias("te"), F.col("at").alias("tt")
+    ), "closer-targets")
+    # Only closers of a group and window that has a target are looked at any further. Slots meet by eras of four, so that
+    # a closer is moved once for both slots it can serve: its own and the one before.
+    era = lambda c: F.floor(c / 4)
+    eras = F.explode(F.array_distinct(F.array(era(F.col("slot")), era(F.col("slot") + 1)))).alias("era")
+    asked = tg.select("grp", "slot").distinct().select("grp", "slot", eras).groupBy("grp", "era").agg(F.collect_set("slot").alias("slots"))
+    pg = _groups(sides.where(F.col("side") == 1)).select(
+        "grp", slot.alias("own"), F.col("txt").alias("rt"), F.col("id").alias("pid"), F.col("entry_id").alias("pe"), F.col("at").alias("pt")
     )
-    pg = groups.where(F.col("side") == 1).select(
-        "grp", F.col("txt").alias("rt"), F.col("id").alias("pid"), F.col("entry_id").alias("pe"), F.col("at").alias("pt")
-    )
-    own = F.floor(F.col("pt") / window_secs)
-    slots = F.explode(F.array(own, own - 1)).alias("slot")
-    # Only groups and windows that have both a target and a closer are looked at any further.
-    places = tg.select("grp", "slot").distinct()
-    right = pg.select("grp", "rt", slots).join(places, ["grp", "slot"], "left_semi").distinct()
-    left = tg.select("grp", "slot", "lt").join(right.select("grp", "slot"), ["grp", "slot"], "left_semi").distinct()
+    served = F.explode(F.array_intersect(F.array("own", F.col("own") - 1), "slots")).alias("slot")
+    pg = cut(pg.withColumn("era", era(F.col("own"))).join(asked, ["grp", "era"]).select("grp", served, "own", "rt", "pid", "pe", "pt"), "closer-pool")
+    left = cut(tg.select("grp", "slot", "lt").distinct(), "target-texts")
+    right = cut(pg.select("grp", "slot", "rt").distinct(), "pool-texts")
     sim = cut(_similar_texts(left, right, texts, minimum), "similar-texts")
-    near = sim.select("grp", "rt").distinct()
-    pg = pg.join(near, ["grp", "rt"], "left_semi")
+    place = ["grp", "slot", "rt"]
+    pg = pg.join(sim.select(*place).distinct(), place, "left_semi")
     day, hour = F.floor(F.col("pt") / 86_400), F.floor(F.col("pt") / 3_600)
-    seconds = _earliest(pg, ["grp", "rt", "pt"], keep)
-    hourly = _earliest(seconds.withColumn("h", hour), ["grp", "rt", "h"], keep)
-    daily = _earliest(hourly.withColumn("d", day), ["grp", "rt", "d"], keep)
-    facts = ["grp", "rt", "pid", "pe", "pt"]
+    # Each level is written: it is read as it is and for the next one.
+    seconds = cut(_earliest(pg, [*place, "pt"], keep), "closer-seconds")
+    hourly = cut(_earliest(seconds.withColumn("h", hour), [*place, "h"], keep), "closer-hours")
+    daily = _earliest(hourly.withColumn("d", day), [*place, "d"], keep)
+    facts = [*place, "pid", "pe", "pt"]
+    here = F.col("own") == F.col("slot")
     units = (
-        seconds.select(*facts, F.lit("s").alias("level"), hour.alias("unit"))
-        .unionByName(hourly.select(*facts, F.lit("h").alias("level"), day.alias("unit")))
-        .unionByName(daily.select(*facts, F.lit("d").alias("level"), F.explode(F.array(own, own - 1)).alias("unit")))
+        seconds.where(here).select(*facts, F.lit("s").alias("level"), hour.alias("unit"))
+        .unionByName(hourly.where(here).select(*facts, F.lit("h").alias("level"), day.alias("unit")))
+        .unionByName(daily.select(*facts, F.lit("d").alias("level"), F.col("slot").alias("unit")))
     )
     tday, thour = F.floor(F.col("tt") / 86_400), F.floor(F.col("tt") / 3_600)
     probes = F.array(
         F.struct(F.lit("s").alias("level"), thour.alias("unit")), F.struct(F.lit("h").alias("level"), tday.alias("unit")),
         F.struct(F.lit("d").alias("level"), F.col("slot").alias("unit")),
     )
-    want = tg.join(sim, ["grp", "slot", "lt"]).select("grp", "rt", "tid", "te", "tt", "similarity", F.explode(probes).alias("u"))
-    want = want.select("grp", "rt", "tid", "te", "tt", "similarity", "u.level", "u.unit")
+    want = tg.join(sim, ["grp", "slot", "lt"]).select(*place, "tid", "te", "tt", "similarity", F.explode(probes).alias("u"))
+    want = want.select(*place, "tid", "te", "tt", "similarity", "u.level", "u.unit")
     later = (
         F.when(F.col("level") == "d", day > tday).when(F.col("level") == "h", hour > thour).otherwise(F.col("pt") > F.col("tt"))
     )
-    found = want.join(units, ["grp", "rt", "level", "unit"]).where(
+    found = want.join(units, [*place, "level", "unit"]).where(
         later & (F.col("pe") != F.col("te")) & (F.col("pt") - F.col("tt") <= window_secs)
     )
     order = [F.col("similarity").desc(), F.col("pt"), F.col("pid")]
@@ -425,7 +446,7 @@ def candidates(
     best = top_n(found.select("tid", "grp", "pid", "pt", "similarity"), ["tid", "grp"], order, keep)
     best = best.groupBy("tid", "pid").agg(
         F.min("pt").alias("pt"), F.max("similarity").alias("similarity"),
-        F.max(F.col("grp").startswith("s:")).alias("same_scope"), F.max(F.col("grp").startswith("p:")).alias("shared_person"),
+        F.max(F.col("grp").endswith(":s")).alias("same_scope"), F.max(F.col("grp").endswith(":p")).alias("shared_person"),
     )
     return top_n(best, ["tid"], order, keep, rank="rank").select(
         F.col("tid").alias("target_id"), F.col("pid").alias("candidate_id"), "rank", "similarity", "same_scope", "shared_person"
