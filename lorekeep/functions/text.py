@@ -189,7 +189,7 @@ def glob_regex(pattern: str) -> str:
     out, i, p = [], 0, pattern.lower()
     while i < len(p):
         if p.startswith("**/", i):
-            out.append("(?:.*/|.*/.*|)")
+            out.append("(?:.*/.*)?")
             i += 3
         elif p.startswith("**", i):
             out.append(".*")
@@ -206,12 +206,27 @@ def glob_regex(pattern: str) -> str:
     return "(?s)^" + "".join(out) + "$"
 
 
-def glob_match(c: Column, patterns: Sequence[str], path: bool = False) -> Column:
-    """Whether any glob matches; with ``path`` a pattern without ``/`` is also tried on the last segment."""
+def _by_name(pattern: str) -> str | None:
+    """A glob that says the same of the last segment of a path alone, if there is one.
+
+    Without ``/`` and ``**`` that is the glob itself. ``**/*x`` takes any path that ends like ``x``, and so does ``*x`` of
+    the last segment.
+    """
+    last = pattern[3:] if pattern.startswith("**/*") else pattern
+    return None if "/" in last or "**" in last else last
+
+
+def glob_match(c: Column, patterns: Sequence[str], path: bool = False, name: Column | None = None) -> Column:
+    """Whether any glob matches; with ``path`` a pattern without ``/`` is also tried on the last segment.
+
+    ``name`` is the end of the path that holds its last segment, if at hand: what it decides does not ask for the path.
+    """
     low, cond = F.lower(c), F.lit(False)
-    last = F.element_at(F.split(low, "/"), -1)
+    end = low if name is None else F.lower(name)
+    last = F.substring_index(end, "/", -1)
     for p in patterns:
-        cond = cond | low.rlike(glob_regex(p))
-        if path and "/" not in p:
+        short = _by_name(p) if path else None
+        cond = cond | (low.rlike(glob_regex(p)) if short is None else last.rlike(glob_regex(short)))
+        if path and short is None and "/" not in p:
             cond = cond | last.rlike(glob_regex(p))
     return cond

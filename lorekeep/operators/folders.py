@@ -32,10 +32,10 @@ def join_path(names: Column, limit: int = DEFAULTS.folder_path_chars) -> Column:
     return F.when((F.length(full) <= limit) | (F.size(names) < 3), F.substring(full, 1, limit)).otherwise(short)
 
 
-def allows(path: Column, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:
-    """Built-in and own excludes win; without an include everything else passes."""
-    hidden = X.glob_match(path, [*BUILTIN_EXCLUDES, *exclude], path=True)
-    return ~hidden & (X.glob_match(path, include, path=True) if include else F.lit(True))
+def allows(path: Column, include: Sequence[str] = (), exclude: Sequence[str] = (), name: Column | None = None) -> Column:
+    """Built-in and own excludes win; without an include everything else passes. ``name`` is the end of the path, if at hand."""
+    hidden = X.glob_match(path, [*BUILTIN_EXCLUDES, *exclude], path=True, name=name)
+    return ~hidden & (X.glob_match(path, include, path=True, name=name) if include else F.lit(True))
 
 
 def walk(children: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -64,13 +64,17 @@ def scan(children: DataFrame, roots: DataFrame, max_depth: int | None = None, re
          include: Sequence[str] = (), exclude: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Files under every root with their folder path, and counts of what was left out per root."""
     seen = walk(children, roots, max_depth if recursive else 0)
-    inside = children.withColumnRenamed("parent_id", "folder_id").join(seen, "folder_id")
-    rel = F.array_join(F.concat(F.slice("names", F.lit(2), F.greatest(F.size("names") - 1, F.lit(0))), F.array("name")), "/")
-    files = inside.where(F.col("type") == "file").withColumn("allowed", allows(rel, include, exclude))
+    # What a folder gives to all of its files is made once: its shown path, and its path for the globs.
+    inner = F.slice("names", F.lit(2), F.greatest(F.size("names") - 1, F.lit(0)))
+    places = seen.select("root_id", "folder_id", "depth", join_path(F.col("names")).alias("folder_path"),
+                         F.array_join(F.concat(inner, F.array(F.lit(""))), "/").alias("prefix"))
+    inside = children.withColumnRenamed("parent_id", "folder_id").join(places, "folder_id")
+    name = F.coalesce("name", F.lit(""))
+    files = inside.where(F.col("type") == "file").withColumn("allowed", allows(F.concat("prefix", name), include, exclude, name))
     beyond = F.lit(False) if max_depth is None else F.col("depth") >= max_depth
     deep = inside.where((F.col("type") == "folder") & beyond & F.lit(recursive)).select("root_id", "id").join(
         seen.select("root_id", F.col("folder_id").alias("id")), ["root_id", "id"], "left_anti")
-    out = files.where("allowed").select("root_id", "id", "name", "modified", "etag", "size", join_path(F.col("names")).alias("folder_path"))
+    out = files.where("allowed").select("root_id", "id", "name", "modified", "etag", "size", "folder_path")
     marks = (
         files.where(~F.col("allowed")).select("root_id", F.lit("excluded").alias("why"))
         .unionByName(inside.where(F.col("type") == "unsupported").select("root_id", F.lit("unsupported").alias("why")))
