@@ -29,6 +29,15 @@ class Conflict(RuntimeError):
     """Another writer has published the version that a commit was meant to be."""
 
 
+@dataclass(frozen=True)
+class Draft:
+    """Rows of a table that lie in its buckets already; a commit takes their folders over."""
+
+    folder: str
+    parts: dict[str, list[str]]
+    schema: StructType
+
+
 @dataclass(frozen=True)
 class Change:
     """Rows for a table: the whole content of ``buckets`` (all where None), or with ``append`` more rows of theirs.
@@ -36,7 +45,7 @@ class Change:
     With ``local`` every task writes its own file for each bucket and no row is moved: for rows that are large and many.
     """
 
-    rows: DataFrame
+    rows: DataFrame | Draft
     buckets: Sequence[int] | None = None
     append: bool = False
     local: bool = False
@@ -140,7 +149,7 @@ class PartitionStore:
         before = self.spark.conf.get(key)
         self.spark.conf.set(key, str(buckets))
         try:
-            placed.write.partitionBy(BUCKET).parquet(folder)
+            placed.write.partitionBy(BUCKET).option("compression", "zstd").parquet(folder)
         finally:
             self.spark.conf.set(key, before)
 
@@ -155,7 +164,15 @@ class PartitionStore:
         names = [f.getPath().getName() for f in self._list(folder)]
         return folder, {n.partition("=")[2]: [f"{folder}/{n}"] for n in names if n.startswith(f"{BUCKET}=")}
 
-    def create(self, tables: Mapping[str, tuple[DataFrame, Sequence[str], int]], facts: Mapping | None = None, local: Sequence[str] = ()) -> bool:
+    def draft(self, table: str, keys: Sequence[str], buckets: int, rows: DataFrame, local: bool = False) -> Draft:
+        """Rows written for a commit to come, so that what else it holds can be made from them; ``drafted`` reads them."""
+        return Draft(*self._write(table, keys, buckets, rows, local), rows.schema)
+
+    def drafted(self, draft: Draft) -> DataFrame:
+        paths = [f"{self.path}/{f}" for parts in draft.parts.values() for f in parts]
+        return self.spark.read.schema(draft.schema).parquet(*paths) if paths else self.spark.createDataFrame([], draft.schema)
+
+    def create(self, tables: Mapping[str, tuple[DataFrame | Draft, Sequence[str], int]], facts: Mapping | None = None, local: Sequence[str] = ()) -> bool:
         """The first version: for each table its rows, key columns and number of buckets. False where a version exists.
 
         The tables named by ``local`` are written as a local ``Change`` is.
@@ -163,9 +180,16 @@ class PartitionStore:
         first = Manifest(0, {n: {"keys": list(k), "buckets": b, "schema": rows.schema.jsonValue(), "parts": {}} for n, (rows, k, b) in tables.items()})
         return self._commit(first, {n: Change(rows, local=n in local) for n, (rows, _, _) in tables.items()}, facts)
 
-    def commit(self, base: int, changes: Mapping[str, Change], facts: Mapping | None = None) -> int:
-        """Publishes version ``base + 1``; raises ``Conflict`` where another writer has done so."""
-        if not self._commit(Manifest(base + 1, **{k: v for k, v in vars(self.manifest(base)).items() if k != "version"}), changes, facts):
+    def commit(self, base: int, changes: Mapping[str, Change], facts: Mapping | None = None, without: Mapping[str, set[str]] | None = None) -> int:
+        """Publishes version ``base + 1``; raises ``Conflict`` where another writer has done so.
+
+        The new version leaves out the folders of a table that ``without`` names.
+        """
+        following = Manifest(base + 1, **{k: v for k, v in vars(self.manifest(base)).items() if k != "version"})
+        for name, gone in (without or {}).items():
+            parts = following.tables[name]["parts"]
+            following.tables[name]["parts"] = {b: left for b, folders in parts.items() if (left := [f for f in folders if f not in gone])}
+        if not self._commit(following, changes, facts):
             raise Conflict(f"version {base + 1} of {self.path} exists")
         return base + 1
 
@@ -173,8 +197,11 @@ class PartitionStore:
         written = []
         for name, change in changes.items():
             t = following.tables[name]
-            columns = [f["name"] for f in t["schema"]["fields"]]
-            folder, parts = self._write(name, t["keys"], t["buckets"], change.rows.select(*columns), change.local)
+            if isinstance(change.rows, Draft):
+                folder, parts = change.rows.folder, change.rows.parts
+            else:
+                columns = [f["name"] for f in t["schema"]["fields"]]
+                folder, parts = self._write(name, t["keys"], t["buckets"], change.rows.select(*columns), change.local)
             written.append(folder)
             if change.buckets is not None and (stray := set(parts) - {str(b) for b in change.buckets}):
                 raise ValueError(f"rows of {name} belong to buckets {sorted(stray)} that the change does not name")
